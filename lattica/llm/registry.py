@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import decontaminate, mixing, quality
 
 
 def queries() -> dict:
     return {
+        "op1_quality": quality.op1_quality,
         "op3_mixing": mixing.op3_mixing,
+        "op4_decontaminate": decontaminate.op4_decontaminate,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mixing": mixing.SQL}
+    return {
+        "op3_mixing": mixing.SQL,
+        "op4_decontaminate": decontaminate.SQL,
+    }
