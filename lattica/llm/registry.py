@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, quality
+from . import chat, decontaminate, mixing, quality
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_quality": quality.op1_quality,
         "op3_mixing": mixing.op3_mixing,
         "op4_decontaminate": decontaminate.op4_decontaminate,
+        "op8_chat": chat.op8_chat,
     }
 
 
@@ -17,4 +18,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op3_mixing": mixing.SQL,
         "op4_decontaminate": decontaminate.SQL,
+        "op8_chat": chat.SQL,
     }
