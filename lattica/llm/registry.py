@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, mixing, quality
+from . import chat, decontaminate, licenses, lines, mixing, quality
 
 
 def queries() -> dict:
@@ -10,7 +10,9 @@ def queries() -> dict:
         "op1_quality": quality.op1_quality,
         "op3_mixing": mixing.op3_mixing,
         "op4_decontaminate": decontaminate.op4_decontaminate,
+        "op5_licenses": licenses.op5_licenses,
         "op8_chat": chat.op8_chat,
+        "op10_lines": lines.op10_lines,
     }
 
 
@@ -18,5 +20,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op3_mixing": mixing.SQL,
         "op4_decontaminate": decontaminate.SQL,
+        "op5_licenses": licenses.SQL,
         "op8_chat": chat.SQL,
+        "op10_lines": lines.SQL,
     }
