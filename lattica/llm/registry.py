@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, licenses, lines, mixing, quality
+from . import chat, decontaminate, licenses, lines, mixing, neardup, quality
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op3_mixing": mixing.op3_mixing,
         "op4_decontaminate": decontaminate.op4_decontaminate,
         "op5_licenses": licenses.op5_licenses,
+        "op6_neardup": neardup.op6_neardup,
         "op8_chat": chat.op8_chat,
         "op10_lines": lines.op10_lines,
     }
