@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import gc
 import tempfile
 import uuid
 
@@ -38,14 +39,22 @@ def stash(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     Lineage ends there, so a lost executor costs a re-read, never a recomputation, and what
-    several later branches read is computed once.
+    several later branches read is computed once. Shuffle files of earlier steps that nothing refers to
+    any more are freed.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    free_shuffles(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark's cleaner see which shuffles are garbage, so that disk use is the greatest step's, not the sum."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def drop_stash(df: DataFrame) -> None:
     """Delete the files of a stash that no later plan reads."""
     spark = df.sparkSession

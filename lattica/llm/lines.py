@@ -7,7 +7,8 @@ once the bytes of all chunks of its hash have been compared; the first occurrenc
 
 Plan: hashes of chunks are counted without their texts; only the repeated ones go on, with their
 places. Bytes are compared by the least and the greatest text of each hash, which partial aggregates
-find before any shuffle, so a chunk that a third of all documents share is one row a task.
+find before any shuffle, so a chunk that a third of all documents share is one row a task. Joins with the
+texts are sort-merge joins at every size, so that what a run needs grows with its input alone.
 
 Cases: null text stays null, empty text empty; lines end at line feeds alone, and texts of one line lose
 nothing; null doc_id comes first; rows that agree in doc_id and text are one document and keep the
@@ -74,7 +75,7 @@ def repeated_chunks(docs: DataFrame, window: int = WINDOW, every: int = EVERY) -
     again = stash(places.join(first, "hash").select("key", "start", "n", "hash", (F.struct("doc_id", "key", "start") == F.col("first")).alias("is_first")), "line-repeats")
 
     by_doc = again.groupBy("key").agg(F.collect_list(F.struct("start", "n", "hash")).alias("repeats"))
-    texts = keyed.select("key", "text").join(by_doc, "key").select(_lines(F.col("text")).alias("lines"), F.explode("repeats").alias("c")).select("c.hash", _text_of(F.col("lines"), F.col("c")).alias("chunk"))
+    texts = keyed.select("key", "text").join(by_doc.hint("merge"), "key").select(_lines(F.col("text")).alias("lines"), F.explode("repeats").alias("c")).select("c.hash", _text_of(F.col("lines"), F.col("c")).alias("chunk"))
     same = texts.groupBy("hash").agg((F.min("chunk") == F.max("chunk")).alias("same")).where("same").select("hash")
     return again.where(~F.col("is_first")).join(same, "hash", "left_semi").groupBy("key").agg(F.collect_set("start").alias("starts"))
 
@@ -89,7 +90,7 @@ def dedup_lines(docs: DataFrame, window: int = WINDOW, every: int = EVERY) -> Da
     key, lines, chunks, kept = (free_name(docs, c) for c in ("key_", "lines_", "chunks_", "kept_"))
     keyed = docs.withColumn(key, F.unhex(F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.coalesce(F.col("text"), F.lit(""))).cast("binary"))))
     marks = repeats.select(F.col("key").alias(key), F.col("starts").alias(kept))
-    df = keyed.join(marks, key, "left")
+    df = keyed.join(marks.hint("merge"), key, "left")
     df = with_chunks(df, "text", lines, chunks, window, every)
     stays = F.filter(chunks, lambda c: ~((c["n"] > 1) & F.array_contains(F.col(kept), c["start"])))
     df = df.withColumn(chunks, F.when(F.col(kept).isNotNull(), stays))
