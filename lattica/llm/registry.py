@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, licenses, lines, mixing, neardup, quality
+from . import chat, debruijn, decontaminate, licenses, lines, mixing, neardup, quality
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op4_decontaminate": decontaminate.op4_decontaminate,
         "op5_licenses": licenses.op5_licenses,
         "op6_neardup": neardup.op6_neardup,
+        "op7_debruijn": debruijn.op7_debruijn,
         "op8_chat": chat.op8_chat,
         "op10_lines": lines.op10_lines,
     }
@@ -22,6 +23,7 @@ def oracle_sql() -> dict[str, str]:
         "op3_mixing": mixing.SQL,
         "op4_decontaminate": decontaminate.SQL,
         "op5_licenses": licenses.SQL,
+        "op7_debruijn": debruijn.SQL,
         "op8_chat": chat.SQL,
         "op10_lines": lines.SQL,
     }
