@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat, debruijn, decontaminate, licenses, lines, mixing, neardup, quality
+from . import chat, debruijn, decontaminate, licenses, lines, mixing, neardup, quality, substring
 
 
 def queries() -> dict:
     return {
         "op1_quality": quality.op1_quality,
+        "op2_substring": substring.op2_substring,
         "op3_mixing": mixing.op3_mixing,
         "op4_decontaminate": decontaminate.op4_decontaminate,
         "op5_licenses": licenses.op5_licenses,
