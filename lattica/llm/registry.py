@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, debruijn, decontaminate, licenses, lines, mixing, neardup, quality, substring
+from . import chat, debruijn, decontaminate, licenses, lines, media, mixing, neardup, quality, substring
 
 
 def queries() -> dict:
@@ -15,6 +15,7 @@ def queries() -> dict:
         "op6_neardup": neardup.op6_neardup,
         "op7_debruijn": debruijn.op7_debruijn,
         "op8_chat": chat.op8_chat,
+        "op9_media": media.op9_media,
         "op10_lines": lines.op10_lines,
     }
 
