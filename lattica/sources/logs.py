@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from ..functions import scalars as S
 from ..operators.windows import first_writer, last_writer, pending_value, sections
-from .matrix_market import lines_of, read_texts
+from .matrix_market import lines_of, list_files, read_texts
 
 # The grammar of the two log formats, as prefixes of a line.
 NUMBER = r"([0-9]+(?:\.[0-9]+)?)"
@@ -194,17 +194,24 @@ def _relative(texts: DataFrame, root: str) -> DataFrame:
     """file paths relative to the root."""
     tail = root.rstrip("/").split("://")[-1].removeprefix("file:")
     at = F.locate(tail + "/", F.col("file"))
-    return texts.withColumn("file", F.expr(f"substring(file, locate('{tail}/', file) + {len(tail) + 1})")).where(at > 0)
+    return texts.where(at > 0).withColumn("file", F.substr("file", at + len(tail) + 1))
+
+
+LOG_SUFFIX = "-stderr.txt"
 
 
 def discover(spark: SparkSession, root: str) -> DataFrame:
     """Relative paths of all logs below a root, in order; files still under a temporary name are none."""
-    return _relative(read_texts(spark, root, "*-stderr.txt").select("file"), root).orderBy("file")
+    return _relative(list_files(spark, root, LOG_SUFFIX), root).orderBy("file")
 
 
 def read_runs(spark: SparkSession, root: str, label: str, backend: str = "native") -> DataFrame:
     """Runs of one dataset; a portable backend reads datasets labelled CUDA as native ones."""
-    err = lines_of(_relative(read_texts(spark, root, "*-stderr.txt"), root))
+    names = discover(spark, root)
+    lines = lines_of(_relative(read_texts(spark, root, "*" + LOG_SUFFIX), root))
+    # an empty log is a run too: one empty line stands for it
+    blank = names.join(lines.select("file").distinct(), "file", "left_anti").select("file", F.lit(0).alias("pos"), F.lit("").alias("line"))
+    err = lines.select("file", "pos", "line").unionByName(blank)
     if backend == "native" or label.upper() == "CUDA":
         return parse_native(err, label)
     return parse_portable(err, lines_of(_relative(read_texts(spark, root, "*-stdout.txt"), root)), label)

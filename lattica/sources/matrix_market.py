@@ -22,12 +22,26 @@ class FormatError(ValueError):
     """A file that breaks the format."""
 
 
+def list_files(spark: SparkSession, path: str, suffix: str) -> DataFrame:
+    """file: the files below a path with a suffix, empty ones too (which Spark's sources leave out)."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(conf)
+    found = []
+    walk = fs.listFiles(root, True) if fs.exists(root) else None
+    while walk is not None and walk.hasNext():
+        name = walk.next().getPath().toString()
+        if name.endswith(suffix):
+            found.append((name,))
+    return spark.createDataFrame(found, "file string")
+
+
 def read_texts(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
-    """file, text of the files below a path."""
-    reader = spark.read.option("wholetext", True).option("recursiveFileLookup", True)
+    """file, text of the files below a path that are not empty."""
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    return reader.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
+    return reader.load(path).select(F.col("path").alias("file"), F.col("content").cast("string").alias("text"))
 
 
 def lines_of(texts: DataFrame) -> DataFrame:
