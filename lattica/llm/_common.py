@@ -35,24 +35,28 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Spark's setting by which an execution deletes its shuffle files when it ends.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stash(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     Lineage ends there, so a lost executor costs a re-read, never a recomputation, and what
-    several later branches read is computed once. Shuffle files of earlier steps that nothing refers to
-    any more are freed.
+    several later branches read is computed once. The shuffle files of the write go with it, since
+    nothing reads them again: disk use is that of the greatest step, not the sum.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    free_shuffles(spark)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def free_shuffles(spark: SparkSession) -> None:
-    """Let Spark's cleaner see which shuffles are garbage, so that disk use is the greatest step's, not the sum."""
+    before = spark.conf.get(CLEAN_UP, "false")
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEAN_UP, before)
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def drop_stash(df: DataFrame) -> None:

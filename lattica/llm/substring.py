@@ -38,11 +38,13 @@ from ._common import free_name, small_batches, stash, table
 
 WIDTH, GRAM = 50, 16
 #: Text bytes and documents of a shard.
-SHARD_BYTES, SHARD_DOCS = 12 << 20, 20_000
+SHARD_BYTES, SHARD_DOCS = 8 << 20, 10_000
+#: Text bytes that runs are computed for at once: the arrays stay in a core's cache.
+RUN_BYTES = 1 << 17
 #: Transforms that a bucket merges.
 PARTS = 4
 #: Strings of a bucket whose transforms are merged at once, by bytes; grams are never split.
-MERGE_BYTES = 2 << 20
+MERGE_BYTES = 1 << 19
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
@@ -59,31 +61,46 @@ def _unpack(blob: bytes, *kinds) -> list[np.ndarray]:
 
 
 class Runs:
-    """The runs of a shard's documents, the same whenever they are computed: row, start, n, gram, digest."""
+    """The runs of a shard's documents, the same whenever they are computed: row, start, n, gram."""
 
     def __init__(self, texts: list[bytes], use: np.ndarray, width: int) -> None:
+        self.texts, self.width = texts, width
         parts = []
-        for a, b in K.blocks(texts):
+        for a, b in K.blocks(texts, RUN_BYTES):
             size = np.array([len(t) for t in texts[a:b]], np.int64)
+            first = np.cumsum(size) - size
             number = np.where(use[a:b], np.maximum(size - width + 1, 0), 0)
             if not number.any():
                 continue
-            data = np.frombuffer(b"".join(texts[a:b]), np.uint8)
-            symbols = data.astype(np.uint64) + np.uint64(1)
-            first = np.cumsum(size) - size
-            owner, at = np.repeat(np.arange(b - a), number), K.ranges(first, number)
-            least = K.sliding_min(K.gram_hash(symbols, GRAM), width - GRAM + 1)[at]
-            new = np.ones(len(at), bool)
-            new[1:] = (least[1:] != least[:-1]) | (owner[1:] != owner[:-1])
-            run = np.flatnonzero(new)
-            n = np.diff(np.append(run, len(at)))
-            digest = K.span_hash(K.prefix_hash(symbols), at[run], at[run] + n + width - 1)
-            parts.append((owner[run] + a, at[run] - first[owner[run]], n, least[run], digest))
-        none = (np.int64, np.int64, np.int64, np.uint64, np.uint64)
-        self.row, self.start, self.n, self.gram, self.digest = (np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, none[i]) for i in range(5))
+            symbols = np.frombuffer(b"".join(texts[a:b]), np.uint8).astype(np.uint64) + np.uint64(1)
+            least = K.sliding_min(K.gram_hash(symbols, GRAM), width - GRAM + 1)
+            # a run ends where the least gram changes, and at both ends of a document's windows
+            change = np.flatnonzero(least[1:] != least[:-1]) + 1
+            edge = np.unique(np.concatenate([change, first, first + number]))
+            edge = edge[edge <= len(least)]
+            start, end = edge, np.append(edge[1:], len(least))
+            row = np.searchsorted(first, start, side="right") - 1
+            keep = (start < first[row] + number[row]) & (end > start)
+            start, end, row = start[keep], end[keep], row[keep]
+            parts.append((row + a, start - first[row], end - start, K.mix(least[start])))
+        none = (np.int64, np.int64, np.int64, np.uint64)
+        self.row, self.start, self.n, self.gram = (np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, none[i]) for i in range(4))
 
     def take(self, index: np.ndarray) -> None:
-        self.row, self.start, self.n, self.gram, self.digest = (x[index] for x in (self.row, self.start, self.n, self.gram, self.digest))
+        self.row, self.start, self.n, self.gram = (x[index] for x in (self.row, self.start, self.n, self.gram))
+
+    def digests(self) -> np.ndarray:
+        """A hash of the bytes of each run's segment."""
+        out = np.zeros(len(self.row), np.uint64)
+        for a, b in K.blocks(self.texts, RUN_BYTES):
+            low, high = np.searchsorted(self.row, [a, b])
+            if low == high:
+                continue
+            size = np.array([len(t) for t in self.texts[a:b]], np.int64)
+            prefix = K.prefix_hash(np.frombuffer(b"".join(self.texts[a:b]), np.uint8).astype(np.uint64) + np.uint64(1))
+            start = (np.cumsum(size) - size)[self.row[low:high] - a] + self.start[low:high]
+            out[low:high] = K.span_hash(prefix, start, start + self.n[low:high] + self.width - 1)
+        return out
 
 
 def _dealt(docs: DataFrame, shards: int, name: str) -> DataFrame:
@@ -96,21 +113,23 @@ def _ids(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return column.fill_null(0).to_numpy(), ~column.is_null().to_numpy()
 
 
-def _grams(runs: Runs, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct grams in the order of bucket, then gram, and where each bucket starts."""
-    gram = np.unique(runs.gram)
-    bucket = (gram % np.uint64(buckets)).astype(np.int64)
-    by = np.argsort(bucket, kind="stable")
-    return gram[by], np.searchsorted(bucket[by], np.arange(buckets + 1))
+def _bucket_edges(gram: np.ndarray, buckets: int) -> np.ndarray:
+    """Where each bucket starts in grams in order; a bucket is a range of grams, whose hashes are uniform."""
+    return np.searchsorted(gram, np.array([(b << 64) // buckets for b in range(buckets)], np.uint64)).tolist() + [len(gram)]
+
+
+def _distinct(gram: np.ndarray) -> np.ndarray:
+    gram = np.sort(gram)
+    return gram[K.distinct_runs(gram)]
 
 
 def _first_pass(width: int, buckets: int, shard: str):
     def run(group: pa.Table) -> pa.Table:
         doc, use = _ids(group.column("doc_id"))
         runs = Runs(K.as_bytes(group.column("text")), use, width)
-        gram, cut = _grams(runs, buckets)
-        order = np.argsort(gram, kind="stable")
-        index = order[np.searchsorted(gram[order], runs.gram)]
+        gram = _distinct(runs.gram)
+        cut = _bucket_edges(gram, buckets)
+        index = np.searchsorted(gram, runs.gram)
         low, high = np.full(len(gram), np.iinfo(np.int64).max), np.full(len(gram), np.iinfo(np.int64).min)
         np.minimum.at(low, index, doc[runs.row])
         np.maximum.at(high, index, doc[runs.row])
@@ -135,12 +154,13 @@ def _count_grams(group: pa.Table) -> pa.Table:
 
 def _known(runs: Runs, buckets: int, answers: dict[int, bytes]) -> None:
     """Keep the runs whose gram the buckets have marked."""
-    gram, cut = _grams(runs, buckets)
+    gram = _distinct(runs.gram)
+    cut = _bucket_edges(gram, buckets)
     mark = np.zeros(len(gram), bool)
     for b, blob in answers.items():
-        n = int(cut[b + 1] - cut[b])
+        n = cut[b + 1] - cut[b]
         mark[cut[b] : cut[b + 1]] = np.unpackbits(_unpack(blob, np.uint8)[0], count=n).astype(bool)
-    good = np.sort(gram[mark])
+    good = gram[mark]
     if not len(good):
         runs.take(np.zeros(0, np.int64))
         return
@@ -148,14 +168,14 @@ def _known(runs: Runs, buckets: int, answers: dict[int, bytes]) -> None:
     runs.take(np.flatnonzero(good[at] == runs.gram))
 
 
-def _segments(runs: Runs, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Order of bucket, gram, digest; where a distinct segment starts in it; and the bucket of each."""
-    bucket = (runs.gram % np.uint64(buckets)).astype(np.int64)
-    by = np.lexsort((runs.digest, runs.gram, bucket))
+def _segments(runs: Runs) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order of gram, digest; where a distinct segment starts in it; and the digest of each."""
+    digest = runs.digests()
+    by = np.lexsort((digest, runs.gram))
     new = np.ones(len(by), bool)
-    new[1:] = (runs.gram[by][1:] != runs.gram[by][:-1]) | (runs.digest[by][1:] != runs.digest[by][:-1])
+    new[1:] = (runs.gram[by][1:] != runs.gram[by][:-1]) | (digest[by][1:] != digest[by][:-1])
     at = np.flatnonzero(new)
-    return by, at, bucket[by][at]
+    return by, at, digest[by][at]
 
 
 def _second_pass(width: int, buckets: int, shard: str):
@@ -169,17 +189,18 @@ def _second_pass(width: int, buckets: int, shard: str):
         _known(runs, buckets, dict(zip(answers.column("bucket").to_pylist(), answers.column("grams").to_pylist(), strict=True)))
         if not len(runs.row):
             return empty
-        by, at, bucket = _segments(runs, buckets)
+        by, at, digest = _segments(runs)
         least = np.minimum.reduceat(doc[runs.row][by], at)
         one = by[at]
         row, start, end = runs.row[one], runs.start[one], runs.start[one] + runs.n[one] + width - 1
-        some = np.unique(bucket)
+        cut = _bucket_edges(runs.gram[one], buckets)
+        some = [b for b in range(buckets) if cut[b] < cut[b + 1]]
         g = group.column(shard)[0].as_py()
         packed = []
         for b in some:
-            x = slice(*np.searchsorted(bucket, [b, b + 1]))
+            x = slice(cut[b], cut[b + 1])
             body = b"".join(texts[r][s:e] for r, s, e in zip(row[x].tolist(), start[x].tolist(), end[x].tolist(), strict=True))
-            packed.append(_pack(runs.gram[one][x], runs.digest[one][x], least[x], runs.n[one][x].astype(np.int32), np.frombuffer(body, np.uint8)))
+            packed.append(_pack(runs.gram[one][x], digest[x], least[x], runs.n[one][x].astype(np.int32), np.frombuffer(body, np.uint8)))
         return pa.table({"bucket": pa.array(some, pa.int32()), "shard": pa.array([g] * len(some), pa.int32()), "message": pa.array(packed, pa.binary())})
 
     return run
@@ -208,7 +229,7 @@ def _shared_parts(gram: np.ndarray, data: np.ndarray, size: np.ndarray, width: i
     bytes of context in common with another segment. Where a segment has its gram twice, nothing is bounded.
     """
     first = np.cumsum(size) - size
-    h = K.gram_hash(data.astype(np.uint64) + np.uint64(1), GRAM)
+    h = K.mix(K.gram_hash(data.astype(np.uint64) + np.uint64(1), GRAM))
     owner = np.repeat(np.arange(len(size)), size)[: len(h)]
     hit = np.flatnonzero(h == gram[owner])
     hit = hit[hit + GRAM <= (first + size)[owner[hit]]]
@@ -265,14 +286,29 @@ def _merge_segments(group: pa.Table, width: int) -> pa.Table:
         # a chunk ends only between grams
         chunk = chunk[np.searchsorted(grams, grams)] if len(grams) else chunk
         for c in np.unique(chunk):
-            x = chunk == c
-            part = data[K.ranges(first[one[source[x]]] + begin[x], (end - begin)[x])]
-            string, place, interval = repeated_intervals(part, (end - begin)[x], width, PARTS)
-            where = base[source[x][string]] + begin[x][string] + place
-            order = np.argsort(interval, kind="stable")
-            cut = K.distinct_runs(interval[order])
-            lowest = np.minimum.reduceat(low[source[x][string]][order], cut)
-            found[where[order]] = np.repeat(lowest, np.diff(np.append(cut, len(order))))
+            x = np.flatnonzero(chunk == c)
+            length = (end - begin)[x]
+            part = data[K.ranges(first[one[source[x]]] + begin[x], length)]
+            # segments that share the same part are one string
+            stop = np.cumsum(length)
+            code = K.span_hash(K.prefix_hash(part.astype(np.uint64) + np.uint64(1)), stop - length, stop)
+            order = np.lexsort((code, grams[x]))
+            fresh = np.ones(len(order), bool)
+            fresh[1:] = (code[order][1:] != code[order][:-1]) | (grams[x][order][1:] != grams[x][order][:-1])
+            lead = np.flatnonzero(fresh)
+            member = np.empty(len(order), np.int64)
+            member[order] = np.cumsum(fresh) - 1
+            chosen = order[lead]
+            part_low = np.minimum.reduceat(low[source[x]][order], lead)
+            part_base = np.cumsum(length[chosen] - width + 1) - (length[chosen] - width + 1)
+            string, place, interval = repeated_intervals(part[K.ranges((stop - length)[chosen], length[chosen])], length[chosen], width, PARTS)
+            rank = np.argsort(interval, kind="stable")
+            cut = K.distinct_runs(interval[rank])
+            lowest = np.minimum.reduceat(part_low[string][rank], cut)
+            of_part = np.empty(len(string), np.int64)
+            of_part[(part_base[string] + place)[rank]] = np.repeat(lowest, np.diff(np.append(cut, len(rank))))
+            count = length - width + 1
+            found[K.ranges(base[source[x]] + begin[x], count)] = of_part[K.ranges(part_base[member], count)]
 
     change = np.ones(len(found), bool)
     change[1:] = found[1:] != found[:-1]
@@ -304,10 +340,10 @@ def _last_pass(width: int, buckets: int, own: list[str], schema: pa.Schema):
         first = np.cumsum(size) - size
         cover = np.zeros(int(size.sum()) + 1, np.int32)
         if len(runs.row):
-            by, at, bucket = _segments(runs, buckets)
+            by, at, _ = _segments(runs)
             segment = np.empty(len(by), np.int64)
             segment[by] = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(by))))
-            parts = [_unpack(said[b], np.int32, np.int32, np.int64) for b in np.unique(bucket).tolist()]
+            parts = [_unpack(said[b], np.int32, np.int32, np.int64) for b in sorted(said)]
             pieces, length, value = (np.concatenate([p[i] for p in parts]) for i in range(3))
             length = length.astype(np.int64)
             piece_first = np.cumsum(pieces) - pieces
