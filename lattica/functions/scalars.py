@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -136,6 +138,23 @@ def topology(text: Column) -> tuple[Column, Column, Column]:
     return F.when(ok, nodes), F.when(ok, gpus), F.when(ok, nodes * gpus)
 
 
+def matches_any(text: Column, globs: list[str]) -> Column:
+    """Whether a text matches one of some shell patterns (``*``, ``?``); no pattern lets all pass."""
+    if not globs:
+        return F.lit(True)
+    out = F.lit(False)
+    for g in globs:
+        shape = "".join(".*" if c == "*" else "." if c == "?" else re.escape(c) for c in g)
+        out = out | text.rlike(f"^{shape}$")
+    return out
+
+
+def positive_flag(value: str | None) -> int:
+    """A positive integer setting, else 0."""
+    value = (value or "").strip()
+    return int(value) if value.isdigit() else 0
+
+
 def backend_keys(keys: Column, ranks: Column) -> Column:
     """One rank has no communicator, several have no single-rank key; doubles go, order stays."""
     alone = F.transform(keys, lambda k: F.when(k.startswith("native-"), "native-none").otherwise("none"))

@@ -173,3 +173,14 @@ def paired_lines(jobs: DataFrame, cells: DataFrame) -> list[str]:
     for r in cells.orderBy("matrix", "topology", "pair").collect():
         out.append(f"  {r['matrix']:<11}{r['topology']:<6}{r['pair']:<14} allocations={r['allocations']}  time {r['ratio']:.2f} [{r['least_ratio']:.2f}..{r['most_ratio']:.2f}]  per-iteration {r['per_iter_ratio']:.2f}")
     return out
+
+
+def rank_lines(stats: DataFrame) -> DataFrame:
+    """rank, line: the partition diagnostics that a solve prints for each rank, as ``logs`` reads them."""
+    columns = ("rank", "local_rows", "local_nnz", "interior_nnz", "halo_nnz", "ghosts", "imports", "exports")
+    return stats.select("rank", F.concat(F.lit("solver_diag_partition: "), F.concat_ws(" ", *columns)).alias("line"))
+
+
+def timer_lines(spread: DataFrame) -> DataFrame:
+    """timer, line: the timer diagnostics over ranks, of (timer, min_s, avg_s, max_s, skew_s)."""
+    return spread.select("timer", F.format_string("solver_diag_perf: %s min_s=%.6f avg_s=%.6f max_s=%.6f skew_s=%.6f", "timer", "min_s", "avg_s", "max_s", "skew_s").alias("line"))

@@ -249,6 +249,13 @@ def _(spark, sf):
     return compare.pair_cells(compare.job_pairs(_campaign(spark, sf), _PAIRS))
 
 
+@query("k4_paired_table", _JOBS + " select count(*)::bigint + 3 + (select count(*) from (select distinct matrix, topology, pair from jobs)) as n_lines from jobs")
+def _(spark, sf):
+    jobs = compare.job_pairs(_campaign(spark, sf), _PAIRS)
+    made = report.paired_lines(jobs, compare.pair_cells(jobs))
+    return spark.createDataFrame([(len(made),)], "n_lines long")
+
+
 @query("u2_label_set", "select unnest(['native-mpi', 'native-nccl', 'native-single', 'portable-mpi', 'portable-nccl', 'portable-single']) as label")
 def _(spark, sf):
     pairs = compare.pair_table(X.table(spark, sf, "region"), _PAIRS)
@@ -463,6 +470,12 @@ def _(spark, sf):
     return e.select("event_id", nodes.alias("nodes"), gpus.alias("gpus"), ranks.alias("ranks"))
 
 
+@query("p9_topology_filter", "select event_id from events where event_id % 6 = 4 or user_id % 12 = 2")
+def _(spark, sf):
+    text = F.concat(F.col("user_id") % 12, F.lit("n"), F.col("event_id") % 6, F.lit("g"))
+    return X.table(spark, sf, "events").where(S.matches_any(text, ["*n4g", "2n?g"])).select("event_id")
+
+
 @query("f19_backend_keys", "select event_id, case event_id % 3 when 0 then 'none,native-none' when 1 then 'mpi,native-mpi,nccl' else 'mpi,native-mpi,nccl' end as keys from events")
 def _(spark, sf):
     keys = F.array(*map(F.lit, ("mpi", "none", "native-mpi", "mpi", "native-none", "nccl")))
@@ -502,6 +515,12 @@ def _(spark, sf):
     return out.withColumns({"avg_s": F.round("avg_s", 6), "skew_s": F.round("skew_s", 6)})
 
 
+@query("k2_timer_lines", "select 'l_tax' as timer, 'solver_diag_perf: l_tax min_s=' || printf('%.6f', min(l_tax)) || ' avg_s=' || printf('%.6f', round(avg(l_tax), 4)) || ' max_s=' || printf('%.6f', max(l_tax)) || ' skew_s=' || printf('%.6f', max(l_tax) - min(l_tax)) as line from lineitem")
+def _(spark, sf):
+    out = summary.rank_spread(X.table(spark, sf, "lineitem"), ["l_tax"], [])
+    return report.timer_lines(out.withColumn("avg_s", F.round("avg_s", 4)))
+
+
 @query("a12_latency_percentiles", "select user_id, l[1] as min_us, l[(floor(0.5 * (n - 1)) + 1)::int] as p50_us, l[(floor(0.99 * (n - 1)) + 1)::int] as p99_us, l[n] as max_us from (select user_id, list_sort(list(value)) as l, count(*) as n from events group by user_id)")
 def _(spark, sf):
     return summary.latency_percentiles(X.table(spark, sf, "events"), "value", ["user_id"])
@@ -624,6 +643,12 @@ def _(spark, sf):
     return partition.stats(owner, owned)
 
 
+@query("k2_rank_lines", _STATS + " select rank, 'solver_diag_partition: ' || concat_ws(' ', rank, local_rows, local_nnz, interior_nnz, halo_nnz, ghosts, imports, exports) as line from st")
+def _(spark, sf):
+    _, owner, owned = _owned(spark, sf)
+    return report.rank_lines(partition.stats(owner, owned))
+
+
 @query("a7_imbalance", _STATS + " select " + ", ".join(f"case when min({c}) > 0 then max({c}) / min({c}) end as {c}_imbalance" for c in ("local_nnz", "halo_nnz", "ghosts", "imports", "exports")) + " from st")
 def _(spark, sf):
     _, owner, owned = _owned(spark, sf)

@@ -48,6 +48,29 @@ def event_row(time: str, job: int, topology: str, matrix: str, label: str, trial
     return "\t".join(map(str, (time, job, topology, matrix, label, trial, status, "-" if exit_code is None else exit_code, stem)))
 
 
+def append_events(rows: DataFrame, path: str) -> None:
+    """Append rows with the event log's columns, as text, to a folder that ``read_events`` and the stream read."""
+    text = rows.select(*[F.coalesce(F.col(f.name).cast("string"), F.lit("-")).alias(f.name) for f in EVENT_SCHEMA])
+    text.write.mode("append").option("sep", "\t").option("header", True).csv(path)
+
+
+def promote(spark: SparkSession, temporary: str, final: str, succeeded: bool) -> bool:
+    """Give a run's output its final name, in one rename, if the run succeeded; else leave it under its temporary one."""
+    if not succeeded:
+        return False
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = path(temporary).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(path(temporary)) or not fs.rename(path(temporary), path(final)):
+        raise OSError(f"cannot rename {temporary} to {final}")
+    return True
+
+
+def provenance(spark: SparkSession, facts: dict[str, str], path: str) -> None:
+    """Write name=value lines of what a campaign ran with, and the Spark settings, as one text file."""
+    lines = [f"{k}={v}" for k, v in sorted({**{f"spark:{k}": v for k, v in spark.sparkContext.getConf().getAll()}, **facts}.items())]
+    spark.createDataFrame([("\n".join(lines),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
 def run_states(events: DataFrame) -> DataFrame:
     """job, topology, matrix, label, trial and state: ok, failed, or killed for a run that only started."""
     keys = ["job", "topology", "matrix", "label", "trial"]

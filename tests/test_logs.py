@@ -187,3 +187,27 @@ def test_resolve(spark, tmp_path):
     assert campaign.resolve(spark, None, [str(tmp_path / "a.mtx"), str(tmp_path / "b.mtx")]).endswith("b.mtx")
     with pytest.raises(FileNotFoundError):
         campaign.resolve(spark, str(tmp_path / "a.mtx"), [str(tmp_path / "b.mtx")])
+
+
+def test_sinks(spark, tmp_path):
+    rows = spark.createDataFrame([("2025-01-01T00:00:00Z", "1", "1n4g", "M", "l", "1", "started", None, "s")], campaign.EVENT_SCHEMA)
+    campaign.append_events(rows, str(tmp_path / "log"))
+    campaign.append_events(rows.withColumns({"status": F.lit("ok"), "exit": F.lit("0"), "time": F.lit("2025-01-01T00:01:00Z")}), str(tmp_path / "log"))
+    assert campaign.run_states(campaign.read_events(spark, str(tmp_path / "log"))).first()["state"] == "ok"
+    write(tmp_path, "a.tmp", "x")
+    assert not campaign.promote(spark, str(tmp_path / "a.tmp"), str(tmp_path / "a.txt"), False) and (tmp_path / "a.tmp").exists()
+    assert campaign.promote(spark, str(tmp_path / "a.tmp"), str(tmp_path / "a.txt"), True) and (tmp_path / "a.txt").read_text() == "x"
+    with pytest.raises(OSError):
+        campaign.promote(spark, str(tmp_path / "none"), str(tmp_path / "b.txt"), True)
+    campaign.provenance(spark, {"commit": "abc"}, str(tmp_path / "facts"))
+    assert "commit=abc" in "".join(r[0] + "\n" for r in spark.read.text(str(tmp_path / "facts")).collect())
+
+
+def test_printed_diagnostics_read_back(spark, tmp_path):
+    stats = spark.createDataFrame([(0, 10, 100, 90, 10, 5, 5, 4), (1, 10, 200, 170, 30, 10, 15, 8)], "rank int, local_rows long, local_nnz long, interior_nnz long, halo_nnz long, ghosts long, imports long, exports long")
+    spread = spark.createDataFrame([("spmv", 1.0, 2.0, 3.0, 2.0)], "timer string, min_s double, avg_s double, max_s double, skew_s double")
+    text = "\n".join([r["line"] for r in report.rank_lines(stats).orderBy("rank").collect()] + [r["line"] for r in report.timer_lines(spread).collect()])
+    write(tmp_path, "1n4g/v/suitesparse/M/a-stderr.txt", "")
+    write(tmp_path, "1n4g/v/suitesparse/M/a-stdout.txt", text + "\n")
+    r = logs.read_runs(spark, str(tmp_path), "x", "portable").first()
+    assert (r["local_nnz_imbalance"], r["imports_imbalance"], r["spmv_skew_s"]) == (2.0, 3.0, 2.0)

@@ -83,3 +83,9 @@ def test_key_values_last_wins(spark):
     assert one(spark, S.value_of(F.lit("solver: a=1 b=x=y a=2"), "a")) == "2"
     assert one(spark, S.value_of(F.lit("solver: a=1 b=x=y a=2"), "b")) == "x=y"
     assert one(spark, S.value_of(F.lit("solver: a=1"), "c")) is None
+
+
+def test_patterns_and_flags(spark):
+    assert one(spark, S.matches_any(F.lit("2n4g"), ["1n*", "?n4g"])) and not one(spark, S.matches_any(F.lit("12n4g"), ["?n4g"]))
+    assert one(spark, S.matches_any(F.lit("x"), []))
+    assert [S.positive_flag(v) for v in (None, "", "0", "7", "-3", "x")] == [0, 0, 0, 7, 0, 0]
