@@ -11,8 +11,9 @@ weighs a shingle by how often it stands in the text for candidates.)
 3. Each node is verified against the most central node of one of its bands (that with the greatest
    sum of band sizes, of those the best estimate). Verified links make components.
 4. Nodes that share a band but no component are compared tile by tile by their sketches, each pair in its
-   first common band only; pairs that can reach the threshold are verified against their shingles.
-   So no pair inside a component is ever made, and a band of any size is many small tasks.
+   first common band only; pairs that can reach the threshold are verified against their shingles,
+   in large bands within the tile, which returns links alone. So no pair inside a component is ever
+   made, no task holds more than two tiles, and a band of any size is many small tasks.
 
 Cases: null and empty texts are copies of one another, and texts without words link to exact copies only;
 a text of fewer than five words is one shingle; null doc_id: the class is named by the least doc_id
@@ -38,7 +39,8 @@ LEAST = 0.8
 COMPONENTS, BAND_ROWS = 96, 4
 #: Matching sketch components below which a pair cannot reach LEAST (3.5 standard deviations below the mean).
 LEAST_MATCHES = 63
-TILE = 128
+#: Nodes of a tile, and of a band whose pairs are verified by joins; larger bands take their shingles along and verify in their tiles.
+TILE, SMALL_BAND = 256, 24
 
 
 def signature_rows(docs: DataFrame, m: int = COMPONENTS, r: int = BAND_ROWS, weight: str = "one") -> DataFrame:
@@ -82,34 +84,50 @@ def _shingle_sets(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "key binary, codes binary")
 
 
+def _similarity(x: np.ndarray, y: np.ndarray) -> float:
+    """Jaccard similarity of two sorted sets."""
+    both = np.sort(np.concatenate([x, y]))
+    common = int((both[1:] == both[:-1]).sum())
+    return common / (len(both) - common) if len(both) else 0.0
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) whose shingle sets reach the similarity, with it."""
+    """The pairs (a, b) whose shingle sets reach the similarity."""
     with_a = pairs.join(sets.select(F.col("key").alias("a"), F.col("codes").alias("codes_a")), "a")
     with_b = with_a.join(sets.select(F.col("key").alias("b"), F.col("codes").alias("codes_b")), "b").select("a", "b", "codes_a", "codes_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            j = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = np.sort(np.concatenate([x, y]))
-                common = int((both[1:] == both[:-1]).sum())
-                j.append(common / (len(both) - common) if len(both) else 0.0)
-            ok = pa.array([v >= least for v in j], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(j, pa.float64())], names=["a", "b", "similarity"]).filter(ok)
+            ok = [_similarity(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) >= least for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    return with_b.mapInArrow(run, "a binary, b binary")
 
-    return with_b.mapInArrow(run, "a binary, b binary, similarity double")
 
+def _spread(members: DataFrame) -> DataFrame:
+    """``members`` (band, root, key and more) once for each pair of tiles (low, high) of its band, with its own tile.
 
-def _tile_pairs(members: DataFrame, m: int, r: int, matches: int) -> DataFrame:
+    A band's largest component needs no pairs of its own: its tiles (below 0) meet only those of the
+    band's other nodes, which meet one another too.
+    """
+    parts = members.groupBy("band", "root").agg(F.count("*").alias("n"))
+    main = parts.groupBy("band").agg(F.max(F.struct("n", "root")).alias("m"), F.sum("n").alias("all"))
+    main = main.select("band", F.col("m.root").alias("main"), F.ceil(F.col("m.n") / TILE).cast("int").alias("main_tiles"), F.ceil((F.col("all") - F.col("m.n")) / TILE).cast("int").alias("tiles"))
+    sized = members.join(main, "band").withColumn("is_main", F.col("root") == F.col("main"))
+    number = F.pmod(F.xxhash64("key"), F.when(F.col("is_main"), F.col("main_tiles")).otherwise(F.col("tiles"))).cast("int")
+    sized = sized.withColumn("tile", F.when(F.col("is_main"), -1 - number).otherwise(number))
+    others = F.sequence(F.lit(0), F.col("tiles") - 1)
+    mains = F.transform(F.sequence(F.lit(1), F.col("main_tiles")), lambda i: -i)
+    spread = sized.withColumn("other", F.explode(F.when(F.col("is_main"), others).otherwise(F.concat(others, mains))))
+    return spread.select(*members.columns, F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), "tile")
+
+
+def _tile_pairs(members: DataFrame, matches: int, least: float | None) -> DataFrame:
     """Pairs (a, b) of ``members`` (band, key, sketch, root, bands) that share the band first, differ in root and whose sketches match.
 
-    A band of g members is cut into tiles by hash; each pair of tiles is a group of its own.
+    With ``least``, members also have their codes, and of the pairs the tile verifies, the likeliest
+    first, only links that join components: fewer than the tile has nodes.
     """
-    sized = members.join(members.groupBy("band").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles")), "band")
-    tile = F.pmod(F.xxhash64("key"), F.col("tiles")).cast("int")
-    spread = sized.withColumn("tile", tile).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    spread = spread.select("band", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), "tile", "key", "sketch", "root", "bands")
 
     def run(group: pa.Table) -> pa.Table:
         band = group.column("band")[0].as_py()
@@ -120,18 +138,30 @@ def _tile_pairs(members: DataFrame, m: int, r: int, matches: int) -> DataFrame:
         sketch = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint8).reshape(len(key), -1)
         bands = np.array(group.column("bands").to_pylist(), np.int64)
         left, right = np.flatnonzero(tile == low), np.flatnonzero(tile == high)
-        a, b = [], []
+        first, second, score = [], [], []
         for i in left:
             to = right[(root[right] != root[i]) & ((right > i) if low == high else True)]
-            to = to[(sketch[to] == sketch[i]).sum(1) >= matches]
+            same = (sketch[to] == sketch[i]).sum(1)
+            to, same = to[same >= matches], same[same >= matches]
             if len(to):
-                same = bands[to] == bands[i]
-                to = to[bands[i][same.argmax(1)] == band]
-                a += [key[i]] * len(to)
-                b += [key[j] for j in to]
-        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
-
-    return spread.groupBy("band", "low", "high").applyInArrow(run, "a binary, b binary")
+                mine = bands[i][(bands[to] == bands[i]).argmax(1)] == band
+                first.append(np.full(int(mine.sum()), i))
+                second.append(to[mine])
+                score.append(same[mine])
+        none = np.zeros(0, np.int64)
+        first, second, score = (np.concatenate([*x, none]).astype(np.int64) for x in (first, second, score))
+        if least is not None:
+            codes = [np.frombuffer(x, np.uint64) for x in group.column("codes").to_pylist()]
+            keep = []
+            for p in np.argsort(-score, kind="stable"):
+                i, j = first[p], second[p]
+                if root[i] != root[j] and _similarity(codes[i], codes[j]) >= least:
+                    keep.append(p)
+                    root[root == root[j]] = root[i]
+            first, second = first[keep], second[keep]
+        return pa.table({"a": pa.array([key[i] for i in first], pa.binary()), "b": pa.array([key[j] for j in second], pa.binary())})
+
+    return _spread(members).groupBy("band", "low", "high").applyInArrow(run, "a binary, b binary")
 
 
 def near_classes(docs: DataFrame, least: float = LEAST, m: int = COMPONENTS, r: int = BAND_ROWS, matches: int = LEAST_MATCHES, weight: str = "one") -> tuple[DataFrame, DataFrame]:
@@ -156,9 +186,11 @@ def near_classes(docs: DataFrame, least: float = LEAST, m: int = COMPONENTS, r:
 
     known = components(links)
     members = shared.select("band", "key").join(several.select("key", "sketch", "bands"), "key").join(known.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    open_bands = members.groupBy("band").agg((F.min("root") != F.max("root")).alias("open")).where("open").select("band")
-    pairs = stash(_tile_pairs(members.join(open_bands, "band", "left_semi"), m, r, matches), "near-pairs")
-    more = _verified(pairs, sets, least)
+    open_bands = members.groupBy("band").agg((F.min("root") != F.max("root")).alias("open"), F.count("*").alias("members")).where("open").select("band", "members")
+    members = stash(members.join(open_bands, "band"), "near-members")
+    few, many = members.where(F.col("members") <= SMALL_BAND).drop("members"), members.where(F.col("members") > SMALL_BAND).drop("members")
+    pairs = stash(_tile_pairs(few, matches, None).distinct(), "near-pairs")
+    more = _verified(pairs, sets, least).unionByName(_tile_pairs(many.join(sets, "key"), matches, least))
     return rows.select("doc_id", "key"), components(links.unionByName(more).select("a", "b")).withColumnRenamed("node", "key")
 
 
