@@ -22,6 +22,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_substring": substring.SQL,
         "op3_mixing": mixing.SQL,
         "op4_decontaminate": decontaminate.SQL,
         "op5_licenses": licenses.SQL,

@@ -31,6 +31,8 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from . import _kernels as K
 from ._bwt import repeated_intervals
@@ -397,9 +399,6 @@ def dedup_bytes(docs: DataFrame, width: int = WIDTH, shard_bytes: int = SHARD_BY
     own = docs.columns
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     kinds += ", kept binary, n_bytes long, n_removed long, n_spans long"
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
     schema = to_arrow_schema(StructType.fromDDL(kinds))
     return _dealt(docs, shards, shard).groupBy(shard).cogroup(answers.groupBy(shard)).applyInArrow(_last_pass(width, buckets, own, schema), kinds)
 
@@ -407,3 +406,24 @@ def dedup_bytes(docs: DataFrame, width: int = WIDTH, shard_bytes: int = SHARD_BY
 def op2_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup_bytes(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+SQL = r"""
+with d as (
+  select row_number() over () as r, doc_id, hex(encode(coalesce(text, ''))) as h from documents
+), win as materialized (
+  select r, doc_id, unnest(x) as w, generate_subscripts(x, 1) as i
+  from (select r, doc_id, list_transform(range(1, len(h) // 2 - 48), lambda i: md5_number(substr(h, 2 * i - 1, 100))) as x from d where len(h) >= 100)
+), low as (
+  select w, min(doc_id) as m from win group by w
+), start as (
+  select r, i, case when lag(i) over (partition by r order by i) >= i - 50 then 0 else 1 end as fresh from win join low using (w) where m < doc_id
+), span as (
+  select r, s, min(i) as a, max(i) + 50 as b from (select *, sum(fresh) over (partition by r order by i) as s from start) group by r, s
+), spans as (
+  select r, count(*) as n, sum(b - a) as gone, list(a order by a) as starts, list(b order by a) as stops from span group by r
+)
+select doc_id, (len(h) // 2)::bigint as n_bytes, coalesce(gone, 0)::bigint as n_removed, coalesce(n, 0)::bigint as n_spans,
+  sha256(unhex(case when n is null then h else array_to_string(list_transform(range(0, n + 1), lambda k: substr(h, 2 * (case when k = 0 then 1 else stops[k] end) - 1, 2 * ((case when k = n then len(h) // 2 + 1 else starts[k + 1] end) - (case when k = 0 then 1 else stops[k] end)))), '') end)) as kept_sha256
+from d left join spans using (r)
+"""
