@@ -1,7 +1,8 @@
 """Conjugate gradients as a driver loop over DataFrames.
 
-The state (i, x, r, s) is written to the shared folder in each iteration, which ends its lineage and
-survives lost executors; the two dot products are the only values that reach the driver.
+The state (i, x, r, s) is written to the shared folder twice an iteration, which ends its lineage and
+survives lost executors. The two dot products are observed on the way, so an iteration is two jobs, and
+they are the only values that reach the driver.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ import math
 import time
 from dataclasses import asdict, dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.scalars import manufactured
@@ -54,15 +55,22 @@ def _check(gamma: float, rho: float) -> None:
         raise Breakdown("the matrix is not positive definite")
 
 
-def iterate(coo: DataFrame, rows: DataFrame, state: DataFrame, rho: float, n: int) -> tuple[DataFrame, float, float]:
-    """One iteration: the next state, (s, A s) and the next (r, r)."""
+def _written(df: DataFrame, label: str, total: Column) -> tuple[DataFrame, float]:
+    """``df`` as written, and an aggregate of it that the write observes on the way."""
+    seen = Observation()
+    made = stash(df.observe(seen, total.alias("total")), label, free=False)
+    return made, seen.get["total"] or 0.0
+
+
+def product(coo: DataFrame, rows: DataFrame, state: DataFrame, n: int) -> tuple[DataFrame, float]:
+    """The state with t = A s, and (s, t)."""
     t = linalg.spmv(coo, state.select("i", F.col("s").alias("val")), rows, n).select("i", F.col("val").alias("t"))
-    with_t = stash(state.join(t, "i"), "cg-product")
-    gamma = with_t.agg(linalg.dot(F.col("s"), F.col("t"))).first()[0] or 0.0
-    alpha = rho / gamma if gamma else math.nan
-    moved = linalg.cg_update(with_t, alpha).drop("t")
-    following = moved.agg(linalg.dot(F.col("r"), F.col("r"))).first()[0] or 0.0
-    return with_t, gamma, following
+    return _written(state.join(t, "i"), "cg-product", linalg.dot(F.col("s"), F.col("t")))
+
+
+def advance(with_t: DataFrame, alpha: float) -> tuple[DataFrame, float]:
+    """The state with x and r moved by alpha, and the next (r, r)."""
+    return _written(linalg.cg_update(with_t, alpha).drop("t"), "cg-state", linalg.dot(F.col("r"), F.col("r")))
 
 
 def solve(
@@ -78,30 +86,36 @@ def solve(
     b = stash(b.select("i", "val"), "cg-rhs")
 
     def start() -> DataFrame:
-        return stash(b.select("i", F.lit(0.0).alias("x"), F.col("val").alias("r"), F.col("val").alias("s")), "cg-state")
+        return b.select("i", F.lit(0.0).alias("x"), F.col("val").alias("r"), F.col("val").alias("s"))
+
+    def step(state: DataFrame, rho: float, check: bool) -> tuple[DataFrame, DataFrame, float]:
+        """The next state, the written frame that it reads, and the next (r, r)."""
+        with_t, gamma = product(coo, rows, state, n)
+        if check:
+            _check(gamma, rho)
+        moved, following = advance(with_t, rho / gamma if gamma else 0.0)
+        if check:
+            _check(gamma, following)
+        drop_stash(with_t)
+        return linalg.cg_direction(moved, following / rho if rho else 0.0), moved, following
 
     rho_first = b.agg(linalg.dot(F.col("val"), F.col("val"))).first()[0] or 0.0
-    state, rho = start(), rho_first
+    state, rho, held = start(), rho_first, None
     for _ in range(warmup):
-        product, gamma, following = iterate(coo, rows, state, rho, n)
-        new = stash(linalg.cg_direction(linalg.cg_update(product, rho / gamma if gamma else 0.0).drop("t"), following / rho if rho else 0.0), "cg-state")
-        drop_stash(state)
-        drop_stash(product)
-        state, rho = new, following
-    if warmup:
-        drop_stash(state)
-        state, rho = start(), rho_first
+        state, moved, rho = step(state, rho, False)
+        if held is not None:
+            drop_stash(held)
+        held = moved
 
     began = time.perf_counter()
+    state, rho, held = start(), rho_first, None
     first = residual = math.sqrt(rho)
     done, k, history = converged(residual, first, 0.0, atol), 0, []
     while not done and k < max_iters:
-        product, gamma, following = iterate(coo, rows, state, rho, n)
-        _check(gamma, following)
-        new = stash(linalg.cg_direction(linalg.cg_update(product, rho / gamma).drop("t"), following / rho), "cg-state")
-        drop_stash(state)
-        drop_stash(product)
-        state, rho, k, residual = new, following, k + 1, math.sqrt(following)
+        state, moved, rho = step(state, rho, True)
+        if held is not None:
+            drop_stash(held)
+        held, k, residual = moved, k + 1, math.sqrt(rho)
         if log_every and k % log_every == 0:
             history.append((k, residual))
         done = converged(residual, first, rtol, atol)

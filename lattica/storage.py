@@ -24,12 +24,13 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def stash(df: DataFrame, label: str) -> DataFrame:
+def stash(df: DataFrame, label: str, free: bool = True) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     Lineage ends there, so a lost executor costs a re-read, never a recomputation, and what
     several later branches read is computed once. The shuffle files of the write go with it, since
-    nothing reads them again: disk use is that of the greatest step, not the sum.
+    nothing reads them again: disk use is that of the greatest step, not the sum. With ``free``, Spark's
+    cleaner is also shown what else has become garbage, which is not worth its time for small steps.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
@@ -39,8 +40,9 @@ def stash(df: DataFrame, label: str) -> DataFrame:
         df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(CLEAN_UP, before)
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    if free:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
