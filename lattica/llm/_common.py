@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import contextlib
-import gc
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of one Arrow batch. Texts may be long, so few rows; a row is never split.
-ARROW_ROWS = 1024
+from ..storage import drop_stash, shared_dir, stash
+
+__all__ = ["drop_stash", "free_name", "shared_dir", "small_batches", "stash", "table", "text_key"]
+
+#: Rows and bytes of one Arrow batch. Texts may be long, so few rows; a row is never split.
+ARROW_ROWS, ARROW_BYTES = 1024, 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,51 +21,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def small_batches(spark: SparkSession) -> None:
     """Bound the memory of one Arrow batch for kernels over whole texts."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, or a new local one where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        context = spark.sparkContext
-        if context.getCheckpointDir() is None:
-            context.setCheckpointDir(tempfile.mkdtemp(prefix="lattica-"))
-        found = context.getCheckpointDir()
-    return found.rstrip("/")
-
-
-#: Spark's setting by which an execution deletes its shuffle files when it ends.
-CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def stash(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back.
-
-    Lineage ends there, so a lost executor costs a re-read, never a recomputation, and what
-    several later branches read is computed once. The shuffle files of the write go with it, since
-    nothing reads them again: disk use is that of the greatest step, not the sum.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEAN_UP, "false")
-    spark.conf.set(CLEAN_UP, "true")
-    try:
-        df.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.set(CLEAN_UP, before)
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_stash(df: DataFrame) -> None:
-    """Delete the files of a stash that no later plan reads."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        with contextlib.suppress(Exception):
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
 def free_name(df: DataFrame, wanted: str) -> str:
