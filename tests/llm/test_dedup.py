@@ -147,7 +147,7 @@ def test_paths_compact(spark):
 # ---- chunks of lines
 
 
-def brute_lines(rows):
+def brute_line_rows(rows):
     def h(line):
         return int(hashlib.md5(line.encode()).hexdigest()[:8], 16)
 
@@ -175,7 +175,11 @@ def brute_lines(rows):
         left = [p for b, p in chunks(ls) if len(p) < 2 or first["\n".join(p)] == (doc is not None, doc or 0, key, b)]
         gone = len(ls) - sum(map(len, left))
         out.append((doc, "\n".join(x for p in left for x in p) if gone else text, len(ls), gone))
-    return counted(out)
+    return out
+
+
+def brute_lines(rows):
+    return counted(brute_line_rows(rows))
 
 
 def test_lines(docs):
@@ -207,7 +211,7 @@ def shingle_set(text):
     return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
 
 
-def brute_classes(rows):
+def brute_class_rows(rows):
     texts = sorted({t or "" for _, t in rows})
     sets = {t: shingle_set(t) for t in texts}
     root = {t: t for t in texts}
@@ -225,7 +229,11 @@ def brute_classes(rows):
         r = find(t or "")
         if doc is not None:
             least[r] = min(doc, least.get(r, doc))
-    return counted((doc, least.get(find(t or ""))) for doc, t in rows)
+    return [(doc, least.get(find(t or ""))) for doc, t in rows]
+
+
+def brute_classes(rows):
+    return counted(brute_class_rows(rows))
 
 
 def classes_of(df):

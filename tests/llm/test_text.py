@@ -130,7 +130,7 @@ def low(text):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
 
 
-def brute_marks(rows, items):
+def brute_mark_rows(rows, items):
     out = []
     for doc, text in rows:
         w, hit, ids = low(text), set(), set()
@@ -143,7 +143,11 @@ def brute_marks(rows, items):
                     hit.update(range(i, i + n))
                     ids.add(str(item))
         out.append((doc, len(w), len(hit), ",".join(sorted(ids))))
-    return counted(out)
+    return out
+
+
+def brute_marks(rows, items):
+    return counted(brute_mark_rows(rows, items))
 
 
 @pytest.fixture(scope="module")
