@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..storage import stash
 from .windows import top_one
 
 SOLVER, ITERATIONS, MS = "runtime_solver_s_median", "runtime_iterations_median", "runtime_ms_per_iter"
@@ -84,6 +85,8 @@ def common_rounds(runs: DataFrame, pairs: dict[str, str]) -> DataFrame:
 
 def job_pairs(runs: DataFrame, pairs: dict[str, str]) -> DataFrame:
     """A row for each job and pair that both sides have runs of: medians, ratio of medians, per-iteration ratio, and the span over common trials (null without any)."""
+    # parsed once, read by both sides and the rounds
+    runs = stash(runs, "paired-runs", free=False)
     labels = pair_table(runs, pairs)
     keys = [*_JOB, "pair"]
 

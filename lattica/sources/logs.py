@@ -6,6 +6,8 @@ takes the last value of a field, or the first where the grammar says so.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -111,8 +113,14 @@ def path_metadata(file: Column) -> dict[str, Column]:
     return {"scale": part(F.lit(0)), "variant": part(F.lit(1)), "matrix": F.when(at > 0, part(at.cast("int"))).otherwise("unknown")}
 
 
+def plain_part(pattern: str) -> str:
+    """The longest run of letters and spaces that every match of a pattern of this grammar holds."""
+    return max(re.findall(r"[A-Za-z_ ]{3,}", re.sub(r"\\.|\[[^]]*\]|\(\?:[^()]*\)[?*]", "\n", pattern)), key=len, default="")
+
+
 def _match(line: Column, pattern: str, group: int) -> Column:
-    return F.when(line.rlike(pattern), F.regexp_extract(line, pattern, group))
+    """The group of a match; most lines fail the search for the plain part, which is far cheaper than the pattern."""
+    return F.when(line.contains(plain_part(pattern)) & line.rlike(pattern), F.regexp_extract(line, pattern, group))
 
 
 def _runs(files: DataFrame, pairs: DataFrame, dataset: str | Column) -> DataFrame:
@@ -155,7 +163,8 @@ def parse_native(lines: DataFrame, dataset: str | Column) -> DataFrame:
     waiting = pending_value(lines, opener, opener & ~line.rlike(rf"^running solver:\s*{NUMBER} seconds"), _match(line, rf"^{NUMBER} seconds$", 1), "_pending")
     values = {f: _match(line, p, g) for f, p, g in NATIVE}
     values["running_solver_s"] = F.coalesce(values["running_solver_s"], F.col("_pending"))
-    by = waiting.groupBy("file").agg(*[last_writer(v, pos).alias(f) for f, v in values.items()])
+    found = waiting.select("file", "pos", *[v.alias(f) for f, v in values.items()])
+    by = found.groupBy("file").agg(*[last_writer(F.col(f), pos).alias(f) for f in values])
     typed = by.select("file", *[_typed(f, F.col(f)).alias(f) for f in values])
     return _runs(lines, typed.join(_head_values(lines, "--comm"), "file", "left"), dataset)
 
@@ -177,9 +186,10 @@ def parse_portable(stderr: DataFrame, stdout: DataFrame, dataset: str | Column)
     schema3 = line.startswith("timing: ") & (F.coalesce(S.value_of(line, "schema").try_cast("int"), F.lit(0)) >= 3)
     values["solver_time_s"].append(F.when(schema3, F.coalesce(S.value_of(line, "solver_max_s"), S.value_of(line, "loop_max_s"))))
     first = {"collectives": "collectives", "running_solver_s": "first_running"}
-    aggregates = [last_writer(F.coalesce(*v), pos).alias(f) for f, v in values.items()]
-    aggregates += [first_writer(F.coalesce(*values[f]), pos).alias(f"_first_{a}") for f, a in first.items()]
-    by = marked.groupBy("file").agg(*aggregates)
+    found = marked.select("file", "pos", *[F.coalesce(*v).alias(f) for f, v in values.items()])
+    aggregates = [last_writer(F.col(f), pos).alias(f) for f in values]
+    aggregates += [first_writer(F.col(f), pos).alias(f"_first_{a}") for f, a in first.items()]
+    by = found.groupBy("file").agg(*aggregates)
     typed = by.select("file", *[_typed(f, F.col(f)).alias(f) for f in values if f not in ("mpi_mode", "collectives")], F.coalesce("mpi_mode", "_first_collectives").alias("communicator"), F.col("_first_first_running").try_cast("double").alias("_solve"))
     typed = typed.withColumn("solver_time_s", F.coalesce("solver_time_s", "_solve")).drop("_solve")
 

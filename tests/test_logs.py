@@ -211,3 +211,10 @@ def test_printed_diagnostics_read_back(spark, tmp_path):
     write(tmp_path, "1n4g/v/suitesparse/M/a-stdout.txt", text + "\n")
     r = logs.read_runs(spark, str(tmp_path), "x", "portable").first()
     assert (r["local_nnz_imbalance"], r["imports_imbalance"], r["spmv_skew_s"]) == (2.0, 3.0, 2.0)
+
+
+def test_plain_parts_stand_in_their_patterns():
+    assert [logs.plain_part(p) for p in (logs.WALL, logs.PARTITION, rf"^{logs.NUMBER} seconds$")] == ["wall clock", "solver_diag_partition", " seconds"]
+    for p in [p for _, p, _ in logs.NATIVE] + [p for _, _, p, _ in logs.PORTABLE] + [logs.TIMED, logs.WALL]:
+        part = logs.plain_part(p)
+        assert len(part) > 2 and part in p and f"{part}?" not in p and f"{part}*" not in p and "|" not in p
