@@ -10,6 +10,11 @@ places. Bytes are compared by the least and the greatest text of each hash, whic
 find before any shuffle, so a chunk that a third of all documents share is one row a task. Joins with the
 texts are sort-merge joins at every size, so that what a run needs grows with its input alone.
 
+``dedup_runs`` leaves none of a repeated passage: each run of ``RUN`` lines that also stands earlier,
+wherever in the text it begins, is removed, and so is every line of a longer run; the chunks above are
+found only when they lie wholly inside what is shared. Of two places in one document, the later counts
+as a repeat where they have no line in common. A line's earliest place is never removed.
+
 Cases: null text stays null, empty text empty; lines end at line feeds alone, and texts of one line lose
 nothing; null doc_id comes first; rows that agree in doc_id and text are one document and keep the
 same; columns besides doc_id and text are passed on, whatever their names; an empty table gives no rows.
@@ -24,6 +29,8 @@ from ._common import free_name, stash, table
 
 #: Lines of the rolling hash, and mean lines from one chunk's end to the next.
 WINDOW, EVERY = 2, 4
+#: Lines of the shortest run that dedup_runs removes; as for chunks, no line is removed by itself.
+RUN = 2
 
 
 def _line_hash(line: Column) -> Column:
@@ -59,10 +66,19 @@ def _text_of(lines: Column, chunk: Column) -> Column:
     return F.array_join(F.slice(lines, chunk["start"] + 1, chunk["n"]), "\n")
 
 
+def _key() -> Column:
+    return F.unhex(F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.coalesce(F.col("text"), F.lit(""))).cast("binary")))
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     """doc_id, text and a key that stands for both."""
-    key = F.unhex(F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.coalesce(F.col("text"), F.lit(""))).cast("binary")))
-    return docs.select("doc_id", "text", key.alias("key"))
+    return docs.select("doc_id", "text", _key().alias("key"))
+
+
+def _same_bytes(keyed: DataFrame, by_doc: DataFrame) -> DataFrame:
+    """hash: those whose places (key, repeats of start, n and hash) all have the same bytes."""
+    texts = keyed.select("key", "text").join(by_doc.hint("merge"), "key").select(_lines(F.col("text")).alias("lines"), F.explode("repeats").alias("c")).select("c.hash", _text_of(F.col("lines"), F.col("c")).alias("chunk"))
+    return texts.groupBy("hash").agg((F.min("chunk") == F.max("chunk")).alias("same")).where("same").select("hash")
 
 
 def repeated_chunks(docs: DataFrame, window: int = WINDOW, every: int = EVERY) -> DataFrame:
@@ -75,8 +91,7 @@ def repeated_chunks(docs: DataFrame, window: int = WINDOW, every: int = EVERY) -
     again = stash(places.join(first, "hash").select("key", "start", "n", "hash", (F.struct("doc_id", "key", "start") == F.col("first")).alias("is_first")), "line-repeats")
 
     by_doc = again.groupBy("key").agg(F.collect_list(F.struct("start", "n", "hash")).alias("repeats"))
-    texts = keyed.select("key", "text").join(by_doc.hint("merge"), "key").select(_lines(F.col("text")).alias("lines"), F.explode("repeats").alias("c")).select("c.hash", _text_of(F.col("lines"), F.col("c")).alias("chunk"))
-    same = texts.groupBy("hash").agg((F.min("chunk") == F.max("chunk")).alias("same")).where("same").select("hash")
+    same = _same_bytes(keyed, by_doc)
     return again.where(~F.col("is_first")).join(same, "hash", "left_semi").groupBy("key").agg(F.collect_set("start").alias("starts"))
 
 
@@ -88,7 +103,7 @@ def dedup_lines(docs: DataFrame, window: int = WINDOW, every: int = EVERY) -> Da
     repeats = stash(repeated_chunks(docs, window, every), "line-removals")
     own = docs.columns
     key, lines, chunks, kept = (free_name(docs, c) for c in ("key_", "lines_", "chunks_", "kept_"))
-    keyed = docs.withColumn(key, F.unhex(F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.coalesce(F.col("text"), F.lit(""))).cast("binary"))))
+    keyed = docs.withColumn(key, _key())
     marks = repeats.select(F.col("key").alias(key), F.col("starts").alias(kept))
     df = keyed.join(marks.hint("merge"), key, "left")
     df = with_chunks(df, "text", lines, chunks, window, every)
@@ -102,11 +117,48 @@ def dedup_lines(docs: DataFrame, window: int = WINDOW, every: int = EVERY) -> Da
     return df.select(*[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in own], n_lines.cast("long").alias("n_lines"), removed.cast("long").alias("n_removed"))
 
 
+def repeated_runs(docs: DataFrame, least: int = RUN) -> DataFrame:
+    """key, starts: the first lines of each document's runs of ``least`` lines that stand earlier, bytes compared."""
+    keyed = _keyed(docs)
+    lines = F.col("lines")
+    run = lambda i: F.struct(i.alias("start"), F.lit(least).alias("n"))
+    runs = F.transform(lines, lambda _, i: F.when(i <= F.size(lines) - least, F.struct(F.unhex(F.md5(_text_of(lines, run(i)).cast("binary"))).alias("hash"), i.alias("start"))))
+    places = stash(keyed.select("doc_id", "key", _lines(F.col("text")).alias("lines")).select("doc_id", "key", F.explode(runs).alias("c")).where("c is not null").select("doc_id", "key", "c.*"), "line-runs")
+    first = places.groupBy("hash").agg(F.min(F.struct("doc_id", "key", "start")).alias("first"), F.count("*").alias("times")).where("times > 1").select("hash", "first")
+    own = (F.col("key") == F.col("first.key")) & F.col("doc_id").eqNullSafe(F.col("first.doc_id"))
+    again = stash(places.join(first, "hash").select("key", "start", "hash", (own & (F.col("start") - F.col("first.start") < least)).alias("stays")), "line-run-repeats")
+
+    by_doc = again.groupBy("key").agg(F.collect_set(F.struct("start", F.lit(least).alias("n"), "hash")).alias("repeats"))
+    same = _same_bytes(keyed, by_doc)
+    return again.where(~F.col("stays")).join(same, "hash", "left_semi").groupBy("key").agg(F.collect_set("start").alias("starts"))
+
+
+def dedup_runs(docs: DataFrame, least: int = RUN, n_lines: str = "n_lines", n_removed: str = "n_removed") -> DataFrame:
+    """``docs``, all columns, with ``text`` without the lines of repeated runs, and two counts of lines at the end, under the names given."""
+    for c in (n_lines, n_removed):
+        if c.lower() in {x.lower() for x in docs.columns}:
+            raise ValueError(f"column {c} would be hidden")
+    repeats = stash(repeated_runs(docs, least), "line-removals")
+    key, lines, left, starts = (free_name(docs, c) for c in ("key_", "lines_", "left_", "starts_"))
+    keyed = docs.withColumn(key, _key())
+    df = keyed.join(repeats.select(F.col("key").alias(key), F.col("starts").alias(starts)).hint("merge"), key, "left").withColumn(lines, _lines(F.col("text")))
+    gone = F.flatten(F.transform(starts, lambda s: F.sequence(s, s + least - 1)))
+    df = df.withColumn(left, F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone))
+    text = F.when(F.col(starts).isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.get(F.col(lines), i)), "\n"))
+    removed = F.when(F.col(starts).isNull(), 0).otherwise(F.size(lines) - F.size(left))
+    return df.select(*[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns], F.size(lines).cast("long").alias(n_lines), removed.cast("long").alias(n_removed))
+
+
 def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
+def op10_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = dedup_runs(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
 SQL = r"""
 with d as (
   select doc_id, coalesce(text, '') as text, md5(concat_ws(':', coalesce(doc_id::varchar, 'null'), coalesce(text, ''))) as key, string_split(coalesce(text, ''), chr(10)) as l from documents
@@ -129,3 +181,22 @@ with d as (
 )
 select doc_id, len(l)::bigint as n_lines, (len(l) - coalesce(n, 0))::bigint as n_removed, sha256(coalesce(body, '')) as kept_sha256 from d left join res using (key)
 """
+
+RUNS_SQL = r"""
+with d as (
+  select doc_id, coalesce(text, '') as text, md5(concat_ws(':', coalesce(doc_id::varchar, 'null'), coalesce(text, ''))) as key, string_split(coalesce(text, ''), chr(10)) as l from documents
+), docs as (
+  select distinct doc_id, key, l from d
+), line as (
+  select doc_id, key, i, l[i] as s, len(l) as n, l[i] || chr(10) || l[i + 1] as pair from docs, lateral (select unnest(range(1, len(l) + 1)) as i)
+), ranked as (
+  select key, i, first_value(key) over w as k, first_value(doc_id) over w as d, first_value(i) over w as i0, doc_id from line where i < n window w as (partition by pair order by doc_id nulls first, key, i)
+), gone as (
+  select key, i from ranked where not (k = key and d is not distinct from doc_id and i - i0 < 2)
+), removed as (
+  select key, i from gone union select key, i + 1 from gone
+), res as (
+  select key, count(*)::bigint as n, string_agg(s, chr(10) order by i) as body from line anti join removed using (key, i) group by key
+)
+select doc_id, len(l)::bigint as n_lines, (len(l) - coalesce(n, 0))::bigint as n_removed, sha256(coalesce(body, '')) as kept_sha256 from d left join res using (key)
+"""

@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_chat": chat.op8_chat,
         "op9_media": media.op9_media,
         "op10_lines": lines.op10_lines,
+        "op10_runs": lines.op10_runs,
     }
 
 
@@ -29,4 +30,5 @@ def oracle_sql() -> dict[str, str]:
         "op7_debruijn": debruijn.SQL,
         "op8_chat": chat.SQL,
         "op10_lines": lines.SQL,
+        "op10_runs": lines.RUNS_SQL,
     }

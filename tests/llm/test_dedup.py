@@ -203,6 +203,45 @@ def test_shifted_blocks_are_cut_alike(spark):
     assert got[1] == 0 and got[2] >= 20 and got[3] >= 20
 
 
+def brute_runs(rows):
+    """Line by line: a pair of lines that stands earlier goes, its earliest place stays."""
+    keyed = [(d, hashlib.md5(f"{'null' if d is None else d}:{t or ''}".encode()).digest(), t, (t or "").split("\n")) for d, t in rows]
+    first = {}
+    for d, key, _, ls in keyed:
+        for i, pair in enumerate(itertools.pairwise(ls)):
+            place = ((d is not None, d or 0, key), i)
+            first[pair] = min(place, first.get(pair, place))
+    out = []
+    for d, key, t, ls in keyed:
+        gone = set()
+        for i, pair in enumerate(itertools.pairwise(ls)):
+            owner, at = first[pair]
+            if owner != (d is not None, d or 0, key) or i - at > 1:
+                gone |= {i, i + 1}
+        out.append((d, "\n".join(x for i, x in enumerate(ls) if i not in gone) if gone else t, len(ls), len(gone)))
+    return counted(out)
+
+
+def test_runs(docs, empty, clashing):
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    assert counted(tuple(r) for r in lines.dedup_runs(docs.select("doc_id", "text")).collect()) == brute_runs(rows)
+    assert lines.dedup_runs(empty).count() == 0
+    out = lines.dedup_runs(clashing)
+    assert out.columns == [*clashing.columns, "n_lines", "n_removed"] and out.count() == clashing.count()
+
+
+@pytest.mark.parametrize("n", [2, 3, 5, 8, 20])
+def test_runs_leave_nothing_of_a_shared_passage(spark, n):
+    rng = random.Random(n)
+    line = lambda: f"line {rng.random()}"
+    rows = []
+    for i in range(0, 40, 2):
+        passage = [line() for _ in range(n)]
+        rows += [(i, "\n".join([line(), *passage, line()])), (i + 1, "\n".join([line(), line(), *passage, line()]))]
+    got = {r["doc_id"]: r["n_removed"] for r in lines.dedup_runs(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: n * (i % 2) for i in range(40)}
+
+
 # ---- near duplicates
 
 
