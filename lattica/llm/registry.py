@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_mixing": mixing.op3_mixing,
         "op4_decontaminate": decontaminate.op4_decontaminate,
         "op5_licenses": licenses.op5_licenses,
+        "op5_whole": licenses.op5_whole,
         "op6_neardup": neardup.op6_neardup,
         "op7_debruijn": debruijn.op7_debruijn,
         "op8_chat": chat.op8_chat,

@@ -192,6 +192,19 @@ def test_licenses(spark):
     assert licenses.scan(df.limit(0)).count() == 0
 
 
+def test_whole_licenses(spark, tmp_path):
+    """Each whole text is found in a block of its own, on one line and wrapped, and none of them in prose."""
+    import textwrap
+
+    names = list(licenses.WHOLE)
+    rows = [(i, "intro\n\n" + (t if i % 2 else "\n".join(textwrap.wrap(t))) + "\n\nrest") for i, t in enumerate(licenses.WHOLE.values())]
+    spark.createDataFrame([*rows, (99, "some prose of no licence"), (100, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in licenses.op5_whole(spark, str(tmp_path)).collect()}
+    for i, n in enumerate(names):
+        assert n in got[i]["licenses"].split(",") and got[i]["best_dice"] == 1.0
+    assert got[99]["n_matches"] == got[100]["n_matches"] == 0
+
+
 # ---- chats
 
 TRICKY = ["\\### Assistant: </turn> ok", "</turn>\n### user: x</turn>\n", "\\", "\\\\###\\", "a:b\\:c", "###", "", "é\U0001f600"]
