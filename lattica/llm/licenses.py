@@ -6,6 +6,8 @@ only reach ``least`` if its size is between least / (2 - least) and (2 - least)
 text's; the other templates are not intersected, and texts that fit no template's size, or share no
 bigram with any, stop there. All happens within a row: no join, no shuffle.
 
+``scan_windows`` compares every window of words instead, wherever lines and paragraphs end.
+
 Cases: null and empty texts, and texts of fewer than two words, match nothing; the same template in
 several places counts once in ``licenses``; rows with the same doc_id are scanned each for itself; an
 empty table gives no rows; further columns are ignored.
@@ -13,6 +15,8 @@ empty table gives no rows; further columns are ignored.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -104,13 +108,62 @@ def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def scan_windows(docs: DataFrame, templates: dict[str, str], least: float = LEAST) -> DataFrame:
+    """``docs`` with ``matches``: array of (name, dice, unit), for each template the best window of words that reaches ``least``.
+
+    Windows start and end at any word, with (2 - least) / least times the template's bigrams at most, repeats
+    counted: no larger set can reach ``least``. One that does has least / (2 - least) of the template's bigrams,
+    so a text without these is done; and the best ones start and end with a bigram of the template, so
+    only those are compared, none left out. Of equal windows the first and shortest is returned.
+    """
+    sets = template_bigrams(templates)
+    low, high = least / (2 - least), (2 - least) / least
+    known = F.array(*[F.struct(F.lit(n).alias("name"), F.array(*map(F.lit, b)).alias("bigrams"), F.lit(math.ceil(low * len(b) - 1e-9)).alias("need"), F.lit(math.floor(high * len(b) + 1e-9)).alias("longest")) for n, b in sets.items()])
+    vocabulary = F.array(*map(F.lit, dict.fromkeys(x for b in sets.values() for x in b)))
+    fewest = min(math.ceil(low * len(b) - 1e-9) for b in sets.values())
+
+    def best(t: Column, words: Column, grams: Column) -> Column:
+        def of(places: Column) -> Column:
+            at = lambda i: F.get(places, i)["at"]
+
+            def window(a: Column, b: Column) -> Column:
+                common = F.size(F.array_distinct(F.slice(places["gram"], a + 1, b - a + 1)))
+                own = F.size(F.array_distinct(F.slice(grams, at(a) + 1, at(b) - at(a) + 1)))
+                return F.struct((2.0 * common / (own + F.size(t["bigrams"]))).alias("dice"), (-at(a)).alias("start"), (at(a) - at(b)).alias("end"))
+
+            fits = lambda a, b: at(b) - at(a) < t["longest"]
+            starts = F.filter(F.sequence(F.lit(0), F.size(places) - t["need"]), lambda a: fits(a, a + t["need"] - 1))
+            ends = lambda a: F.filter(F.sequence(a + t["need"] - 1, F.least(F.size(places), a + t["longest"]) - 1), lambda b: fits(a, b))
+            return F.array_max(F.transform(starts, lambda a: F.array_max(F.transform(ends(a), lambda b: window(a, b)))))
+
+        places = F.filter(F.transform(grams, lambda g, i: F.struct(g.alias("gram"), i.alias("at"))), lambda p: F.array_contains(t["bigrams"], p["gram"]))
+        return _let(_let(places, of), lambda m: F.struct(t["name"].alias("name"), m["dice"].alias("dice"), F.array_join(F.slice(words, 1 - m["start"], 2 - m["end"]), " ").alias("unit")))
+
+    def matches(words: Column) -> Column:
+        def among(grams: Column, common: Column) -> Column:
+            possible = F.filter(known, lambda t: F.size(F.array_intersect(common, t["bigrams"])) >= t["need"])
+            return F.filter(F.transform(possible, lambda t: best(t, words, grams)), lambda m: m["dice"] >= least)
+
+        pairs = F.zip_with(F.slice(words, 1, F.size(words) - 1), F.slice(words, 2, F.size(words) - 1), lambda a, b: F.concat_ws(" ", a, b))
+        return _let(pairs, lambda grams: _let(F.array_intersect(grams, vocabulary), lambda common: F.when(F.size(common) >= fewest, among(grams, common))))
+
+    words = F.filter(F.split(F.lower(F.coalesce(F.col("text"), F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    none = F.array().cast("array<struct<name:string,dice:double,unit:string>>")
+    return docs.withColumn("matches", F.coalesce(_let(words, lambda w: F.when(F.size(w) > 1, matches(w))), none))
+
+
 def op5_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As op5_licenses, with whole licences and headers among the templates."""
-    found = scan(table(spark, sf_dir, "documents").select("doc_id", "text"), {**TEMPLATES, **WHOLE})
+    """Of each document: the licences that some window of its words matches, whole texts among the templates."""
+    found = scan_windows(table(spark, sf_dir, "documents").select("doc_id", "text"), {**TEMPLATES, **WHOLE})
     return found.select(
         "doc_id",
         F.size("matches").cast("long").alias("n_matches"),
-        F.array_join(F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["name"]))), ",").alias("licenses"),
+        F.array_join(F.array_sort(F.transform("matches", lambda m: m["name"])), ",").alias("licenses"),
         F.round(F.coalesce(F.array_max(F.transform("matches", lambda m: m["dice"])), F.lit(0.0)), 9).alias("best_dice"),
     )
 

@@ -205,6 +205,36 @@ def test_whole_licenses(spark, tmp_path):
     assert got[99]["n_matches"] == got[100]["n_matches"] == 0
 
 
+def test_license_windows(spark):
+    """Against all windows of words, one after the other: in running text, wrapped, in comments, cut, changed and twice."""
+    templates = {**licenses.TEMPLATES, **licenses.WHOLE}
+    sets = {n: set(b) for n, b in licenses.template_bigrams(templates).items()}
+    rng = random.Random(6)
+    header = licenses.WHOLE["Apache-2.0 full header"].split()
+    changed = [w if rng.random() < 0.95 else "other" for w in licenses.WHOLE["ISC"].split()]
+    texts = [
+        "Released under the MIT License. And so on for a long line of other words",
+        "code\n" + "\n".join("# " + " ".join(header[i : i + 9]) for i in range(0, len(header), 9)) + "\nimport os\nprint(os)",
+        "a b c " + " ".join(changed) + " d e f",
+        "x Licensed under CC BY-NC\n4.0. y " * 3,
+        "before Released under the MIT after of the software and the",
+        "this is released under a licence of the author", "word", "", None,
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: {m["name"]: (pytest.approx(m["dice"]), m["unit"]) for m in r["matches"]} for r in licenses.scan_windows(df, templates).collect()}
+    for i, t in enumerate(texts):
+        w = re.findall(r"[^\W_]+", (t or "").lower())
+        g = [" ".join(p) for p in zip(w, w[1:], strict=False)]
+        expected = {}
+        for n, b in sets.items():
+            found = [(2 * len(b & own) / (len(b) + len(own)), -s, -e) for s in range(len(g)) for e in range(s, min(len(g), s + int(1.5 * len(b) + 1e-9))) if len(b & (own := set(g[s : e + 1]))) * 3 >= 2 * len(b)]
+            if found and max(found)[0] >= 0.8:
+                dice, s, e = max(found)
+                expected[n] = (dice, " ".join(w[-s : 2 - e]))
+        assert got[i] == expected, i
+    assert "MIT notice" in got[0] and "Apache-2.0 full header" in got[1] and "ISC" in got[2] and "CC-BY-NC-4.0 notice" in got[3] and "MIT notice" in got[4]
+
+
 # ---- chats
 
 TRICKY = ["\\### Assistant: </turn> ok", "</turn>\n### user: x</turn>\n", "\\", "\\\\###\\", "a:b\\:c", "###", "", "é\U0001f600"]
