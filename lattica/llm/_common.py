@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import drop_stash, shared_dir, stash
 
-__all__ = ["drop_stash", "free_name", "shared_dir", "small_batches", "stash", "table", "text_key"]
+__all__ = ["drop_stash", "free_name", "free_names", "named", "shared_dir", "small_batches", "stash", "table", "text_key"]
 
 #: Rows and bytes of one Arrow batch. Texts may be long, so few rows; a row is never split.
 ARROW_ROWS, ARROW_BYTES = 1024, 16 << 20
@@ -32,6 +35,32 @@ def free_name(df: DataFrame, wanted: str) -> str:
     return wanted
 
 
+def named(*added: str) -> Callable:
+    """Of an operator that adds the columns ``added`` at the end: lets its callers name them, by ``names``, whatever columns they have."""
+
+    def wrap(operator: Callable) -> Callable:
+        @functools.wraps(operator)
+        def run(docs: DataFrame, *args, names: dict[str, str] | None = None, **options) -> DataFrame:
+            if not names:
+                return operator(docs, *args, **options)
+            called = {c: names.get(c, c) for c in added}
+            if clash := {c.lower() for c in docs.columns} & {c.lower() for c in called.values()}:
+                raise ValueError(f"columns {sorted(clash)} would be hidden")
+            aside = {c: f"own_{i}_" for i, c in enumerate(docs.columns) if c.lower() in added}
+            aside = {c: free_name(docs, a) for c, a in aside.items()}
+            out = operator(docs.withColumnsRenamed(aside), *args, **options)
+            return out.select(*[F.col(f"`{aside.get(c, c)}`").alias(c) for c in docs.columns], *[F.col(c).alias(called[c]) for c in added])
+
+        return run
+
+    return wrap
+
+
+def free_names(docs: DataFrame, *added: str) -> dict[str, str]:
+    """``names`` for an operator whose added columns are dropped again."""
+    return {c: free_name(docs, c) for c in added}
+
+
 def text_key(text: Column) -> Column:
     """Sixteen bytes that stand for a whole text; null and empty texts have the same."""
     return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import _kernels as K
-from ._common import drop_stash, free_name, small_batches, stash, table, text_key
+from ._common import drop_stash, free_name, named, small_batches, stash, table, text_key
 
 WIDTH, KMER = 35, 8
 RUN = ("start", "n", "kmer", "digest", "loops")
@@ -169,6 +169,7 @@ def _windows(texts: DataFrame, width: int) -> DataFrame:
     return texts.select("text", "wanted").mapInArrow(run, "kmer long, digest long, times long, windows array<long>")
 
 
+@named("kept", "n_words", "n_removed")
 def dedup_windows(docs: DataFrame, width: int = WIDTH, k: int = KMER) -> DataFrame:
     """``docs`` with kept (the words left, joined by single spaces; binary), n_words and n_removed."""
     if clash := {c.lower() for c in docs.columns} & {"kept", "n_words", "n_removed"}:

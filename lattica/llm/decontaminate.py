@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _kernels as K
-from ._common import small_batches, table
+from ._common import free_names, named, small_batches, table
 
 WIDTH = 10
 #: Windows of one block, which is broadcast: about 150 bytes each.
@@ -140,6 +140,7 @@ def occurrences(texts: list[bytes], block: Block) -> tuple[np.ndarray, np.ndarra
     return first, doc[same], start[same], window[same]
 
 
+@named("n_words", "hit", "items")
 def mark(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, most: int = BLOCK_WINDOWS) -> DataFrame:
     """``docs`` (all columns) with n_words, hit (runs of hit words: start, end, start, ...) and items (sorted ids)."""
     small_batches(docs.sparkSession)
@@ -193,7 +194,8 @@ def merge(spans: list[tuple[int, int]]) -> list[int]:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` without a hit word, all their columns."""
-    return mark(docs, benchmark).where(F.size("hit") == 0).select(*docs.columns)
+    names = free_names(docs, "n_words", "hit", "items")
+    return mark(docs, benchmark, names=names).where(F.size(names["hit"]) == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import free_name, stash, table
+from ._common import free_name, named, stash, table
 
 #: Lines of the rolling hash, and mean lines from one chunk's end to the next.
 WINDOW, EVERY = 2, 4
@@ -95,6 +95,7 @@ def repeated_chunks(docs: DataFrame, window: int = WINDOW, every: int = EVERY) -
     return again.where(~F.col("is_first")).join(same, "hash", "left_semi").groupBy("key").agg(F.collect_set("start").alias("starts"))
 
 
+@named("n_lines", "n_removed")
 def dedup_lines(docs: DataFrame, window: int = WINDOW, every: int = EVERY) -> DataFrame:
     """``docs``, all columns, with ``text`` shortened, and n_lines and n_removed (lines) at the end."""
     for c in ("n_lines", "n_removed"):
@@ -133,10 +134,11 @@ def repeated_runs(docs: DataFrame, least: int = RUN) -> DataFrame:
     return again.where(~F.col("stays")).join(same, "hash", "left_semi").groupBy("key").agg(F.collect_set("start").alias("starts"))
 
 
-def dedup_runs(docs: DataFrame, least: int = RUN, n_lines: str = "n_lines", n_removed: str = "n_removed") -> DataFrame:
-    """``docs``, all columns, with ``text`` without the lines of repeated runs, and two counts of lines at the end, under the names given."""
-    for c in (n_lines, n_removed):
-        if c.lower() in {x.lower() for x in docs.columns}:
+@named("n_lines", "n_removed")
+def dedup_runs(docs: DataFrame, least: int = RUN) -> DataFrame:
+    """``docs``, all columns, with ``text`` without the lines of repeated runs, and n_lines and n_removed (lines) at the end."""
+    for c in ("n_lines", "n_removed"):
+        if c in {x.lower() for x in docs.columns}:
             raise ValueError(f"column {c} would be hidden")
     repeats = stash(repeated_runs(docs, least), "line-removals")
     key, lines, left, starts = (free_name(docs, c) for c in ("key_", "lines_", "left_", "starts_"))
@@ -146,7 +148,7 @@ def dedup_runs(docs: DataFrame, least: int = RUN, n_lines: str = "n_lines", n_re
     df = df.withColumn(left, F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone))
     text = F.when(F.col(starts).isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.get(F.col(lines), i)), "\n"))
     removed = F.when(F.col(starts).isNull(), 0).otherwise(F.size(lines) - F.size(left))
-    return df.select(*[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns], F.size(lines).cast("long").alias(n_lines), removed.cast("long").alias(n_removed))
+    return df.select(*[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns], F.size(lines).cast("long").alias("n_lines"), removed.cast("long").alias("n_removed"))
 
 
 def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

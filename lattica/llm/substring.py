@@ -36,7 +36,7 @@ from pyspark.sql.types import StructType
 
 from . import _kernels as K
 from ._bwt import repeated_intervals
-from ._common import free_name, small_batches, stash, table
+from ._common import free_name, named, small_batches, stash, table
 
 WIDTH, GRAM = 50, 16
 #: Text bytes and documents of a shard.
@@ -377,6 +377,7 @@ def _last_pass(width: int, buckets: int, own: list[str], schema: pa.Schema):
     return run
 
 
+@named("kept", "n_bytes", "n_removed", "n_spans")
 def dedup_bytes(docs: DataFrame, width: int = WIDTH, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """``docs`` (doc_id long) with kept (binary), n_bytes, n_removed and n_spans."""
     if clash := {c.lower() for c in docs.columns} & {"kept", "n_bytes", "n_removed", "n_spans"}:

@@ -7,7 +7,7 @@ from test_dedup import brute_class_rows, brute_line_rows
 from test_text import brute_mark_rows, counted, labelled
 
 import corpus_pipeline
-from lattica.llm import mixing, quality
+from lattica.llm import debruijn, decontaminate, lines, mixing, quality, substring
 
 
 def test_pipeline(spark, docs, tmp_path):
@@ -53,3 +53,21 @@ def test_stages_keep_the_columns_of_documents(spark, docs, tmp_path):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, str(tmp_path)).columns == docs.columns
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_columns_named_as_those_that_operators_add(spark, docs, tmp_path):
+    """Stages drop what the operators add, so documents may have columns of these names; operators let callers name them."""
+    docs.limit(0).write.parquet(f"{tmp_path}/documents.parquet")
+    items = [(1, " ".join(next(r["text"] for r in docs.collect() if r["doc_id"] == 3).split()[:20]))]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    own = docs.withColumns({c: F.lit(7) for c in ("n_lines", "N_removed", "n_words", "hit", "items", "kept", "n_bytes", "n_spans", "own_5_")})
+    plain = ("doc_id", "text")
+    for stage in (corpus_pipeline.dedup_lines, corpus_pipeline.drop_contaminated):
+        out = stage(spark, own, str(tmp_path))
+        assert out.columns == own.columns and {r["items"] for r in out.collect()} == {7}
+        assert counted(out.select(*plain).collect()) == counted(stage(spark, docs, str(tmp_path)).select(*plain).collect())
+    benchmark = spark.read.parquet(f"{tmp_path}/benchmark.parquet")
+    for operator, args, added in ((lines.dedup_lines, (), ("n_lines", "n_removed")), (lines.dedup_runs, (), ("n_lines", "n_removed")), (decontaminate.mark, (benchmark,), ("n_words", "hit", "items")), (substring.dedup_bytes, (), ("kept", "n_bytes", "n_removed", "n_spans")), (debruijn.dedup_windows, (), ("kept", "n_words", "n_removed"))):
+        out = operator(own, *args, names={c: f"its_{c}" for c in added})
+        assert out.columns == [*own.columns, *(f"its_{c}" for c in added)]
+        assert counted(map(tuple, out.select("doc_id", *(f"its_{c}" for c in added)).collect())) == counted(map(tuple, operator(docs, *args).select("doc_id", *added).collect()))
