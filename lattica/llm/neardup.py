@@ -37,8 +37,8 @@ from .graph import components
 
 LEAST = 0.8
 COMPONENTS, BAND_ROWS = 96, 4
-#: Matching sketch components below which a pair cannot reach LEAST (3.5 standard deviations below the mean).
-LEAST_MATCHES = 63
+#: Matching sketch components below which a pair at LEAST falls with probability 3e-6, as with the bands.
+LEAST_MATCHES = 58
 #: Nodes of a tile, and of a band whose pairs are verified by joins; larger bands take their shingles along and verify in their tiles.
 TILE, SMALL_BAND = 256, 24
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import random
 
 import numpy as np
@@ -328,6 +329,12 @@ def test_signatures_estimate_weighted_similarity():
     assert (P.signatures(1, np.zeros(1, np.int64), code[:1], np.ones(1), 16) == code[0]).all()
 
 
+def test_sketch_bound_loses_no_more_than_the_bands():
+    p, m = neardup.LEAST + (1 - neardup.LEAST) / 256, neardup.COMPONENTS
+    tail = sum(math.comb(m, k) * p**k * (1 - p) ** (m - k) for k in range(neardup.LEAST_MATCHES))
+    assert tail <= (1 - neardup.LEAST**neardup.BAND_ROWS) ** (m // neardup.BAND_ROWS)
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (3, 4), (10, 11), (11, 12), (12, 10), (20, 20)]
     df = spark.createDataFrame([(bytes([a]), bytes([b])) for a, b in edges], "a binary, b binary")
