@@ -212,7 +212,8 @@ def _common_context(gram: np.ndarray, context: np.ndarray, length: np.ndarray) -
     """Longest prefix of each row of ``context`` (its first ``length`` bytes) that another row of the same gram has; -1 if there is no other."""
     words = np.zeros((len(context), -(-context.shape[1] // 8) * 8), np.uint8)
     words[:, : context.shape[1]] = context
-    by = np.lexsort([*words.view(">u8").astype(np.uint64).T[::-1], gram])
+    # of contexts that are equal once padded, the shorter first, as if their ends were below every byte
+    by = np.lexsort([length, *words.view(">u8").astype(np.uint64).T[::-1], gram])
     sorted_context, sorted_gram, sorted_length = context[by], gram[by], length[by]
     same = sorted_context[1:] == sorted_context[:-1]
     run = np.where(same.all(1), context.shape[1], same.argmin(1))

@@ -65,6 +65,11 @@ def test_bytes_empty_and_clashing(empty, clashing):
         substring.dedup_bytes(clashing.withColumn("Kept", F.lit(1)))
 
 
+def test_contexts_that_end_where_others_have_nul():
+    context, length = np.array([[97, 0], [97, 0], [97, 0]], np.uint8), np.array([2, 1, 2])
+    assert substring._common_context(np.ones(3, np.uint64), context, length).tolist() == [2, 1, 2]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.text("ab", min_size=4, max_size=30), min_size=1, max_size=12), st.integers(1, 4))
 def test_merged_transforms_find_the_equal_substrings(strings, parts):
