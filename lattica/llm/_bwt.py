@@ -38,18 +38,21 @@ class Transform:
 
 
 def interleave(parts: list[Transform], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Source of each rank of the merged suffixes, and whether its first ``depth`` symbols differ from the rank's before.
+    """Source of each rank of the merged suffixes, and the symbols, up to ``depth``, that it has in common with the rank's before.
 
     The first interleave has each part whole. A refinement reads all transforms in the order of the last
     interleave and deals their symbols out stably: what was in order by h symbols is then in order by
-    h + 1. Neighbours that a dealt symbol, or an earlier step, has told apart start a new interval.
+    h + 1. Neighbours that a dealt symbol, or an earlier step, has told apart start a new interval; an
+    interval's place is final, so the step at which one first starts at a rank is its common prefix.
     """
     source = np.repeat(np.arange(len(parts), dtype=np.uint8), [len(p.last) for p in parts])
     ends = np.repeat(np.arange(len(parts), dtype=np.uint8), [len(p.sizes) for p in parts])
     n = len(source)
     fresh = np.zeros(n, bool)
     fresh[:1] = True
-    for _ in range(depth):
+    common = np.full(n, depth, np.int32)
+    common[:1] = 0
+    for step in range(depth):
         symbol = np.empty(n, np.uint8)
         for i, p in enumerate(parts):
             symbol[source == i] = p.last
@@ -61,7 +64,8 @@ def interleave(parts: list[Transform], depth: int) -> tuple[np.ndarray, np.ndarr
         fresh[1:] |= symbol[1:] != symbol[:-1]
         source[: len(ends)] = ends  # terminators differ from one another
         fresh[: len(ends) + 1] = True
-    return source, fresh
+        np.minimum(common, step, out=common, where=fresh)
+    return source, common
 
 
 def repeated_intervals(data: np.ndarray, sizes: np.ndarray, depth: int, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -69,8 +73,8 @@ def repeated_intervals(data: np.ndarray, sizes: np.ndarray, depth: int, parts: i
     cuts = np.unique(np.linspace(0, len(sizes), parts + 1).astype(np.int64))
     ends = np.append(0, np.cumsum(sizes))
     made = [Transform(data[ends[a] : ends[b]], sizes[a:b], depth) for a, b in zip(cuts, cuts[1:], strict=False)]
-    source, fresh = interleave(made, depth)
-    interval = np.cumsum(fresh)
+    source, common = interleave(made, depth)
+    interval = np.cumsum(common < depth)
     strings, places, ids = [], [], []
     for i, t in enumerate(made):
         at = t.order

@@ -62,5 +62,5 @@ def free_names(docs: DataFrame, *added: str) -> dict[str, str]:
 
 
 def text_key(text: Column) -> Column:
-    """Sixteen bytes that stand for a whole text; null and empty texts have the same."""
-    return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+    """Sixteen bytes of SHA-256 that stand for a whole text; null and empty texts have the same."""
+    return F.substring(F.unhex(F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)), 1, 16)

@@ -1,17 +1,20 @@
-"""Vectorised kernels over many texts at once: word bounds, rolling and word hashes, minimisers.
+"""Vectorised kernels over many texts at once: word bounds, hashes and equality of spans, minimisers.
 
 All work on one ``uint8`` array that holds a block of texts, and cost a few passes over it.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
-#: Odd multiplier of the polynomial hashes, modulo 2**64.
+#: Odd multiplier of the hashes.
 BASE = 0x9E3779B97F4A7C15
+#: Bytes from which a span is hashed and compared by itself, not with all others eight bytes at a time.
+LONG = 1024
 #: Bytes of text that a kernel handles at once.
 BLOCK_BYTES = 2_000_000
 
@@ -52,36 +55,104 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-class Powers:
-    """Powers of the base and of its inverse, grown as needed."""
+def _joined(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Hash of a pair of hashes, in order."""
+    return mix(left * np.uint64(BASE) ^ (right + (right << np.uint64(31))))
 
-    def __init__(self, base: int = BASE) -> None:
-        self.base, self.inverse = base, pow(base, -1, 1 << 64)
-        self.up = self.down = np.ones(1, np.uint64)
 
-    def to(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            n = max(n, 2 * len(self.up))
-            grow = lambda b: np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n - 1, b, np.uint64)]))
-            self.up, self.down = grow(self.base), grow(self.inverse)
-        return self.up, self.down
+def _eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes that start at each place of ``data``, zeros beyond its end, as one integer each; a view, not a copy of them."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
 
 
-POWERS = Powers()
+#: Masks of the first 0 to 8 of eight bytes.
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
-def prefix_hash(symbols: np.ndarray) -> np.ndarray:
-    """Sums from which ``span_hash`` has the hash of any span. symbols: uint64, none zero."""
-    up, _ = POWERS.to(len(symbols) + 1)
-    out = np.zeros(len(symbols) + 1, np.uint64)
-    np.cumsum(symbols * up[: len(symbols)], out=out[1:])
+def byte_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hashes of the spans [start, end) of bytes, the same for equal spans wherever they stand.
+
+    Eight bytes at a time enter a state whose bits are all mixed in between, so no sum over positions can
+    cancel. A hash only proposes: what is removed or linked is compared by bytes or words first, and
+    ``seed`` gives another hash where that finds two different spans with the same one.
+    """
+    size = (ends - starts).astype(np.int64)
+    eights = _eights(data)
+    first = (size.astype(np.uint64) * np.uint64(BASE) + np.uint64(seed)) ^ (eights[starts] & _FIRST[np.minimum(size, 8)])
+    out = mix(first * np.uint64(BASE))
+    live, at = np.flatnonzero((size > 8) & (size <= LONG)), 8
+    while len(live):
+        left = size[live] - at
+        out[live] = mix((out[live] ^ (eights[starts[live] + at] & _FIRST[np.minimum(left, 8)])) * np.uint64(BASE))
+        live, at = live[left > 8], at + 8
+    for i in np.flatnonzero(size > LONG):
+        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8, key=seed.to_bytes(8, "little")).digest(), "little")
     return out
 
 
-def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the spans [start, end), the same for equal spans wherever they stand."""
-    _, down = POWERS.to(len(prefix))
-    return mix((prefix[end] - prefix[start]) * down[start] + (end - start).astype(np.uint64))
+def equal_spans(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the ``size`` bytes at each place ``a`` are those at ``b``."""
+    same = np.ones(len(a), bool)
+    eights = _eights(data)
+    live, at = np.flatnonzero((size > 0) & (size <= LONG)), 0
+    while len(live):
+        left = size[live] - at
+        ok = (eights[a[live] + at] ^ eights[b[live] + at]) & _FIRST[np.minimum(left, 8)] == 0
+        same[live[~ok]] = False
+        live, at = live[ok & (left > 8)], at + 8
+    for i in np.flatnonzero(size > LONG):
+        same[i] = (data[a[i] : a[i] + size[i]] == data[b[i] : b[i] + size[i]]).all()
+    return same
+
+
+def variants(data: np.ndarray, start: np.ndarray, size: np.ndarray, group: np.ndarray, digest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the spans by group, digest and bytes, and which of them, in that order, is not the span before it.
+
+    ``digest`` is a function of the bytes. Spans of one group and digest are compared byte by byte; those
+    that differ are told apart by sorting them, so the order is the same however the spans come.
+    """
+    by = np.lexsort((digest, group))
+    fresh = np.ones(len(by), bool)
+    g, d = group[by], digest[by]
+    alike = np.flatnonzero((g[1:] == g[:-1]) & (d[1:] == d[:-1]))
+    fresh[alike + 1] = False
+    x, y = by[alike], by[alike + 1]
+    ok = size[x] == size[y]
+    ok[ok] = equal_spans(data, start[x[ok]], start[y[ok]], size[x[ok]])
+    if not ok.all():
+        number = np.cumsum(fresh)
+        for n in np.unique(number[alike[~ok] + 1]):
+            low, high = np.searchsorted(number, [n, n + 1])
+            body = [data[start[i] : start[i] + size[i]].tobytes() for i in by[low:high]]
+            order = sorted(range(len(body)), key=body.__getitem__)
+            by[low:high] = by[low:high][order]
+            fresh[low + 1 : high] = [body[p] != body[q] for p, q in zip(order, order[1:], strict=False)]
+    return by, fresh
+
+
+class Levels:
+    """Hashes of all runs of 1, 2, 4, ... symbols; a run of any length is hashed by the two of them that cover it."""
+
+    def __init__(self, symbols: np.ndarray) -> None:
+        self.of = [symbols]
+
+    def level(self, k: int) -> np.ndarray:
+        while len(self.of) <= k:
+            last, step = self.of[-1], 1 << (len(self.of) - 1)
+            self.of.append(_joined(last[:-step], last[step:]) if len(last) > step else last[:0])
+        return self.of[k]
+
+    def span(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """64-bit hashes of the runs [start, end), the same for equal runs wherever they stand."""
+        size = end - start
+        out = np.zeros(len(size), np.uint64)
+        power = np.frexp(size.astype(np.float64))[1] - 1
+        for k in np.unique(power[size > 0]).tolist():
+            at = np.flatnonzero(power == k)
+            h = self.level(k)
+            out[at] = _joined(h[start[at]], h[end[at] - (1 << k)])
+        return mix(out + size.astype(np.uint64))
 
 
 def words(texts: list[bytes], inside: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -98,10 +169,6 @@ def words(texts: list[bytes], inside: np.ndarray, lower: bool = False) -> tuple[
     return data, starts, ends, np.searchsorted(starts, begin)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return span_hash(prefix_hash(data.astype(np.uint64) + np.uint64(1)), starts, ends)
-
-
 def sliding_min(a: np.ndarray, width: int) -> np.ndarray:
     """Least value of each ``width`` neighbours, by doubling."""
     span = 1
@@ -111,15 +178,12 @@ def sliding_min(a: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(a[: len(a) - (width - span)], a[width - span :]) if span < width else a
 
 
-def gram_hash(symbols: np.ndarray, k: int) -> np.ndarray:
-    """Hashes of all runs of ``k`` symbols (k a power of two), by doubling; empty if there are fewer."""
-    h, span, power = symbols, 1, np.uint64(BASE)
-    while span < k:
-        if len(h) <= span:
-            return np.zeros(0, np.uint64)
-        h = h[:-span] * power + h[span:]
-        span, power = span * 2, np.uint64(int(power) * int(power) % (1 << 64))
-    return mix(h)
+def byte_grams(data: np.ndarray) -> np.ndarray:
+    """Hashes of all runs of 16 bytes."""
+    if len(data) < 16:
+        return np.zeros(0, np.uint64)
+    eights = np.ascontiguousarray(_eights(data)[: len(data) - 7])
+    return _joined(eights[:-8], eights[8:])
 
 
 def distinct_runs(owner: np.ndarray) -> np.ndarray:

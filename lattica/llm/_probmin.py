@@ -17,13 +17,13 @@ def shingles(texts: list[bytes], width: int = WORDS) -> tuple[np.ndarray, np.nda
     text without words has none.
     """
     data, starts, ends, first = K.words(texts, K.SPACED)
-    h = K.word_hashes(data, starts, ends) | np.uint64(1)
+    h = K.byte_hashes(data, starts, ends)
     total = np.diff(first)
     number = np.where(total >= width, total - width + 1, np.minimum(total, 1))
     owner = np.repeat(np.arange(len(texts)), number)
     begin = K.ranges(first[:-1], number)
     end = begin + np.minimum(width, total)[owner]
-    code = K.span_hash(K.prefix_hash(h), begin, end)
+    code = K.Levels(h).span(begin, end)
     order = np.lexsort((code, owner))
     owner, code = owner[order], code[order]
     new = np.ones(len(code), bool)
@@ -55,3 +55,39 @@ def signatures(n: int, owner: np.ndarray, code: np.ndarray, weight: np.ndarray,
         win = (best[cell] == time) & (time < before)
         sig[cell[win]] = code[win]
     return sig.reshape(n, m)
+
+
+def probability_jaccard(x: np.ndarray, wx: np.ndarray, y: np.ndarray, wy: np.ndarray) -> float:
+    """Sum over common shingles i of 1 / sum over all shingles j of max(x_j / x_i, y_j / y_i), which the signatures estimate.
+
+    ``x`` and ``y`` are sorted and distinct. With equal weights this is the Jaccard similarity of the two sets.
+    """
+    merged = np.sort(np.concatenate([x, y]))
+    common = int((merged[1:] == merged[:-1]).sum())
+    if not common:
+        return 0.0
+    if (wx == 1).all() and (wy == 1).all():
+        return common / (len(merged) - common)
+    every = np.unique(merged)
+    a, b = np.zeros(len(every)), np.zeros(len(every))
+    a[np.searchsorted(every, x)], b[np.searchsorted(every, y)] = wx, wy
+    both = (a > 0) & (b > 0)
+    # j counts by a_j / a_i where a_j / b_j is the greater ratio, else by b_j / b_i: two running sums in the order of a / b
+    ratio = np.divide(a, b, out=np.full(len(every), np.inf), where=b > 0)
+    by = np.argsort(ratio, kind="stable")
+    sum_b = np.append(0, np.cumsum(b[by]))
+    sum_a = np.append(0, np.cumsum(a[by]))
+    at = np.searchsorted(ratio[by], ratio[both])
+    return float((1 / ((sum_a[-1] - sum_a[at]) / a[both] + sum_b[at] / b[both])).sum())
+
+
+def exact_similarity(x: bytes, y: bytes, counted: bool, width: int = WORDS) -> float:
+    """The same of two texts, from their words and not from hashes."""
+    number: dict[tuple[bytes, ...], int] = {}
+    sides = []
+    for text in (x, y):
+        words = text.split()
+        grams = zip(*(words[i:] for i in range(min(width, len(words)))), strict=False) if words else ()
+        code, count = np.unique(np.array([number.setdefault(g, len(number)) for g in grams], np.int64), return_counts=True)
+        sides += [code, count.astype(float) if counted else np.ones(len(code))]
+    return probability_jaccard(*sides)

@@ -6,13 +6,18 @@ windows have equal k-mers, so only runs whose k-mer repeats matter.
 
 1. One pass over the texts: the runs of each text (k-mer, digest of the run's words). Texts with the
    same bytes are one node with a number of copies.
-2. K-mers are edges of the graph, counted over all nodes. A run whose k-mer and digest repeat is a
-   repeated edge as a whole.
+2. Edges of the graph are the token k-mers that are least in some window, a sparse De Bruijn graph; they are
+   counted over all nodes. A run whose k-mer and digest repeat is a repeated edge with its context.
 3. Repeated edges that always follow one another compact into nonbranching paths: each edge points
-   to its only predecessor, and joins double the pointers until they reach the heads. A path's
-   occurrences are long repeated spans by source coordinates (node, start, length).
-4. Runs whose k-mer repeats, elsewhere or within the run, but whose digest doesn't are read again at their
-   source coordinates, one for each digest, and verified window by window.
+   to its only predecessor, and joins double the pointers until they reach the heads. All places of an edge
+   then lie in whole places of its path, which are long repeated spans by source coordinates (node,
+   start, length).
+4. The texts are read again at these coordinates, each path's place once and as a whole, and the words of all
+   places of a path are compared. Runs whose k-mer repeats, elsewhere or within the run, but whose digest
+   doesn't are read too, one for each digest; of their windows, those whose hash repeats are compared by words.
+
+Hashes only propose. Where places of one path, or windows of one hash, differ in a word, all is done again
+under another hash.
 
 Groups are counted by partial aggregates, so an edge that a third of all texts share is a row a task.
 
@@ -23,6 +28,7 @@ table gives no rows; columns besides doc_id and text are passed on.
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,10 +43,10 @@ WIDTH, KMER = 35, 8
 RUN = ("start", "n", "kmer", "digest", "loops")
 
 
-def _codes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Odd hashes of the words of the texts, and each text's first word."""
+def _codes(texts: list[bytes], seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of the texts, and each text's first word."""
     data, starts, ends, first = K.words(texts, K.SPACED)
-    return K.word_hashes(data, starts, ends) | np.uint64(1), first
+    return K.byte_hashes(data, starts, ends, seed), first
 
 
 def _window_starts(first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -49,13 +55,14 @@ def _window_starts(first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarra
     return np.repeat(np.arange(len(number)), number), K.ranges(first[:-1], number)
 
 
-def _block_runs(texts: list[bytes], width: int, k: int) -> list[tuple[np.ndarray, ...]]:
+def _block_runs(texts: list[bytes], width: int, k: int, seed: int) -> list[tuple[np.ndarray, ...]]:
     """For each text: starts, lengths (windows), k-mers and digests of its runs, and whether one may hold equal windows."""
-    h, first = _codes(texts)
+    h, first = _codes(texts, seed)
     owner, at = _window_starts(first, width)
     if not len(at):
         return [(np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool))] * len(texts)
-    gram = K.gram_hash(h, k)
+    levels = K.Levels(h)
+    gram = levels.level(k.bit_length() - 1)
     least = K.sliding_min(gram, width - k + 1)[at]
     # equal windows of one run have the k-mer at two places: both in one window, or further apart than a window
     low = np.uint64((1 << 24) - 1)
@@ -67,7 +74,7 @@ def _block_runs(texts: list[bytes], width: int, k: int) -> list[tuple[np.ndarray
     new[1:] = (least[1:] != least[:-1]) | (owner[1:] != owner[:-1])
     run = np.flatnonzero(new)
     length = np.diff(np.append(run, len(at)))
-    digest = K.span_hash(K.prefix_hash(h), at[run], at[run] + length + width - 1)
+    digest = levels.span(at[run], at[run] + length + width - 1)
     start = (at[run] - first[owner[run]]).astype(np.int32)
     cut = np.searchsorted(owner[run], np.arange(len(texts) + 1))
     loops = np.logical_or.reduceat(two, run) | (length > width - k + 1)
@@ -75,13 +82,13 @@ def _block_runs(texts: list[bytes], width: int, k: int) -> list[tuple[np.ndarray
     return [tuple(c[a:b] for c in columns) for a, b in zip(cut, cut[1:], strict=False)]
 
 
-def text_runs(texts: DataFrame, width: int = WIDTH, k: int = KMER) -> DataFrame:
-    """key and the runs' start, n, kmer, digest, loops of (key, text)."""
+def text_runs(texts: DataFrame, width: int = WIDTH, k: int = KMER, seed: int = 0) -> DataFrame:
+    """key and the runs' start, n, kmer, digest, loops of (key, text); k is a power of two."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = K.as_bytes(batch.column("text"))
-            rows = [r for a, b in K.blocks(own) for r in _block_runs(own[a:b], width, k)]
+            rows = [r for a, b in K.blocks(own) for r in _block_runs(own[a:b], width, k, seed)]
             kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("key"), *(pa.array([r[i] for r in rows], pa.list_(kind)) for i, kind in enumerate(kinds))], names=["key", *RUN])
 
@@ -115,58 +122,100 @@ def paths(runs: DataFrame) -> DataFrame:
     return now.select("label", F.coalesce("up", "label").alias("path"))
 
 
+def path_places(runs: DataFrame) -> DataFrame:
+    """node, path, start, n: the places of the paths of ``runs`` (node, start, n, label); each is a whole path."""
+    known = stash(paths(runs), "runs-paths")
+    by = Window.partitionBy("node").orderBy("start")
+    follows = F.coalesce((F.lag(F.col("start") + F.col("n")).over(by) == F.col("start")) & (F.lag("path").over(by) == F.col("path")) & (F.col("label") != F.col("path")), F.lit(False))
+    numbered = runs.join(known, "label").withColumn("new", F.when(follows, 0).otherwise(1)).withColumn("part", F.sum("new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    return numbered.groupBy("node", "part").agg(F.first("path").alias("path"), F.min("start").alias("start"), F.sum("n").cast("int").alias("n")).drop("part")
+
+
 def repeated_spans(docs: DataFrame, width: int = WIDTH, k: int = KMER) -> DataFrame:
     """key, spans: the runs of windows (start, n) of each text whose windows all start elsewhere too."""
     small_batches(docs.sparkSession)
+    seed = 0
+    while (spans := _spans(docs, width, k, seed)) is None:
+        seed = secrets.randbits(64)
+    return spans
+
+
+def _spans(docs: DataFrame, width: int, k: int, seed: int) -> DataFrame | None:
+    """As repeated_spans; None if words differ where their hashes under ``seed`` agree."""
     keyed = docs.select(text_key(F.col("text")).alias("key"), "text")
-    found = text_runs(keyed, width, k).where(F.size("start") > 0)
+    found = text_runs(keyed, width, k, seed).where(F.size("start") > 0)
     nodes = stash(found.groupBy("key").agg(F.count("*").alias("copies"), F.first(F.struct(*RUN)).alias("r")).select(F.monotonically_increasing_id().alias("node"), "key", "copies", "r.*"), "runs-nodes")
     runs = nodes.select("node", "copies", F.explode(F.arrays_zip(*RUN)).alias("r")).select("node", "copies", "r.*")
     variants = runs.groupBy("kmer", "digest").agg(F.sum("copies").alias("times"), F.max("loops").alias("loops"))
     of_kmer = variants.groupBy("kmer").agg(F.sum("times").alias("all_times"), F.count("*").alias("variants"), F.max("loops").alias("any_loops")).where("all_times > 1 or any_loops").select("kmer", "variants")
     known = stash(variants.join(of_kmer, "kmer"), "runs-repeated")
     repeated = stash(runs.drop("copies", "loops").join(known, ["kmer", "digest"]).withColumn("label", F.xxhash64("kmer", "digest")), "runs-places")
+    drop_stash(known)
 
-    whole = repeated.where("times > 1").select("node", "start", "n", "label")
-    named = stash(paths(whole), "runs-paths")
-    by = Window.partitionBy("node").orderBy("start")
-    follows = F.coalesce((F.lag(F.col("start") + F.col("n")).over(by) == F.col("start")) & (F.lag("path").over(by) == F.col("path")) & (F.col("label") != F.col("path")), F.lit(False))
-    numbered = whole.join(named, "label").withColumn("new", F.when(follows, 0).otherwise(1)).withColumn("part", F.sum("new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    long_spans = numbered.groupBy("node", "part").agg(F.min("start").alias("start"), F.sum("n").cast("int").alias("n")).select("node", "start", "n")
-
+    long_spans = stash(path_places(repeated.where("times > 1").select("node", "start", "n", "label")), "runs-long")
     # one source of each digest of the k-mers that have several, or whose run may hold equal windows
     sources = repeated.where("variants > 1 or loops").groupBy("kmer", "digest").agg(F.min(F.struct("node", "start", "n")).alias("s"), F.first("times").alias("times"))
+    places = long_spans.groupBy("node").agg(F.collect_list(F.struct("path", "start", "n")).alias("places"))
     wanted = sources.groupBy("s.node").agg(F.collect_list(F.struct("kmer", "digest", "times", "s.start", "s.n")).alias("wanted"))
-    wanted = wanted.join(nodes.select("node", "key"), "node").select("key", "wanted")
-    windows = stash(_windows(keyed.join(wanted, "key"), width), "runs-windows")
-    one = windows.dropDuplicates(["kmer", "digest"]).select("kmer", "digest", "times", F.posexplode("windows").alias("offset", "window"))
-    twice = one.groupBy("kmer", "window").agg(F.sum("times").alias("all_times")).where("all_times > 1").select("kmer", "window")
-    single = windows.where("times = 1").dropDuplicates(["kmer", "digest"]).select("kmer", "digest", F.posexplode("windows").alias("offset", "window"))
-    verified = single.join(twice, ["kmer", "window"], "left_semi").groupBy("kmer", "digest").agg(F.collect_list("offset").alias("offsets"))
+    wanted = nodes.select("node", "key").join(places.join(wanted, "node", "full"), "node").drop("node")
+    texts = keyed.groupBy("key").agg(F.first("text").alias("text"))
+    read = stash(_read(texts.join(wanted, "key"), width, seed), "runs-words")
+    differs = lambda g: bool(g.agg((F.min("words") != F.max("words")).alias("differ")).where("differ").limit(1).count())
+    collided = differs(read.where("path is not null").groupBy("path"))
+
+    windows = read.where("path is null")
+    one = windows.select("kmer", "digest", "times", F.posexplode("windows").alias("offset", "window"))
+    twice = stash(one.groupBy("kmer", "window").agg(F.sum("times").alias("all_times")).where("all_times > 1").select("kmer", "window"), "runs-windows")
+    matched = one.join(twice, ["kmer", "window"], "left_semi").groupBy("kmer", "digest").agg(F.collect_list(F.struct("offset", "window")).alias("found"))
+    matched = stash(windows.select("kmer", "digest", "times", "words").join(matched, ["kmer", "digest"]).select("kmer", "digest", "times", "found", F.split(F.col("words").cast("string"), " ").alias("w")), "runs-matched")
+    exact = matched.select("kmer", "w", F.explode("found").alias("f")).select("kmer", "f.window", F.array_join(F.slice("w", F.col("f.offset") + 1, width), " ").alias("words"))
+    collided = collided or differs(exact.groupBy("kmer", "window"))
+    if collided:
+        for made in (nodes, repeated, long_spans, read, twice, matched):
+            drop_stash(made)
+        return None
+    verified = matched.where("times = 1").select("kmer", "digest", F.col("found.offset").alias("offsets"))
     short_spans = repeated.where("times = 1").join(verified, ["kmer", "digest"]).select("node", F.explode("offsets").alias("o"), "start").select("node", (F.col("start") + F.col("o")).alias("start"), F.lit(1).alias("n"))
-
-    by_node = long_spans.unionByName(short_spans).groupBy("node").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
-    return nodes.select("node", "key").join(by_node, "node").select("key", "spans")
+    by_node = long_spans.drop("path").unionByName(short_spans).groupBy("node").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
+    spans = stash(nodes.select("node", "key").join(by_node, "node").select("key", "spans"), "runs-spans")
+    for made in (nodes, repeated, long_spans, read, twice, matched):
+        drop_stash(made)
+    return spans
 
 
-def _windows(texts: DataFrame, width: int) -> DataFrame:
-    """kmer, digest, times, windows (hashes in order) of the runs in ``wanted`` of (key, text, wanted)."""
+def _read(texts: DataFrame, width: int, seed: int) -> DataFrame:
+    """What stands at the source coordinates of (text, places, wanted): the words of the paths in ``places``, and the
+    words and window hashes, in order, of the runs in ``wanted``; either may be null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own, wanted = K.as_bytes(batch.column("text")), batch.column("wanted")
+            own = K.as_bytes(batch.column("text"))
             for a, b in K.blocks(own):
-                h, first = _codes(own[a:b])
-                part = wanted.slice(a, b - a)
-                flat, count = part.flatten(), np.array([len(x) for x in part], np.int64)
-                place = first[np.repeat(np.arange(b - a), count)] + flat.field("start").to_numpy()
-                n = flat.field("n").to_numpy().astype(np.int64)
+                data, starts, ends, first = K.words(own[a:b], K.SPACED)
+                raw = data.tobytes()
+
+                def at_source(name: str) -> tuple[pa.StructArray, np.ndarray, np.ndarray, list[bytes]]:
+                    part = batch.column(name).slice(a, b - a)  # noqa: B023
+                    flat, count = part.flatten(), np.array([len(x) if x.is_valid else 0 for x in part], np.int64)
+                    place = first[np.repeat(np.arange(len(part)), count)] + flat.field("start").to_numpy()  # noqa: B023
+                    n = flat.field("n").to_numpy().astype(np.int64)
+                    body = [b" ".join(raw[s:e].split()) for s, e in zip(starts[place].tolist(), ends[place + n + width - 2].tolist(), strict=True)]  # noqa: B023
+                    return flat, place, n, body
+
+                flat, _, _, body = at_source("places")
+                yield rows(len(body), path=flat.field("path"), words=pa.array(body, pa.binary()))
+                flat, place, n, body = at_source("wanted")
                 at = K.ranges(place, n)
-                window = K.span_hash(K.prefix_hash(h), at, at + width).astype(np.int64)
+                window = K.Levels(K.byte_hashes(data, starts, ends, seed)).span(at, at + width).astype(np.int64)
                 lists = pa.ListArray.from_arrays(np.append(0, np.cumsum(n)).astype(np.int32), pa.array(window))
-                yield pa.RecordBatch.from_arrays([flat.field("kmer"), flat.field("digest"), flat.field("times"), lists], names=["kmer", "digest", "times", "windows"])
+                yield rows(len(body), words=pa.array(body, pa.binary()), windows=lists, **{c: flat.field(c) for c in ("kmer", "digest", "times")})
+
+    kinds = {"path": pa.int64(), "words": pa.binary(), "kmer": pa.int64(), "digest": pa.int64(), "times": pa.int64(), "windows": pa.list_(pa.int64())}
+
+    def rows(n: int, **columns: pa.Array) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([columns[c] if c in columns else pa.nulls(n, kind) for c, kind in kinds.items()], names=list(kinds))
 
-    return texts.select("text", "wanted").mapInArrow(run, "kmer long, digest long, times long, windows array<long>")
+    return texts.select("text", "places", "wanted").mapInArrow(run, "path long, words binary, kmer long, digest long, times long, windows array<long>")
 
 
 @named("kept", "n_words", "n_removed")
@@ -174,7 +223,7 @@ def dedup_windows(docs: DataFrame, width: int = WIDTH, k: int = KMER) -> DataFra
     """``docs`` with kept (the words left, joined by single spaces; binary), n_words and n_removed."""
     if clash := {c.lower() for c in docs.columns} & {"kept", "n_words", "n_removed"}:
         raise ValueError(f"columns {sorted(clash)} would be hidden")
-    spans = stash(repeated_spans(docs, width, k), "runs-spans")
+    spans = repeated_spans(docs, width, k)
     key, marks = free_name(docs, "key_"), free_name(docs, "spans_")
     joined = docs.withColumn(key, text_key(F.col("text"))).join(spans.select(F.col("key").alias(key), F.col("spans").alias(marks)), key, "left").drop(key)
     own = docs.columns

@@ -60,11 +60,7 @@ def windows_of(words: list[bytes], width: int = WIDTH) -> set[bytes]:
 
 def _hash_all(words: list[bytes]) -> np.ndarray:
     data, starts, ends, _ = K.words(words, K.ALNUM)
-    return K.word_hashes(data, starts, ends)
-
-
-def _sequence(h: np.ndarray) -> np.ndarray:
-    return K.prefix_hash(h | np.uint64(1))
+    return K.byte_hashes(data, starts, ends)
 
 
 def count_words(docs: DataFrame, vocabulary: np.ndarray) -> np.ndarray:
@@ -77,7 +73,7 @@ def count_words(docs: DataFrame, vocabulary: np.ndarray) -> np.ndarray:
             texts = K.as_bytes(batch.column("text"))
             for a, b in K.blocks(texts):
                 data, starts, ends, _ = K.words(texts[a:b], K.ALNUM, lower=True)
-                h = K.word_hashes(data, starts, ends)
+                h = K.byte_hashes(data, starts, ends)
                 at = np.minimum(np.searchsorted(known.value, h), len(seen) - 1)
                 seen += np.bincount(at[known.value[at] == h], minlength=len(seen))
         some = np.flatnonzero(seen)
@@ -100,7 +96,7 @@ def make_block(windows: dict[bytes, list[str]], rarity) -> Block:
     begin = np.cumsum(length) - length
     offset = np.array([int(np.lexsort((flat[b : b + n], order[b : b + n]))[0]) for b, n in zip(begin, length, strict=True)], np.int64)
     token = flat[begin + offset]
-    hashes = K.span_hash(_sequence(flat), begin, begin + length)
+    hashes = K.Levels(flat).span(begin, begin + length)
     by = np.argsort(token, kind="stable")
     prefix, first = np.unique(token[by], return_index=True)
     return Block(prefix, np.append(first, len(by)), offset[by], length[by], hashes[by], [texts[i] for i in by], [windows[texts[i]] for i in by])
@@ -122,7 +118,7 @@ def window_blocks(benchmark: DataFrame, width: int, most: int) -> Iterator[dict[
 def occurrences(texts: list[bytes], block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """First words of the texts, and document, start (of all words) and window of each occurrence."""
     data, starts, ends, first = K.words(texts, K.ALNUM, lower=True)
-    h = K.word_hashes(data, starts, ends)
+    h = K.byte_hashes(data, starts, ends)
     at = np.minimum(np.searchsorted(block.prefix, h), len(block.prefix) - 1)
     here = np.flatnonzero(block.prefix[at] == h)
     lists = block.first[at[here] + 1] - block.first[at[here]]
@@ -133,7 +129,7 @@ def occurrences(texts: list[bytes], block: Block) -> tuple[np.ndarray, np.ndarra
     end = start + block.length[window]
     ok = (start >= first[doc]) & (end <= first[doc + 1])
     start, end, window, doc = start[ok], end[ok], window[ok], doc[ok]
-    ok = K.span_hash(_sequence(h), start, end) == block.hashes[window]
+    ok = K.Levels(h).span(start, end) == block.hashes[window]
     start, end, window, doc = start[ok], end[ok], window[ok], doc[ok]
     raw = data.tobytes()
     same = np.array([b" ".join(raw[a:b] for a, b in zip(starts[s:e], ends[s:e], strict=True)) == block.words[w] for s, e, w in zip(start, end, window, strict=True)], bool)

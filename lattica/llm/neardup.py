@@ -1,9 +1,9 @@
 """Near-duplicate classes by ProbMinHash, banding and verification.
 
-Two texts are linked if the sets of their five-word shingles have a Jaccard similarity of 0.8 or more;
-a class is a connected component of links, exact copies included. (With equal weights, which the
-query takes, the probability Jaccard that ProbMinHash estimates is that similarity; ``weight='count'``
-weighs a shingle by how often it stands in the text for candidates.)
+Two texts are linked if the probability Jaccard similarity of their five-word shingles is 0.8 or more;
+a class is a connected component of links, exact copies included. ``weight='count'`` weighs a shingle
+by how often it stands in its text, for candidates and for verification alike. With equal weights, which
+the query takes, that similarity is the Jaccard similarity of the sets of shingles.
 
 1. One pass over the texts: signature, a byte a component as a sketch, and band hashes. Texts with the
    same bytes are one node from here on.
@@ -11,10 +11,12 @@ weighs a shingle by how often it stands in the text for candidates.)
 3. Each node is verified against the most central node of one of its bands (that with the greatest
    sum of band sizes, of those the best estimate). Verified links make components.
 4. Nodes that share a band but no component are compared tile by tile by their sketches, each pair in its
-   first common band only; pairs that can reach the threshold are verified against their shingles,
+   first common band only; pairs that can reach the threshold are verified against their texts,
    in large bands within the tile, which returns links alone. So no pair inside a component is ever
    made, no task holds more than two tiles, and a band of any size is many small tasks.
 
+Hashes of shingles only propose: a pair that they put at the threshold is a link if its words do so too.
+
 Cases: null and empty texts are copies of one another, and texts without words link to exact copies only;
 a text of fewer than five words is one shingle; null doc_id: the class is named by the least doc_id
 that is not null; rows with the same doc_id are documents of their own; an empty table gives no rows;
@@ -32,7 +34,7 @@ from pyspark.sql import functions as F
 
 from . import _kernels as K
 from . import _probmin as P
-from ._common import free_name, small_batches, stash, table, text_key
+from ._common import drop_stash, free_name, small_batches, stash, table, text_key
 from .graph import components
 
 LEAST = 0.8
@@ -68,37 +70,34 @@ def signature_rows(docs: DataFrame, m: int = COMPONENTS, r: int = BAND_ROWS, wei
     return docs.select("doc_id", text_key(F.col("text")).alias("key"), "text").mapInArrow(run, f"doc_id {kind}, key binary, sketch binary, bands array<long>")
 
 
-def _shingle_sets(texts: DataFrame) -> DataFrame:
-    """key, codes (the text's distinct shingle hashes in order, as bytes) of texts (key, text)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own = K.as_bytes(batch.column("text"))
-            out: list[bytes] = []
-            for a, b in K.blocks(own):
-                owner, code, _ = P.shingles(own[a:b])
-                cut = np.searchsorted(owner, np.arange(b - a + 1))
-                out += [code[s:e].tobytes() for s, e in zip(cut, cut[1:], strict=False)]
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(out, pa.binary())], names=["key", "codes"])
-
-    return texts.mapInArrow(run, "key binary, codes binary")
+class _Judge:
+    """Whether texts of a batch are similar: by the hashes of their shingles, then by their words."""
 
+    def __init__(self, texts: list[bytes], least: float, weight: str) -> None:
+        self.texts, self.least, self.counted = texts, least, weight == "count"
+        self.sides: list[tuple[np.ndarray, np.ndarray]] = []
+        for a, b in K.blocks(texts):
+            owner, code, count = P.shingles(texts[a:b])
+            cut = np.searchsorted(owner, np.arange(b - a + 1))
+            weights = count.astype(float) if self.counted else np.ones(len(code))
+            self.sides += [(code[s:e], weights[s:e]) for s, e in zip(cut, cut[1:], strict=False)]
 
-def _similarity(x: np.ndarray, y: np.ndarray) -> float:
-    """Jaccard similarity of two sorted sets."""
-    both = np.sort(np.concatenate([x, y]))
-    common = int((both[1:] == both[:-1]).sum())
-    return common / (len(both) - common) if len(both) else 0.0
+    def similar(self, i: int, j: int) -> bool:
+        return P.probability_jaccard(*self.sides[i], *self.sides[j]) >= self.least and P.exact_similarity(self.texts[i], self.texts[j], self.counted) >= self.least
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) whose shingle sets reach the similarity."""
-    with_a = pairs.join(sets.select(F.col("key").alias("a"), F.col("codes").alias("codes_a")), "a")
-    with_b = with_a.join(sets.select(F.col("key").alias("b"), F.col("codes").alias("codes_b")), "b").select("a", "b", "codes_a", "codes_b")
+def _verified(pairs: DataFrame, texts: DataFrame, least: float, weight: str) -> DataFrame:
+    """The pairs (a, b) whose texts reach the similarity."""
+    with_a = pairs.join(texts.select(F.col("key").alias("a"), F.col("text").alias("text_a")), "a")
+    with_b = with_a.join(texts.select(F.col("key").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = [_similarity(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) >= least for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            sides = [K.as_bytes(batch.column(i)) for i in (2, 3)]
+            number: dict[bytes, int] = {}
+            left, right = ([number.setdefault(t, len(number)) for t in side] for side in sides)
+            judge = _Judge(list(number), least, weight)
+            ok = [judge.similar(i, j) for i, j in zip(left, right, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     return with_b.mapInArrow(run, "a binary, b binary")
@@ -122,10 +121,10 @@ def _spread(members: DataFrame) -> DataFrame:
     return spread.select(*members.columns, F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), "tile")
 
 
-def _tile_pairs(members: DataFrame, matches: int, least: float | None) -> DataFrame:
+def _tile_pairs(members: DataFrame, matches: int, least: float | None, weight: str) -> DataFrame:
     """Pairs (a, b) of ``members`` (band, key, sketch, root, bands) that share the band first, differ in root and whose sketches match.
 
-    With ``least``, members also have their codes, and of the pairs the tile verifies, the likeliest
+    With ``least``, members also have their text, and of the pairs the tile verifies, the likeliest
     first, only links that join components: fewer than the tile has nodes.
     """
 
@@ -151,11 +150,13 @@ def _tile_pairs(members: DataFrame, matches: int, least: float | None) -> DataFr
         none = np.zeros(0, np.int64)
         first, second, score = (np.concatenate([*x, none]).astype(np.int64) for x in (first, second, score))
         if least is not None:
-            codes = [np.frombuffer(x, np.uint64) for x in group.column("codes").to_pylist()]
+            used = np.zeros(len(key), bool)
+            used[first] = used[second] = True
+            judge = _Judge([t if u else b"" for t, u in zip(K.as_bytes(group.column("text")), used, strict=True)], least, weight)
             keep = []
             for p in np.argsort(-score, kind="stable"):
                 i, j = first[p], second[p]
-                if root[i] != root[j] and _similarity(codes[i], codes[j]) >= least:
+                if root[i] != root[j] and judge.similar(i, j):
                     keep.append(p)
                     root[root == root[j]] = root[i]
             first, second = first[keep], second[keep]
@@ -175,23 +176,26 @@ def near_classes(docs: DataFrame, least: float = LEAST, m: int = COMPONENTS, r:
     several = stash(nodes.join(central, "key"), "near-nodes")
 
     texts = docs.select(text_key(F.col("text")).alias("key"), "text").join(several.select("key"), "key", "left_semi").dropDuplicates(["key"])
-    sets = stash(_shingle_sets(texts), "near-sets")
+    texts = stash(texts, "near-texts")
 
     weighed = shared.join(several.select("key", "weight"), "key")
     centres = weighed.groupBy("band").agg(F.max(F.struct("weight", "key"))["key"].alias("centre"))
     # of a node's centres the one that most of its bands share
     votes = shared.join(centres, "band").where("key <> centre").groupBy("key", "centre").agg(F.count("*").alias("votes"))
     stars = votes.groupBy("key").agg(F.max(F.struct("votes", "centre"))["centre"].alias("b")).select(F.col("key").alias("a"), "b")
-    links = stash(_verified(stars, sets, least), "near-stars")
+    links = stash(_verified(stars, texts, least, weight), "near-stars")
 
     known = components(links)
     members = shared.select("band", "key").join(several.select("key", "sketch", "bands"), "key").join(known.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     open_bands = members.groupBy("band").agg((F.min("root") != F.max("root")).alias("open"), F.count("*").alias("members")).where("open").select("band", "members")
     members = stash(members.join(open_bands, "band"), "near-members")
     few, many = members.where(F.col("members") <= SMALL_BAND).drop("members"), members.where(F.col("members") > SMALL_BAND).drop("members")
-    pairs = stash(_tile_pairs(few, matches, None).distinct(), "near-pairs")
-    more = _verified(pairs, sets, least).unionByName(_tile_pairs(many.join(sets, "key"), matches, least))
-    return rows.select("doc_id", "key"), components(links.unionByName(more).select("a", "b")).withColumnRenamed("node", "key")
+    pairs = stash(_tile_pairs(few, matches, None, weight).distinct(), "near-pairs")
+    more = _verified(pairs, texts, least, weight).unionByName(_tile_pairs(many.join(texts, "key"), matches, least, weight))
+    classes = components(links.unionByName(more).select("a", "b")).withColumnRenamed("node", "key")
+    for made in (shared, several, texts, links, known, members, pairs):
+        drop_stash(made)
+    return rows.select("doc_id", "key"), classes
 
 
 def with_class(ids: DataFrame, classes: DataFrame) -> DataFrame:
@@ -200,14 +204,17 @@ def with_class(ids: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One row of ``docs`` for each class, all columns: that with the least doc_id (null last), then the least text hash."""
+    """One row of ``docs`` for each class, all columns: that with the least doc_id (null last), then the least text hash, then the least row hash."""
     ids, classes = near_classes(docs)
     best = with_class(ids, classes).groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")).alias("best"))
     key, flag = free_name(docs, "key_"), free_name(docs, "id_")
     chosen = best.select(F.col("best.key").alias(key), F.col("best.doc_id").alias(flag)).distinct()
     keyed = docs.withColumn(key, text_key(F.col("text")))
+    own = [F.col(f"`{c}`") for c in docs.columns]
     kept = keyed.join(chosen, key).where(F.col("doc_id").eqNullSafe(F.col(flag)))
-    return kept.dropDuplicates([key]).select(*[f"`{c}`" for c in docs.columns])
+    # rows that agree in doc_id and text may differ elsewhere
+    row = F.min_by(F.struct(*own), F.xxhash64(F.to_json(F.struct(*[c for c, n in zip(own, docs.columns, strict=True) if n != "text"]))))
+    return kept.groupBy(key).agg(row.alias(flag)).select(f"{flag}.*")
 
 
 def op6_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -65,7 +65,7 @@ def _block(texts: list[bytes]) -> np.ndarray:
     square = np.bincount(of, (length - mean[of]) ** 2, n) + USUAL_WORDS * USUAL["word_spread"] ** 2
     spread = np.sqrt(square / (total + USUAL_WORDS))
     short = np.bincount(of, length <= 3, n)
-    h = K.word_hashes(data, starts, ends)
+    h = K.byte_hashes(data, starts, ends)
     again = np.bincount(of[1:], (h[1:] == h[:-1]) & (of[1:] == of[:-1]), n) if len(h) else np.zeros(n)
     key = np.sort((of.astype(np.uint64) << np.uint64(40)) | (h >> np.uint64(24)))
     run = K.distinct_runs(key)

@@ -7,8 +7,8 @@ be compared with those of its gram.
 
 1. Documents are dealt out to shards by hash, also copies of one text. A shard sends the distinct grams
    of its runs to buckets, which answer with a bit each: whether documents with different ids have it.
-2. A shard sends its distinct segments of those grams with their least doc_id. A bucket merges equal segments. Where
-   a gram has several, common prefixes of the contexts on either side bound the part that
+2. A shard sends its distinct segments of those grams with their least doc_id. A bucket merges equal segments, whose
+   bytes are compared, here as in the shard; no hash decides what is removed. Where a gram has several, common prefixes of the contexts on either side bound the part that
    another segment can share; those parts, in up to ``PARTS`` collections, get a transform each, the
    transforms are merged by interleave refinement to ``width`` symbols, and the intervals of
    the merged suffixes are the repeated strings. The bucket answers with runs of least doc_ids.
@@ -74,8 +74,7 @@ class Runs:
             number = np.where(use[a:b], np.maximum(size - width + 1, 0), 0)
             if not number.any():
                 continue
-            symbols = np.frombuffer(b"".join(texts[a:b]), np.uint8).astype(np.uint64) + np.uint64(1)
-            least = K.sliding_min(K.gram_hash(symbols, GRAM), width - GRAM + 1)
+            least = K.sliding_min(K.byte_grams(np.frombuffer(b"".join(texts[a:b]), np.uint8)), width - GRAM + 1)
             # a run ends where the least gram changes, and at both ends of a document's windows
             change = np.flatnonzero(least[1:] != least[:-1]) + 1
             edge = np.unique(np.concatenate([change, first, first + number]))
@@ -91,18 +90,10 @@ class Runs:
     def take(self, index: np.ndarray) -> None:
         self.row, self.start, self.n, self.gram = (x[index] for x in (self.row, self.start, self.n, self.gram))
 
-    def digests(self) -> np.ndarray:
-        """A hash of the bytes of each run's segment."""
-        out = np.zeros(len(self.row), np.uint64)
-        for a, b in K.blocks(self.texts, RUN_BYTES):
-            low, high = np.searchsorted(self.row, [a, b])
-            if low == high:
-                continue
-            size = np.array([len(t) for t in self.texts[a:b]], np.int64)
-            prefix = K.prefix_hash(np.frombuffer(b"".join(self.texts[a:b]), np.uint8).astype(np.uint64) + np.uint64(1))
-            start = (np.cumsum(size) - size)[self.row[low:high] - a] + self.start[low:high]
-            out[low:high] = K.span_hash(prefix, start, start + self.n[low:high] + self.width - 1)
-        return out
+    def segments(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All texts' bytes end to end, and where in them the segment of each run begins, and its size."""
+        size = np.array([len(t) for t in self.texts], np.int64)
+        return np.frombuffer(b"".join(self.texts), np.uint8), (np.cumsum(size) - size)[self.row] + self.start, self.n + self.width - 1
 
 
 def _dealt(docs: DataFrame, shards: int, name: str) -> DataFrame:
@@ -171,12 +162,11 @@ def _known(runs: Runs, buckets: int, answers: dict[int, bytes]) -> None:
 
 
 def _segments(runs: Runs) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Order of gram, digest; where a distinct segment starts in it; and the digest of each."""
-    digest = runs.digests()
-    by = np.lexsort((digest, runs.gram))
-    new = np.ones(len(by), bool)
-    new[1:] = (runs.gram[by][1:] != runs.gram[by][:-1]) | (digest[by][1:] != digest[by][:-1])
-    at = np.flatnonzero(new)
+    """Order of gram, digest, bytes; where a distinct segment starts in it; and the digest of each."""
+    data, start, size = runs.segments()
+    digest = K.byte_hashes(data, start, start + size)
+    by, fresh = K.variants(data, start, size, runs.gram, digest)
+    at = np.flatnonzero(fresh)
     return by, at, digest[by][at]
 
 
@@ -232,7 +222,7 @@ def _shared_parts(gram: np.ndarray, data: np.ndarray, size: np.ndarray, width: i
     bytes of context in common with another segment. Where a segment has its gram twice, nothing is bounded.
     """
     first = np.cumsum(size) - size
-    h = K.mix(K.gram_hash(data.astype(np.uint64) + np.uint64(1), GRAM))
+    h = K.mix(K.byte_grams(data))
     owner = np.repeat(np.arange(len(size)), size)[: len(h)]
     hit = np.flatnonzero(h == gram[owner])
     hit = hit[hit + GRAM <= (first + size)[owner[hit]]]
@@ -262,9 +252,7 @@ def _merge_segments(group: pa.Table, width: int) -> pa.Table:
     data = np.concatenate([x[4] for x in sent])
     size = n.astype(np.int64) + width - 1
     first = np.cumsum(size) - size
-    by = np.lexsort((digest, gram))
-    new = np.ones(len(by), bool)
-    new[1:] = (gram[by][1:] != gram[by][:-1]) | (digest[by][1:] != digest[by][:-1])
+    by, new = K.variants(data, first, size, gram, digest)
     at = np.flatnonzero(new)
     variant = np.empty(len(by), np.int64)
     variant[by] = np.cumsum(new) - 1
@@ -294,10 +282,7 @@ def _merge_segments(group: pa.Table, width: int) -> pa.Table:
             part = data[K.ranges(first[one[source[x]]] + begin[x], length)]
             # segments that share the same part are one string
             stop = np.cumsum(length)
-            code = K.span_hash(K.prefix_hash(part.astype(np.uint64) + np.uint64(1)), stop - length, stop)
-            order = np.lexsort((code, grams[x]))
-            fresh = np.ones(len(order), bool)
-            fresh[1:] = (code[order][1:] != code[order][:-1]) | (grams[x][order][1:] != grams[x][order][:-1])
+            order, fresh = K.variants(part, stop - length, length, grams[x], K.byte_hashes(part, stop - length, stop))
             lead = np.flatnonzero(fresh)
             member = np.empty(len(order), np.int64)
             member[order] = np.cumsum(fresh) - 1

@@ -6,6 +6,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -101,6 +102,95 @@ def test_merging_equals_sorting_all_suffixes():
     assert (merged == one.last).all()
 
 
+def test_common_prefixes_come_from_the_merge():
+    rng = random.Random(4)
+    raw = ["".join(rng.choice("ab") for _ in range(rng.randrange(5, 30))).encode() for _ in range(20)]
+    sizes = np.array([len(s) for s in raw])
+    ends = np.append(0, np.cumsum(sizes))
+    data = np.frombuffer(b"".join(raw), np.uint8)
+    parts = [_bwt.Transform(data[ends[a] : ends[b]], sizes[a:b], 12) for a, b in ((0, 7), (7, 12), (12, 20))]
+    source, common = _bwt.interleave(parts, 12)
+    suffixes, seen = [], [0, 0, 0]
+    for part in source.tolist():
+        p = parts[part]
+        place = int(p.order[seen[part]])
+        seen[part] += 1
+        string = int(np.searchsorted(p.begin, place, side="right")) - 1
+        suffixes.append(raw[(0, 7, 12)[part] + string][place - int(p.begin[string]) :])
+    for k in range(1, len(suffixes)):
+        x, y = suffixes[k - 1], suffixes[k]
+        shared = next((i for i, (c, d) in enumerate(zip(x, y, strict=False)) if c != d), min(len(x), len(y)))
+        assert common[k] == min(shared, 12)
+
+
+# ---- equal hashes of unequal texts
+
+
+def thue_morse(n, letters):
+    return "".join(letters[bin(i).count("1") % 2] for i in range(n))
+
+
+def colliding_words():
+    """Two different words of 16 letters with one hash: the second half takes back what the first has done."""
+    rng = np.random.default_rng(1)
+    first = rng.integers(0x61, 0x7B, (200_000, 8), np.uint8)
+    state = K.mix(((np.uint64(16) * np.uint64(K.BASE)) ^ first.view("<u8")[:, 0]) * np.uint64(K.BASE))
+    second = (np.frombuffer(b"abcdefgh", "<u8")[0] ^ state[0] ^ state).view(np.uint8).reshape(-1, 8)
+    good = np.flatnonzero(((second > 0x20) & (second < 0x7F)).all(1))[1]
+    x, y = first[0].tobytes() + b"abcdefgh", first[good].tobytes() + second[good].tobytes()
+    h = K.byte_hashes(np.frombuffer(x + y, np.uint8), np.array([0, 16]), np.array([16, 32]))
+    assert x != y and h[0] == h[1]
+    return x.decode(), y.decode()
+
+
+PAIRS = [(thue_morse(1024, "ab"), thue_morse(1024, "ba")), (thue_morse(4096, "xy"), thue_morse(4096, "yx")), colliding_words()]
+
+
+@pytest.mark.parametrize("pair", PAIRS)
+def test_windows_with_colliding_words_are_not_equal(spark, pair):
+    w = [f"w{i}" for i in range(39)]
+    rows = [(i, " ".join([*w[:20], x, *w[21:]])) for i, x in enumerate(pair)]
+    rows.append((2, " ".join([*w[:17], "other", *w[18:20], pair[0], *w[21:], *w[:36]])))
+    assert window_rows(debruijn.dedup_windows(spark.createDataFrame(rows, "doc_id long, text string"))) == brute_windows(rows, 35)
+
+
+@pytest.mark.parametrize("pair", PAIRS)
+def test_texts_of_colliding_words_are_not_near(spark, pair):
+    df = spark.createDataFrame([(i, x) for i, x in enumerate([*pair, pair[0]])], "doc_id long, text string")
+    ids, classes = neardup.near_classes(df)
+    roots = {r["doc_id"]: r["root"] for r in neardup.with_class(ids, classes).collect()}
+    assert roots[0] == roots[2] != roots[1]
+
+
+def test_bytes_that_no_string_shares_stay(spark):
+    rng = random.Random(9)
+    fixed = "the same 16 byte"
+    fill = ["".join(rng.choice("0123456789") for _ in range(7)) for _ in range(1024)]
+    rows = [(i, "".join(fixed + f + c for f, c in zip(fill, letters, strict=True))) for i, letters in enumerate((thue_morse(1024, "ab"), thue_morse(1024, "ba")))]
+    assert byte_rows(substring.dedup_bytes(spark.createDataFrame(rows, "doc_id long, text string"))) == brute_bytes(rows, 50)
+
+
+def test_spans_of_one_hash_are_told_apart_by_bytes():
+    body = [b"one", b"two", b"one", b"six", b"two", b"tw"]
+    size = np.array([len(b) for b in body])
+    data, start = np.frombuffer(b"".join(body), np.uint8), np.cumsum(size) - size
+    for order in itertools.permutations(range(6)):
+        i = np.array(order)
+        by, fresh = K.variants(data, start[i], size[i], np.zeros(6, np.uint64), np.zeros(6, np.uint64))
+        assert [body[k] for k in i[by]] == sorted(body) and fresh.tolist() == [True, False, True, True, True, False]
+    long = np.frombuffer(b"x" * 5000 + b"y" + b"x" * 5000, np.uint8)
+    assert K.equal_spans(long, np.array([0, 0]), np.array([1, 5001]), np.array([5000, 5000])).tolist() == [False, True]
+
+
+def test_segments_of_one_digest_in_a_bucket():
+    gram = b"the same 16 byte"
+    texts = [gram + b"a" * 34, gram + b"b" * 34, gram + b"a" * 34]
+    g = K.mix(K.byte_grams(np.frombuffer(gram, np.uint8)))
+    sent = [substring._pack(g, np.array([7], np.uint64), np.array([doc], np.int64), np.array([1], np.int32), np.frombuffer(t, np.uint8)) for doc, t in enumerate(texts)]
+    answer = substring._merge_segments(pa.table({"shard": [0, 1, 2], "bucket": [0, 0, 0], "message": pa.array(sent, pa.binary())}), 50)
+    assert [substring._unpack(x, np.int32, np.int32, np.int64)[2].tolist() for x in answer.column("segments").to_pylist()] == [[0], [1], [0]]
+
+
 # ---- windows of words
 
 
@@ -345,3 +435,31 @@ def test_components(spark):
     df = spark.createDataFrame([(bytes([a]), bytes([b])) for a, b in edges], "a binary, b binary")
     got = {r["node"][0]: r["root"][0] for r in graph.components(df).collect()}
     assert got == {1: 1, 2: 1, 3: 1, 4: 1, 10: 10, 11: 10, 12: 10}
+
+
+def test_probability_jaccard_equals_its_definition():
+    rng = np.random.default_rng(2)
+    for _ in range(50):
+        x, y = ({int(k): int(w) for k, w in zip(rng.integers(0, 12, 8), rng.integers(1, 5, 8), strict=True)} for _ in range(2))
+        every = {*x, *y}
+        expected = sum(1 / sum(max(x.get(j, 0) / x[i], y.get(j, 0) / y[i]) for j in every) for i in {*x} & {*y})
+        sides = [(np.array(sorted(s), np.uint64), np.array([s[k] for k in sorted(s)], float)) for s in (x, y)]
+        assert math.isclose(P.probability_jaccard(*sides[0], *sides[1]), expected, abs_tol=1e-12)
+
+
+def test_counted_shingles_decide_links(spark):
+    """Equal sets of shingles, very unequal counts: linked without weights, not linked with them."""
+    cycle = " ".join(f"c{i}" for i in range(5))
+    tail = " ".join(f"t{i}" for i in range(400))
+    rows = [(0, f"{cycle} {cycle} {tail}"), (1, f"{' '.join([cycle] * 200)} {tail}"), (2, f"{cycle} {cycle} {tail} {cycle}")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for weight, together in (("one", {(0, 1), (0, 2), (1, 2)}), ("count", {(0, 2)})):
+        ids, classes = neardup.near_classes(df, weight=weight)
+        root = {r["doc_id"]: r["root"] for r in neardup.with_class(ids, classes).collect()}
+        assert {(a, b) for a, b in itertools.combinations(range(3), 2) if root[a] == root[b]} == together
+
+
+def test_keep_one_is_the_same_whatever_the_order(spark):
+    rows = [(1, "a b c d e f", x) for x in "pqrs"] + [(2, "a b c d e f", "t")]
+    kept = {tuple(neardup.keep_one(spark.createDataFrame(r, "doc_id long, text string, other string").repartition(n)).collect()) for n, r in ((1, rows), (3, rows[::-1]))}
+    assert len(kept) == 1
