@@ -36,18 +36,19 @@ def free_name(df: DataFrame, wanted: str) -> str:
 
 
 def named(*added: str) -> Callable:
-    """Of an operator that adds the columns ``added`` at the end: lets its callers name them, by ``names``, whatever columns they have."""
+    """Of an operator that adds the columns ``added`` at the end, whatever columns its input has.
+
+    Callers may name the added columns by ``names``; one that they don't name gets underscores where the
+    input has a column of its name, in any case. The operator itself sees none of these clashes.
+    """
 
     def wrap(operator: Callable) -> Callable:
         @functools.wraps(operator)
         def run(docs: DataFrame, *args, names: dict[str, str] | None = None, **options) -> DataFrame:
-            if not names:
-                return operator(docs, *args, **options)
-            called = {c: names.get(c, c) for c in added}
+            called = free_names(docs, *added) | (names or {})
             if clash := {c.lower() for c in docs.columns} & {c.lower() for c in called.values()}:
                 raise ValueError(f"columns {sorted(clash)} would be hidden")
-            aside = {c: f"own_{i}_" for i, c in enumerate(docs.columns) if c.lower() in added}
-            aside = {c: free_name(docs, a) for c, a in aside.items()}
+            aside = {c: free_name(docs, f"own_{i}_") for i, c in enumerate(docs.columns) if c.lower() in added}
             out = operator(docs.withColumnsRenamed(aside), *args, **options)
             return out.select(*[F.col(f"`{aside.get(c, c)}`").alias(c) for c in docs.columns], *[F.col(c).alias(called[c]) for c in added])
 
@@ -57,7 +58,7 @@ def named(*added: str) -> Callable:
 
 
 def free_names(docs: DataFrame, *added: str) -> dict[str, str]:
-    """``names`` for an operator whose added columns are dropped again."""
+    """Names for added columns that no column of ``docs`` has, as ``names`` takes them."""
     return {c: free_name(docs, c) for c in added}
 
 

@@ -1,8 +1,8 @@
 r"""Chat formatting: schema fingerprints select declarative mappings into canonical turns.
 
 A layout is a set of nested field paths. Its fingerprint hashes those of its paths that any mapping
-reads, so further columns do not change it, and names the mapping that turns its rows into turns
-(conv_id, turn, role, text). The template writes a turn as ``### role: text</turn>`` and a line feed.
+reads, and names the mapping that turns its rows into turns (conv_id, turn, role, text). Where further
+columns are also paths of other mappings, the mapping with most paths that are all there is taken. The template writes a turn as ``### role: text</turn>`` and a line feed.
 A backslash stands before each control string inside a role or text (backslash, ``###``, ``</turn>``,
 and the colon in roles), which ``read_segment`` takes back.
 
@@ -12,7 +12,7 @@ conversation's length. Digests fold over the segments in order.
 Cases: null text is an empty turn; null role reads as an empty role; null turns come first, and turns
 with the same number stand in the order of role, then text; repeated rows are repeated turns; null
 conv_id is a conversation of its own; an empty table gives no rows; a layout that no mapping fits is an
-error that names its paths (typed rows) or counts as no turns with layout null (JSON rows).
+error that names its paths (typed rows) or one row with layout null and no turn (JSON rows).
 """
 
 from __future__ import annotations
@@ -82,6 +82,7 @@ MAPPINGS = (
 )
 VOCABULARY = frozenset(p for m in MAPPINGS for p in m.paths)
 BY_FINGERPRINT = {m.fingerprint: m for m in MAPPINGS}
+BY_SIZE = sorted(MAPPINGS, key=lambda m: -len(m.paths))
 #: What JSON rows are read as: every path of every mapping.
 JSON_FIELDS = "messages array<struct<role:string,content:string>>, conversations array<struct<`from`:string,value:string>>, prompt string, completion string, response string, instruction string, input string, output string, turn bigint, role string, text string"
 
@@ -90,9 +91,15 @@ def fingerprint(schema: T.StructType) -> str:
     return _hash(VOCABULARY.intersection(field_paths(schema)))
 
 
+def mapping_of(paths: set[str]) -> Mapping | None:
+    """The mapping of a layout: by its fingerprint, or else, of those whose paths it all has, the one with most paths, the first of equals."""
+    found = BY_FINGERPRINT.get(_hash(VOCABULARY & paths))
+    return found or next((m for m in BY_SIZE if paths.issuperset(m.paths)), None)
+
+
 def typed_turns(rows: DataFrame, conv_id: str = "conv_id") -> DataFrame:
     """Canonical turns (conv_id, turn, role, text) of rows that all have the layout of their schema."""
-    found = BY_FINGERPRINT.get(fingerprint(rows.schema))
+    found = mapping_of(set(field_paths(rows.schema)))
     if found is None:
         raise ValueError(f"no mapping for the fields {field_paths(rows.schema)}")
     turns = rows.select(F.col(conv_id).alias("conv_id"), F.explode(F.expr(f"cast({found.turns} as {_TURN})")).alias("t"))
@@ -100,21 +107,38 @@ def typed_turns(rows: DataFrame, conv_id: str = "conv_id") -> DataFrame:
 
 
 def json_turns(rows: DataFrame, column: str, conv_id: str = "conv_id") -> DataFrame:
-    """Canonical turns, and the layout's name, of JSON texts whose layouts differ from row to row."""
-    parsed = rows.select(F.col(conv_id).alias("conv_id"), F.from_json(column, JSON_FIELDS, {"mode": "PERMISSIVE"}).alias("r")).select("conv_id", "r.*")
+    """Canonical turns, and the layout's name, of JSON texts whose layouts differ from row to row.
+
+    A field is there if its key is, even with null. A row without turns comes back once, with null turn, role
+    and text: with a layout if that one has no turns in it, with layout null if no mapping fits.
+    """
+    keys = F.coalesce(F.json_object_keys(column), F.array().cast("array<string>")).alias("keys")
+    parsed = rows.select(F.col(conv_id).alias("conv_id"), keys, F.from_json(column, JSON_FIELDS, {"mode": "PERMISSIVE"}).alias("r")).select("conv_id", "keys", "r.*")
 
     def present(path: str) -> Column:
         head, _, leaf = path.partition("[].")
-        there = F.exists(F.col(head), lambda m: m[leaf].isNotNull()) if leaf else F.col(path).isNotNull()
-        return F.when(F.coalesce(there, F.lit(False)), F.lit(path))
-
-    mark = F.md5(F.concat_ws("\n", *[present(p) for p in sorted(VOCABULARY)]).cast("binary"))
-    layout, turns = F.lit(None).cast("string"), F.expr(f"cast(null as {_TURN})")
+        there = F.array_contains("keys", head)
+        if leaf:
+            # a list of elements that have no field of the mapping's is another layout's
+            leaves = [p.partition("[].")[2] for p in VOCABULARY if p.startswith(f"{head}[].")]
+            known = F.exists(F.col(head), lambda m: F.coalesce(*[m[x] for x in leaves]).isNotNull())
+            there = there & (F.coalesce(F.size(head), F.lit(0)) <= 0) | F.coalesce(known, F.lit(False))
+        return F.coalesce(there, F.lit(False))
+
+    paths = F.filter(F.array(*[F.when(present(p), F.lit(p)) for p in sorted(VOCABULARY)]), lambda p: p.isNotNull())
+    marked = parsed.withColumn("paths", paths).withColumn("mark", F.md5(F.array_join("paths", "\n").cast("binary")))
+    layout = F.lit(None).cast("string")
+    for m in reversed(BY_SIZE):
+        layout = F.when(F.size(F.array_intersect("paths", F.array(*map(F.lit, m.paths)))) == len(m.paths), m.name).otherwise(layout)
+    for m in MAPPINGS:
+        layout = F.when(F.col("mark") == m.fingerprint, m.name).otherwise(layout)
+    marked = marked.withColumn("layout", layout)
+    turns = F.lit(None).cast(_TURN)
     for m in MAPPINGS:
-        layout = F.when(mark == m.fingerprint, m.name).otherwise(layout)
-        turns = F.when(mark == m.fingerprint, F.expr(f"cast({m.turns} as {_TURN})")).otherwise(turns)
-    out = parsed.select("conv_id", layout.alias("layout"), F.explode_outer(turns).alias("t"))
-    return _canonical(out.where(F.col("t").isNotNull()).select("conv_id", "layout", "t.turn", "t.role", "t.text"))
+        turns = F.when(F.col("layout") == m.name, F.expr(f"cast({m.turns} as {_TURN})")).otherwise(turns)
+    out = marked.select("conv_id", "layout", F.explode_outer(turns).alias("t"))
+    filled = lambda c: F.when(F.col("t").isNotNull(), F.coalesce(f"t.{c}", F.lit(""))).alias(c)
+    return out.select("conv_id", "layout", "t.turn", filled("role"), filled("text"))
 
 
 def _canonical(turns: DataFrame) -> DataFrame:
@@ -128,8 +152,8 @@ def _escape(column: Column, colon: bool = False) -> Column:
 
 
 def segments(turns: DataFrame) -> DataFrame:
-    """``turns`` with ``segment``: the turn as the template writes it."""
-    return turns.withColumn("segment", F.concat(F.lit(OPEN), _escape(F.col("role"), True), F.lit(": "), _escape(F.col("text")), F.lit(CLOSE + "\n")))
+    """``turns`` with ``segment``: the turn as the template writes it. Rows without a turn, whose role is null, go."""
+    return turns.where("role is not null").withColumn("segment", F.concat(F.lit(OPEN), _escape(F.col("role"), True), F.lit(": "), _escape(F.col("text")), F.lit(CLOSE + "\n")))
 
 
 _ESCAPED = re.compile(r"\\(\\|###|</turn>|:)")

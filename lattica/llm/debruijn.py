@@ -23,7 +23,8 @@ Groups are counted by partial aggregates, so an edge that a third of all texts s
 
 Cases: null and empty texts have no words; texts of fewer than ``width`` words lose nothing; rows with the
 same doc_id are documents of their own, and so are repeated rows, which lose all windows; an empty
-table gives no rows; columns besides doc_id and text are passed on.
+table gives no rows; columns besides doc_id and text are passed on, and the added columns get underscores
+where one has its name.
 """
 
 from __future__ import annotations
@@ -221,8 +222,6 @@ def _read(texts: DataFrame, width: int, seed: int) -> DataFrame:
 @named("kept", "n_words", "n_removed")
 def dedup_windows(docs: DataFrame, width: int = WIDTH, k: int = KMER) -> DataFrame:
     """``docs`` with kept (the words left, joined by single spaces; binary), n_words and n_removed."""
-    if clash := {c.lower() for c in docs.columns} & {"kept", "n_words", "n_removed"}:
-        raise ValueError(f"columns {sorted(clash)} would be hidden")
     spans = repeated_spans(docs, width, k)
     key, marks = free_name(docs, "key_"), free_name(docs, "spans_")
     joined = docs.withColumn(key, text_key(F.col("text"))).join(spans.select(F.col("key").alias(key), F.col("spans").alias(marks)), key, "left").drop(key)

@@ -12,7 +12,8 @@ neither the number of items nor that of documents is limited, and no document is
 
 Cases: null and empty texts have no words and are clean; items without words have no windows;
 null item ids read 'null'; rows with the same doc_id are judged each for itself; with an empty
-benchmark all documents are clean; further columns are ignored.
+benchmark all documents are clean; further columns are passed on, and the added columns get underscores
+where one has its name.
 """
 
 from __future__ import annotations
@@ -141,9 +142,6 @@ def mark(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, most: int =
     """``docs`` (all columns) with n_words, hit (runs of hit words: start, end, start, ...) and items (sorted ids)."""
     small_batches(docs.sparkSession)
     own = docs.columns
-    added = {"n_words": pa.int64(), "hit": pa.list_(pa.int64()), "items": pa.list_(pa.string())}
-    if clash := {c.lower() for c in own} & set(added):
-        raise ValueError(f"columns {sorted(clash)} would be hidden")
     out = docs.withColumns({"n_words": F.lit(None).cast("long"), "hit": F.array().cast("array<long>"), "items": F.array().cast("array<string>")})
     context = docs.sparkSession.sparkContext
     none = True

@@ -10,7 +10,8 @@ bigram with any, stop there. All happens within a row: no join, no shuffle.
 
 Cases: null and empty texts, and texts of fewer than two words, match nothing; the same template in
 several places counts once in ``licenses``; rows with the same doc_id are scanned each for itself; an
-empty table gives no rows; further columns are ignored.
+empty table gives no rows; further columns are passed on, and ``matches`` gets underscores where one has its
+name; repeated rows are scanned each for itself.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import table
+from ._common import free_name, table
 
 LEAST = 0.8
 
@@ -74,7 +75,7 @@ def template_bigrams(templates: dict[str, str]) -> dict[str, list[str]]:
 
 
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, least: float = LEAST) -> DataFrame:
-    """``docs`` with ``matches``: array of (name, dice, unit) of every unit of text that reaches ``least``."""
+    """``docs`` with ``matches``, last: array of (name, dice, unit) of every unit of text that reaches ``least``."""
     sets = template_bigrams(templates)
     known = F.array(*[F.struct(F.lit(n).alias("name"), F.array(*map(F.lit, b)).alias("bigrams")) for n, b in sets.items()])
     vocabulary = F.array(*map(F.lit, dict.fromkeys(x for b in sets.values() for x in b)))
@@ -95,7 +96,7 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, least: float =
         dice = lambda t: 2.0 * F.size(F.array_intersect(s["b"], t["bigrams"])) / (F.size(s["b"]) + F.size(t["bigrams"]))
         return F.filter(F.transform(possible, lambda t: F.struct(t["name"].alias("name"), dice(t).alias("dice"), s["unit"].alias("unit"))), lambda m: m["dice"] >= least)
 
-    return docs.withColumn("matches", F.flatten(F.transform(near, against)))
+    return docs.withColumn(free_name(docs, "matches"), F.flatten(F.transform(near, against)))
 
 
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,7 +115,7 @@ def _let(value: Column, body) -> Column:
 
 
 def scan_windows(docs: DataFrame, templates: dict[str, str], least: float = LEAST) -> DataFrame:
-    """``docs`` with ``matches``: array of (name, dice, unit), for each template the best window of words that reaches ``least``.
+    """``docs`` with ``matches``, last: array of (name, dice, unit), for each template the best window of words that reaches ``least``.
 
     Windows start and end at any word, with (2 - least) / least times the template's bigrams at most, repeats
     counted: no larger set can reach ``least``. One that does has least / (2 - least) of the template's bigrams,
@@ -154,7 +155,7 @@ def scan_windows(docs: DataFrame, templates: dict[str, str], least: float = LEAS
 
     words = F.filter(F.split(F.lower(F.coalesce(F.col("text"), F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
     none = F.array().cast("array<struct<name:string,dice:double,unit:string>>")
-    return docs.withColumn("matches", F.coalesce(_let(words, lambda w: F.when(F.size(w) > 1, matches(w))), none))
+    return docs.withColumn(free_name(docs, "matches"), F.coalesce(_let(words, lambda w: F.when(F.size(w) > 1, matches(w))), none))
 
 
 def op5_whole(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,12 +3,13 @@
 Each line has a 32-bit hash; a rolling combination of the last ``WINDOW`` of them ends a chunk where it
 is 0 modulo ``EVERY``, so the same run of lines is cut the same way wherever it stands. A chunk of two
 lines or more that also stands earlier, in the order of doc_id, then text hash, then line, is removed
-once the bytes of all chunks of its hash have been compared; the first occurrence stays.
+once the bytes of all chunks of its hash (SHA-256, 16 bytes) have been compared; the first occurrence stays.
 
 Plan: hashes of chunks are counted without their texts; only the repeated ones go on, with their
 places. Bytes are compared by the least and the greatest text of each hash, which partial aggregates
-find before any shuffle, so a chunk that a third of all documents share is one row a task. Joins with the
-texts are sort-merge joins at every size, so that what a run needs grows with its input alone.
+find before any shuffle, so a chunk that a third of all documents share is one row a task. What the
+places are joined with is written first, so that Spark can split the places of a very common chunk. Joins
+with the texts are sort-merge joins at every size, so that what a run needs grows with its input alone.
 
 ``dedup_runs`` leaves none of a repeated passage: each run of ``RUN`` lines that also stands earlier,
 wherever in the text it begins, is removed, and so is every line of a longer run; the chunks above are
@@ -17,7 +18,8 @@ as a repeat where they have no line in common. A line's earliest place is never
 
 Cases: null text stays null, empty text empty; lines end at line feeds alone, and texts of one line lose
 nothing; null doc_id comes first; rows that agree in doc_id and text are one document and keep the
-same; columns besides doc_id and text are passed on, whatever their names; an empty table gives no rows.
+same; columns besides doc_id and text are passed on, and the added columns get underscores where one has
+its name; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -66,13 +68,19 @@ def _text_of(lines: Column, chunk: Column) -> Column:
     return F.array_join(F.slice(lines, chunk["start"] + 1, chunk["n"]), "\n")
 
 
-def _key() -> Column:
-    return F.unhex(F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.coalesce(F.col("text"), F.lit(""))).cast("binary")))
+def _hash(text: Column) -> Column:
+    return F.substring(F.unhex(F.sha2(text.cast("binary"), 256)), 1, 16)
+
+
+def _key(docs: DataFrame) -> Column:
+    """What stands for doc_id and text; texts as ids are marked, so that none reads as null."""
+    own = F.concat(F.lit("="), F.col("doc_id")) if docs.schema["doc_id"].dataType.typeName() == "string" else F.col("doc_id").cast("string")
+    return F.unhex(F.md5(F.concat_ws(":", F.coalesce(own, F.lit("null")), F.coalesce(F.col("text"), F.lit(""))).cast("binary")))
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
     """doc_id, text and a key that stands for both."""
-    return docs.select("doc_id", "text", _key().alias("key"))
+    return docs.select("doc_id", "text", _key(docs).alias("key"))
 
 
 def _same_bytes(keyed: DataFrame, by_doc: DataFrame) -> DataFrame:
@@ -85,26 +93,24 @@ def repeated_chunks(docs: DataFrame, window: int = WINDOW, every: int = EVERY) -
     """key, starts: the first lines of each document's chunks that stand earlier elsewhere, bytes compared."""
     keyed = _keyed(docs)
     cut = with_chunks(keyed, "text", "lines", "chunks", window, every)
-    many = F.transform(F.filter("chunks", lambda c: c["n"] > 1), lambda c: F.struct(F.unhex(F.md5(_text_of(F.col("lines"), c).cast("binary"))).alias("hash"), c["start"].alias("start"), c["n"].alias("n")))
+    many = F.transform(F.filter("chunks", lambda c: c["n"] > 1), lambda c: F.struct(_hash(_text_of(F.col("lines"), c)).alias("hash"), c["start"].alias("start"), c["n"].alias("n")))
     places = stash(cut.select("doc_id", "key", F.explode(many).alias("c")).select("doc_id", "key", "c.*").distinct(), "line-chunks")
     first = places.groupBy("hash").agg(F.min(F.struct("doc_id", "key", "start")).alias("first"), F.count("*").alias("times")).where("times > 1").select("hash", "first")
+    first = stash(first, "line-first")
     again = stash(places.join(first, "hash").select("key", "start", "n", "hash", (F.struct("doc_id", "key", "start") == F.col("first")).alias("is_first")), "line-repeats")
 
     by_doc = again.groupBy("key").agg(F.collect_list(F.struct("start", "n", "hash")).alias("repeats"))
-    same = _same_bytes(keyed, by_doc)
+    same = stash(_same_bytes(keyed, by_doc), "line-same")
     return again.where(~F.col("is_first")).join(same, "hash", "left_semi").groupBy("key").agg(F.collect_set("start").alias("starts"))
 
 
 @named("n_lines", "n_removed")
 def dedup_lines(docs: DataFrame, window: int = WINDOW, every: int = EVERY) -> DataFrame:
     """``docs``, all columns, with ``text`` shortened, and n_lines and n_removed (lines) at the end."""
-    for c in ("n_lines", "n_removed"):
-        if c in {x.lower() for x in docs.columns}:
-            raise ValueError(f"column {c} would be hidden")
     repeats = stash(repeated_chunks(docs, window, every), "line-removals")
     own = docs.columns
     key, lines, chunks, kept = (free_name(docs, c) for c in ("key_", "lines_", "chunks_", "kept_"))
-    keyed = docs.withColumn(key, _key())
+    keyed = docs.withColumn(key, _key(docs))
     marks = repeats.select(F.col("key").alias(key), F.col("starts").alias(kept))
     df = keyed.join(marks.hint("merge"), key, "left")
     df = with_chunks(df, "text", lines, chunks, window, every)
@@ -123,26 +129,24 @@ def repeated_runs(docs: DataFrame, least: int = RUN) -> DataFrame:
     keyed = _keyed(docs)
     lines = F.col("lines")
     run = lambda i: F.struct(i.alias("start"), F.lit(least).alias("n"))
-    runs = F.transform(lines, lambda _, i: F.when(i <= F.size(lines) - least, F.struct(F.unhex(F.md5(_text_of(lines, run(i)).cast("binary"))).alias("hash"), i.alias("start"))))
+    runs = F.transform(lines, lambda _, i: F.when(i <= F.size(lines) - least, F.struct(_hash(_text_of(lines, run(i))).alias("hash"), i.alias("start"))))
     places = stash(keyed.select("doc_id", "key", _lines(F.col("text")).alias("lines")).select("doc_id", "key", F.explode(runs).alias("c")).where("c is not null").select("doc_id", "key", "c.*"), "line-runs")
     first = places.groupBy("hash").agg(F.min(F.struct("doc_id", "key", "start")).alias("first"), F.count("*").alias("times")).where("times > 1").select("hash", "first")
+    first = stash(first, "line-first")
     own = (F.col("key") == F.col("first.key")) & F.col("doc_id").eqNullSafe(F.col("first.doc_id"))
     again = stash(places.join(first, "hash").select("key", "start", "hash", (own & (F.col("start") - F.col("first.start") < least)).alias("stays")), "line-run-repeats")
 
     by_doc = again.groupBy("key").agg(F.collect_set(F.struct("start", F.lit(least).alias("n"), "hash")).alias("repeats"))
-    same = _same_bytes(keyed, by_doc)
+    same = stash(_same_bytes(keyed, by_doc), "line-same")
     return again.where(~F.col("stays")).join(same, "hash", "left_semi").groupBy("key").agg(F.collect_set("start").alias("starts"))
 
 
 @named("n_lines", "n_removed")
 def dedup_runs(docs: DataFrame, least: int = RUN) -> DataFrame:
     """``docs``, all columns, with ``text`` without the lines of repeated runs, and n_lines and n_removed (lines) at the end."""
-    for c in ("n_lines", "n_removed"):
-        if c in {x.lower() for x in docs.columns}:
-            raise ValueError(f"column {c} would be hidden")
     repeats = stash(repeated_runs(docs, least), "line-removals")
     key, lines, left, starts = (free_name(docs, c) for c in ("key_", "lines_", "left_", "starts_"))
-    keyed = docs.withColumn(key, _key())
+    keyed = docs.withColumn(key, _key(docs))
     df = keyed.join(repeats.select(F.col("key").alias(key), F.col("starts").alias(starts)).hint("merge"), key, "left").withColumn(lines, _lines(F.col("text")))
     gone = F.flatten(F.transform(starts, lambda s: F.sequence(s, s + least - 1)))
     df = df.withColumn(left, F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone))

@@ -2,14 +2,17 @@
 
 DataFrame functions only. A source's target is its weight's share of the budget, levelled at
 ``most_repeats`` times its own size. The budget is cut into blocks of ``block_words`` words, which go
-to the sources by highest quotients target / (2k + 1), and within a source to its shards the same way.
-In a shard the documents stand in a seeded order, their words form one stream that is cut into
-blocks, and the shard's quota picks blocks at even distances from a seeded offset, so what a document
-gives is a difference of two closed forms: no block is ever a row.
+to the sources by highest quotients target / (2k + 1), and within a source to its shards the same way;
+no source or shard gets more blocks than ``most_repeats`` times its own, and the next quotients get
+what it can't take. In a shard the documents stand in a seeded order, their words form one stream that
+is cut into blocks, and the shard's quota picks blocks at even distances from a seeded offset, so what a
+document gives is a difference of two closed forms: no block is ever a row. Cost doesn't depend on the
+block, so a block is one word and even a source of a few words comes within a word of its target;
+larger blocks keep neighbouring words together.
 
 Cases: null and empty texts have size 0 and take 0; null source is a source of its own and comes last;
-rows with the same doc_id are documents of their own; an empty table gives no rows; further columns
-are ignored.
+rows with the same doc_id are documents of their own; an empty table gives no rows; ``mix`` ignores
+further columns, ``mixed`` passes all on and adds its own under free names.
 """
 
 from __future__ import annotations
@@ -23,8 +26,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
 BUDGET = 1.5
 MOST_REPEATS = 2
-#: Words of a block. Few, so that small sources come near their targets.
-BLOCK_WORDS = 32
+#: Words of a block.
+BLOCK_WORDS = 1
 #: Words of a shard, so that the order within it is one task's small sort.
 SHARD_WORDS = 1 << 21
 #: Documents of a shard, where they are very short.
@@ -58,18 +61,19 @@ def targets(sources: DataFrame, weights=WEIGHTS, budget: float = BUDGET, most: i
     return df.withColumn("target", F.coalesce(F.least("_cap", F.col("_found") * F.col("_weight")), F.col("_cap"))).select(*sources.columns, "target", F.col("_rank").alias("source_rank"))
 
 
-def sainte_lague(parties: DataFrame, group: list[str], votes: str, seats: str, order: list[str], out: str) -> DataFrame:
-    """Seats of each party of a group by highest quotients votes / (2k + 1), ties by ``order``.
+def sainte_lague(parties: DataFrame, group: list[str], votes: str, seats: str, cap: str, order: list[str], out: str) -> DataFrame:
+    """Seats of each party of a group by highest quotients votes / (2k + 1), at most ``cap`` each, ties by ``order``.
 
     Rounding votes at a divisor slightly too large gives all seats but at most one a party; the quotients
-    between it and a divisor slightly too small, at most two a party, are the only ones that are ranked.
+    between it and a divisor slightly too small, some two a party, are the only ones that are ranked. The caps
+    must have room for all seats where each party has its exact share.
     """
     of = Window.partitionBy(*group)
     n, total = F.count("*").over(of), F.sum(votes).over(of)
     m = F.col(seats)
     base = F.when(m - n / 2 > 0, F.floor(F.col(votes) / (total / (m - n / 2)) + 0.5)).otherwise(0)
     limit = F.floor(F.col(votes) / (total / (m + n / 2)) + 0.5) + 1
-    df = parties.withColumn("_base", F.when(total > 0, base).otherwise(0).cast("long")).withColumn("_limit", F.when(total > 0, limit).otherwise(0).cast("long"))
+    df = parties.withColumn("_base", F.least(cap, F.when(total > 0, base).otherwise(0).cast("long"))).withColumn("_limit", F.least(cap, F.when(total > 0, limit).otherwise(0).cast("long")))
     df = df.withColumn("_left", m - F.sum("_base").over(of))
     tried = df.withColumn("_k", F.explode_outer(F.when(F.col("_limit") > F.col("_base"), F.sequence(F.col("_base"), F.col("_limit") - 1))))
     tried = tried.withColumn("_quotient", F.when(F.col("_k").isNotNull(), F.col(votes) / (2 * F.col("_k") + 1)))
@@ -78,16 +82,14 @@ def sainte_lague(parties: DataFrame, group: list[str], votes: str, seats: str, o
     return tried.withColumn("_place", place).groupBy(*parties.columns).agg((F.first("_base") + F.sum(F.when(won, 1).otherwise(0))).alias(out))
 
 
-def mix(
-    docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET, most: int = MOST_REPEATS, block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS, seed: str = SEED
-) -> DataFrame:
-    """doc_id, size, source_size, target, taken of every row of ``docs`` (doc_id, text, source)."""
-    sized = stash(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "mix-sizes")
+def _apportioned(sized: DataFrame, weights, budget: float, most: int, block_words: int, shard_words: int, seed: str) -> DataFrame:
+    """``sized`` (doc_id, source, size, tie and more) with source_size, target and taken."""
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("source_docs"))
     quota = targets(sources, weights, budget, most)
     whole = Window.partitionBy()
-    quota = quota.withColumn("_seats", F.round(F.sum("target").over(whole) / block_words).cast("long")).withColumn("_all", F.lit(0))
-    quota = sainte_lague(quota, ["_all"], "target", "_seats", ["source_rank"], "source_blocks")
+    blocks = lambda c: F.ceil(F.col(c) / block_words).cast("long")
+    quota = quota.withColumn("_seats", F.round(F.sum("target").over(whole) / block_words).cast("long")).withColumn("_all", F.lit(0)).withColumn("_cap", blocks("source_size") * most)
+    quota = sainte_lague(quota, ["_all"], "target", "_seats", "_cap", ["source_rank"], "source_blocks")
     quota = quota.withColumn("shards", F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words), F.ceil(F.col("source_docs") / SHARD_DOCS)).cast("long"))
     quota = stash(quota.select("source", "source_rank", "source_size", "target", "source_blocks", "shards"), "mix-quota")
 
@@ -96,31 +98,60 @@ def mix(
     seeded = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
     placed = placed.withColumn("_at", seeded).withColumn("shard", F.pmod(F.conv(F.substring("_at", 1, 12), 16, 10).cast("long"), F.col("shards")))
     shards = placed.groupBy("source_rank", "shard", "source_blocks").agg(F.sum("size").alias("shard_words"))
-    shards = sainte_lague(shards, ["source_rank"], "shard_words", "source_blocks", ["shard"], "blocks_won")
-    shards = shards.withColumn("blocks", F.ceil(F.col("shard_words") / block_words).cast("long"))
-    shards = shards.withColumn("quota", F.least(F.col("blocks_won"), F.col("blocks") * most))
+    shards = shards.withColumn("blocks", blocks("shard_words")).withColumn("_cap", F.col("blocks") * most)
+    shards = sainte_lague(shards, ["source_rank"], "shard_words", "source_blocks", "_cap", ["shard"], "quota")
     start_of = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.lit("offset"), F.col("source_rank"), F.col("shard"))), 1, 12), 16, 10).cast("long")
     shards = shards.withColumn("offset", F.when(F.col("blocks") > 0, F.pmod(start_of, F.col("blocks"))).otherwise(0)).select("source_rank", "shard", "blocks", "quota", "offset")
 
-    order = Window.partitionBy("source_rank", "shard").orderBy("_at", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    order = Window.partitionBy("source_rank", "shard").orderBy("_at", "doc_id", "size", "tie").rowsBetween(Window.unboundedPreceding, 0)
     laid = placed.withColumn("_end", F.sum("size").over(order)).join(shards, ["source_rank", "shard"])
+    # words of chosen blocks, repeats counted, before a word of the shard's stream
+    picks = lambda j: f"((({j}) * quota + offset) div blocks)"
+    before = lambda at, b: f"({picks(b)} * {block_words} + ({picks(f'{b} + 1')} - {picks(b)}) * ({at} % {block_words}))"
+    chosen = lambda at: before(at, f"({at} div {block_words})")
+    taken = F.expr(f"case when blocks > 0 then {chosen('_end')} - {chosen('(_end - size)')} else 0 end")
+    return laid.select(*sized.columns, "source_size", "target", taken.cast("long").alias("taken"))
+
+
+def mix(
+    docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET, most: int = MOST_REPEATS, block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS, seed: str = SEED
+) -> DataFrame:
+    """doc_id, size, source_size, target, taken of every row of ``docs`` (doc_id, text, source)."""
+    sized = stash(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("tie")), "mix-sizes")
+    return _apportioned(sized, weights, budget, most, block_words, shard_words, seed).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def taken_text(text: Column, size: Column, taken: Column) -> Column:
+    """The words that the mix takes: whole copies, then the text's first words, as they stand in it; one a paragraph."""
+    words = F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+    copies = F.when(size > 0, F.floor(taken / size)).otherwise(0).cast("int")
+    rest = F.when(size > 0, taken % size).otherwise(0).cast("int")
+    part = F.when(rest > 0, F.array(F.array_join(F.slice(words, F.lit(1), rest), ""))).otherwise(F.array().cast("array<string>"))
+    return F.array_join(F.concat(F.array_repeat(F.coalesce(text, F.lit("")), copies), part), "\n\n")
 
-    def chosen(at: Column) -> Column:
-        """Words of chosen blocks, repeats counted, before word ``at`` of the shard's stream."""
-        block = F.floor(at / block_words).cast("long")
-        picks = lambda j: F.floor((j * F.col("quota") + F.col("offset")) / F.col("blocks")).cast("long")
-        before = picks(block)
-        return before * block_words + (picks(block + 1) - before) * (at - block * block_words)
 
-    taken = F.when(F.col("blocks") > 0, chosen(F.col("_end")) - chosen(F.col("_end") - F.col("size"))).otherwise(0)
-    return laid.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"))
+def mixed(docs: DataFrame, names: dict[str, str] | None = None, **options) -> DataFrame:
+    """``docs`` (doc_id, text, source and more) with size, source_size, target, taken and mixed_text, which is what the mix takes of the text.
+
+    ``names`` says what the added columns are called where ``docs`` has columns of these names.
+    """
+    added = ("size", "source_size", "target", "taken", "mixed_text")
+    called = {c: (names or {}).get(c, c) for c in added}
+    if clash := {c.lower() for c in docs.columns} & {c.lower() for c in called.values()}:
+        raise ValueError(f"columns {sorted(clash)} would be hidden")
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    others = F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]))
+    rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("text", others).alias("tie"), own.alias("own"))
+    base = {"weights": WEIGHTS, "budget": BUDGET, "most": MOST_REPEATS, "block_words": BLOCK_WORDS, "shard_words": SHARD_WORDS, "seed": SEED}
+    out = _apportioned(rows, **(base | options)).withColumn("mixed_text", taken_text(F.col("own.text"), F.col("size"), F.col("taken")))
+    return out.select("own.*", *[F.col(c).alias(called[c]) for c in added])
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
 
 
-#: The same by brute force: every quotient of every source and of every shard is ranked.
+#: The same by brute force: every quotient below a cap is ranked, and every word of every document is laid out and picked or not.
 SQL = r"""
 with sized as (
   select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size from documents
@@ -136,34 +167,29 @@ with sized as (
 ), tgt as (
   select source, source_size, rnk, coalesce(least(cap, level * weight), cap) as target, greatest(1, ceil(source_size / 2097152.0), ceil(docs / 65536.0))::bigint as shards from found
 ), seats as (
-  select rnk, count(*) as blocks_won from (
-    select rnk, row_number() over (order by target / (2 * k + 1) desc, rnk) as place, round(sum_t / 32)::bigint as m
-    from (select *, sum(target) over () as sum_t from tgt) t, lateral (select unnest(range(0, (target / 32 + 2 + (select count(*) from tgt))::bigint)) as k)
+  select rnk, count(*) as words_won from (
+    select rnk, row_number() over (order by target / (2 * k + 1) desc, rnk) as place, round(sum_t)::bigint as m
+    from (select *, sum(target) over () as sum_t from tgt) t, lateral (select unnest(range(0, 2 * source_size)) as k)
   ) where place <= m group by rnk
-), placed as (
-  select s.*, t.source_size, t.target, t.rnk, t.shards, md5('mix-1:' || coalesce(s.doc_id::varchar, 'null')) as hexed
-  from sized s join tgt t on s.source is not distinct from t.source
 ), sharded as (
-  select *, ('0x' || substr(hexed, 1, 12))::bigint % shards as shard from placed
+  select s.*, t.source_size, t.target, t.rnk, md5('mix-1:' || coalesce(s.doc_id::varchar, 'null')) as hexed, ('0x' || substr(md5('mix-1:' || coalesce(s.doc_id::varchar, 'null')), 1, 12))::bigint % t.shards as shard
+  from sized s join tgt t on s.source is not distinct from t.source
 ), shard as (
   select rnk, shard, sum(size)::bigint as words from sharded group by all
 ), won as (
   select rnk, shard, count(*) as q from (
-    select rnk, shard, row_number() over (partition by rnk order by words / (2 * k + 1) desc, shard) as place, blocks_won
-    from (select s.*, coalesce(blocks_won, 0) as blocks_won, sum(words) over (partition by rnk) as total, count(*) over (partition by rnk) as n from shard s left join seats using (rnk)) x,
-      lateral (select unnest(range(0, (case when total > 0 then words * blocks_won::double / total + 2 + n else 0 end)::bigint)) as k)
-  ) where place <= blocks_won group by all
+    select rnk, shard, row_number() over (partition by rnk order by words / (2 * k + 1) desc, shard) as place, words_won
+    from (select s.*, coalesce(words_won, 0) as words_won from shard s left join seats using (rnk)) x, lateral (select unnest(range(0, 2 * words)) as k)
+  ) where place <= words_won group by all
 ), cut as (
-  select s.rnk, s.shard, ceil(words / 32.0)::bigint as m, least(coalesce(q, 0), 2 * ceil(words / 32.0)::bigint)::bigint as q,
-    case when words > 0 then ('0x' || substr(md5('mix-1:offset:' || s.rnk || ':' || s.shard), 1, 12))::bigint % ceil(words / 32.0)::bigint else 0 end as o
-  from shard s left join won using (rnk, shard)
+  select rnk, shard, words as m, coalesce(q, 0)::bigint as q, case when words > 0 then ('0x' || substr(md5('mix-1:offset:' || rnk || ':' || shard), 1, 12))::bigint % words else 0 end as o
+  from shard left join won using (rnk, shard)
 ), laid as (
-  select *, sum(size) over (partition by rnk, shard order by hexed, doc_id, size rows unbounded preceding)::bigint as e from sharded
-), ends as (
-  select l.*, m, q, o, (e - size)::bigint as b from laid l join cut using (rnk, shard)
+  select *, row_number() over () as r, sum(size) over (partition by rnk, shard order by hexed, doc_id, size rows unbounded preceding)::bigint as e from sharded
+), word as (
+  select r, ((j + 1) * q + o) // m - (j * q + o) // m as picked from laid join cut using (rnk, shard), lateral (select unnest(range(e - size, e)) as j)
+), picked as (
+  select r, sum(picked)::bigint as taken from word group by r
 )
-select doc_id, size, source_size, target, case when m > 0 then
-    ((((e // 32) * q + o) // m) * 32 + (((e // 32 + 1) * q + o) // m - ((e // 32) * q + o) // m) * (e % 32))
-  - ((((b // 32) * q + o) // m) * 32 + (((b // 32 + 1) * q + o) // m - ((b // 32) * q + o) // m) * (b % 32)) else 0 end::bigint as taken
-from ends
+select doc_id, size, source_size, target, coalesce(taken, 0)::bigint as taken from laid left join picked using (r)
 """

@@ -162,7 +162,9 @@ def _tile_pairs(members: DataFrame, matches: int, least: float | None, weight: s
             first, second = first[keep], second[keep]
         return pa.table({"a": pa.array([key[i] for i in first], pa.binary()), "b": pa.array([key[j] for j in second], pa.binary())})
 
-    return _spread(members).groupBy("band", "low", "high").applyInArrow(run, "a binary, b binary")
+    # a group's work grows with the square of its bytes, so partitions are not merged by size
+    tasks = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return _spread(members).repartition(tasks, "band", "low", "high").groupBy("band", "low", "high").applyInArrow(run, "a binary, b binary")
 
 
 def near_classes(docs: DataFrame, least: float = LEAST, m: int = COMPONENTS, r: int = BAND_ROWS, matches: int = LEAST_MATCHES, weight: str = "one") -> tuple[DataFrame, DataFrame]:
@@ -175,8 +177,9 @@ def near_classes(docs: DataFrame, least: float = LEAST, m: int = COMPONENTS, r:
     central = shared.groupBy("key").agg(F.sum("n").alias("weight"))
     several = stash(nodes.join(central, "key"), "near-nodes")
 
-    texts = docs.select(text_key(F.col("text")).alias("key"), "text").join(several.select("key"), "key", "left_semi").dropDuplicates(["key"])
-    texts = stash(texts, "near-texts")
+    # copies go before the shuffle, so that a text of very many is a row a task
+    texts = docs.select(text_key(F.col("text")).alias("key"), "text").groupBy("key").agg(F.first("text").alias("text"))
+    texts = stash(texts.join(several.select("key"), "key", "left_semi"), "near-texts")
 
     weighed = shared.join(several.select("key", "weight"), "key")
     centres = weighed.groupBy("band").agg(F.max(F.struct("weight", "key"))["key"].alias("centre"))
@@ -220,5 +223,5 @@ def keep_one(docs: DataFrame) -> DataFrame:
 def op6_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids, classes = near_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
     rooted = stash(with_class(ids, classes).select("doc_id", "root"), "near-roots")
-    named = rooted.groupBy("root").agg(F.min("doc_id").alias("class_id"))
+    named = stash(rooted.groupBy("root").agg(F.min("doc_id").alias("class_id")), "near-names")
     return rooted.join(named, "root").select("doc_id", "class_id")

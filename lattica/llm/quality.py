@@ -9,7 +9,8 @@ terms come from solves against the cached factors, plus the log of the class siz
 Cases: null and empty texts have the statistics of a text without words and are scored like any other;
 null doc_id counts as not held out and is never trained on; rows with the same doc_id are scored each
 for itself; with fewer than two rows of a class, the score of every text is the share of label 1 (or 0.5
-without labels); an empty table gives no rows; further columns are ignored.
+without labels); an empty table gives no rows; further columns are passed on, and added ones get
+underscores where one has their name.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _kernels as K
-from ._common import small_batches, stash, table
+from ._common import free_name, small_batches, stash, table
 
 FOLDS = 5
 THRESHOLD = 0.3
@@ -116,13 +117,14 @@ class Discriminant:
 
 
 def fit(labelled: DataFrame, label: str = "quality", pooled: float = SHRINK_POOLED, identity: float = SHRINK_IDENTITY) -> Discriminant:
-    """Fit on every row of ``labelled``, which has the statistics' columns and ``label`` in {0, 1}.
+    """Fit on every row of ``labelled``, which has ``label`` in {0, 1} and, as last column, the statistics.
 
     Only sums leave the executors: their number depends on the statistics, not on the rows.
     """
     d = len(STATISTICS)
     pairs = [(i, j) for i in range(d) for j in range(i, d)]
-    sums = [F.count("*"), *[F.sum(c) for c in STATISTICS], *[F.sum(F.col(STATISTICS[i]) * F.col(STATISTICS[j])) for i, j in pairs]]
+    x = [F.get(labelled.columns[-1], i) for i in range(d)]
+    sums = [F.count("*"), *[F.sum(c) for c in x], *[F.sum(x[i] * x[j]) for i, j in pairs]]
     rows = labelled.where(F.col(label).isin(0, 1)).groupBy(label).agg(*[s.alias(f"s{k}") for k, s in enumerate(sums)]).collect()
     by = {int(r[0]): r[1:] for r in rows}
     n = np.array([by[c][0] if c in by else 0 for c in (0, 1)], float)
@@ -148,27 +150,30 @@ def fit(labelled: DataFrame, label: str = "quality", pooled: float = SHRINK_POOL
 
 
 def with_statistics(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """The columns ``keep`` and the statistics of column text."""
-    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), *(f"{c} double" for c in STATISTICS)])
+    """The columns ``keep`` and, last, ``statistics``: the array of the statistics of column text."""
+    name = free_name(docs, "statistics")
+    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), f"{name} array<double>"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = statistics(K.as_bytes(batch.column("text")))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *(pa.array(x[:, i]) for i in range(x.shape[1]))], names=[*keep, *STATISTICS])
+            lists = pa.ListArray.from_arrays(np.arange(0, x.size + 1, len(STATISTICS), dtype=np.int32), pa.array(x.ravel()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), lists], names=[*keep, name])
 
     small_batches(docs.sparkSession)
-    return docs.select(*keep, "text").mapInArrow(run, schema)
+    return docs.select(*[f"`{c}`" for c in dict.fromkeys([*keep, "text"])]).mapInArrow(run, schema)
 
 
 def with_score(stats: DataFrame, model: Discriminant) -> DataFrame:
-    """``stats`` (any columns and the statistics) with ``score``, without the statistics."""
-    keep = [c for c in stats.columns if c not in STATISTICS]
-    schema = ", ".join([*(f"`{c}` {stats.schema[c].dataType.simpleString()}" for c in keep), "score double"])
+    """``stats`` (any columns and, last, the statistics) with ``score`` instead of the statistics."""
+    *keep, name = stats.columns
+    score = free_name(stats, "score")
+    schema = ", ".join([*(f"`{c}` {stats.schema[c].dataType.simpleString()}" for c in keep), f"{score} double"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.column_stack([batch.column(c).to_numpy() for c in STATISTICS])
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(model.score(x))], names=[*keep, "score"])
+            x = batch.column(name).flatten().to_numpy().reshape(-1, len(STATISTICS))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(model.score(x))], names=[*keep, score])
 
     return stats.mapInArrow(run, schema)
 
@@ -178,20 +183,16 @@ def held_out(doc_id: Column) -> Column:
 
 
 def train(stats: DataFrame, labels: DataFrame, label: str = "quality") -> Discriminant:
-    """Fit on the labelled rows of ``stats`` (doc_id and statistics) outside the held-out fold."""
+    """Fit on the labelled rows of ``stats`` (doc_id and, last, the statistics) outside the held-out fold."""
     known = labels.where(F.col(label).isNotNull()).select("doc_id", label).where(~held_out(F.col("doc_id")))
-    return fit(stats.join(known, "doc_id"), label)
+    return fit(known.join(stats.select("doc_id", F.col(f"`{stats.columns[-1]}`").alias("statistics")), "doc_id"), label)
 
 
 def reject_poor(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs``, all columns, whose score is at least ``threshold``."""
-    model = train(stash(with_statistics(docs, ["doc_id"]), "quality"), labels)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(model.score(statistics(K.as_bytes(batch.column("text")))) >= threshold))
-
-    return docs.mapInArrow(run, docs.schema)
+    """The rows of ``docs``, all columns, whose score is at least ``threshold``. Each text is read by the kernel once."""
+    stats = stash(with_statistics(docs, docs.columns), "quality")
+    scored = with_score(stats, train(stats, labels))
+    return scored.where(F.col(f"`{scored.columns[-1]}`") >= threshold).select(*[f"`{c}`" for c in docs.columns])
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

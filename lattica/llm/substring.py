@@ -20,7 +20,7 @@ distinct segment, never a row a document.
 Cases: null and empty texts have no bytes; documents of fewer than ``width`` bytes lose nothing; null doc_id
 is neither smaller nor greater than any, so such rows lose nothing and take nothing from others; rows
 with the same doc_id are one document's parts and take nothing from each other; an empty table gives no
-rows; columns besides doc_id and text are passed on.
+rows; columns besides doc_id and text are passed on, and the added columns get underscores where one has its name.
 """
 
 from __future__ import annotations
@@ -366,8 +366,6 @@ def _last_pass(width: int, buckets: int, own: list[str], schema: pa.Schema):
 @named("kept", "n_bytes", "n_removed", "n_spans")
 def dedup_bytes(docs: DataFrame, width: int = WIDTH, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """``docs`` (doc_id long) with kept (binary), n_bytes, n_removed and n_spans."""
-    if clash := {c.lower() for c in docs.columns} & {"kept", "n_bytes", "n_removed", "n_spans"}:
-        raise ValueError(f"columns {sorted(clash)} would be hidden")
     small_batches(docs.sparkSession)
     size = docs.agg(F.sum(F.octet_length("text")), F.count("*")).first()
     shards = max(1, -(-int(size[0] or 0) // shard_bytes), -(-int(size[1]) // SHARD_DOCS))

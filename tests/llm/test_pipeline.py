@@ -3,7 +3,7 @@
 import duckdb
 import pyarrow as pa
 from pyspark.sql import functions as F
-from test_dedup import brute_class_rows, brute_line_rows
+from test_dedup import brute_class_rows, brute_line_rows, split_words
 from test_text import brute_mark_rows, counted, labelled
 
 import corpus_pipeline
@@ -22,7 +22,9 @@ def test_pipeline(spark, docs, tmp_path):
     labels.withColumn("doc_id", F.col("doc_id") + 5000).write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame(items[:2], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     got = corpus_pipeline.run(spark, str(tmp_path))
-    assert got.columns == ["doc_id", "size", "source_size", "target", "taken"]
+    assert got.columns == [*every.columns, "size", "source_size", "target", "taken"]
+    corpus = {r["doc_id"]: r for r in got.collect()}
+    got = got.select("doc_id", "size", "source_size", "target", "taken")
 
     # each document's score by itself
     stats = quality.with_statistics(spark.read.parquet(f"{tmp_path}/documents.parquet"), ["doc_id"])
@@ -44,6 +46,9 @@ def test_pipeline(spark, docs, tmp_path):
     rows = [tuple(r[i] for i in order) for r in expected.fetchall()]
     shown = lambda r: (r[0], r[1], r[2], round(r[3], 6), r[4])
     assert counted(map(shown, rows)) == counted(shown(tuple(r)) for r in got.collect())
+    for d, t, _ in rest:
+        r, w = corpus[d], split_words(t)
+        assert split_words(r["text"]) == (w * 2)[: r["taken"]] and r["n_chars"] == len(r["text"])
 
 
 def test_stages_keep_the_columns_of_documents(spark, docs, tmp_path):
@@ -55,19 +60,33 @@ def test_stages_keep_the_columns_of_documents(spark, docs, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
 
-def test_columns_named_as_those_that_operators_add(spark, docs, tmp_path):
-    """Stages drop what the operators add, so documents may have columns of these names; operators let callers name them."""
+#: Every name that an operator or stage adds, and names that they use inside.
+INNER = """n_lines N_removed n_words hit items kept n_bytes n_spans own_5_ matches score statistics words upper size source_size target Taken
+mixed_text own tie key key_ spans_ shard shard_ lines_ chunks_ kept_ starts_ left_ _hashes _ends id_ band bands root sketch start n kmer digest
+_at _end blocks quota offset node path copies label source_rank shards names layout""".split()
+
+
+def test_columns_of_any_name_pass_through_stages_and_operators(spark, docs, tmp_path):
+    """Stages drop what the operators add; operators add theirs under free names, or under those that callers give."""
     docs.limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     items = [(1, " ".join(next(r["text"] for r in docs.collect() if r["doc_id"] == 3).split()[:20]))]
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    own = docs.withColumns({c: F.lit(7) for c in ("n_lines", "N_removed", "n_words", "hit", "items", "kept", "n_bytes", "n_spans", "own_5_")})
-    plain = ("doc_id", "text")
-    for stage in (corpus_pipeline.dedup_lines, corpus_pipeline.drop_contaminated):
-        out = stage(spark, own, str(tmp_path))
-        assert out.columns == own.columns and {r["items"] for r in out.collect()} == {7}
-        assert counted(out.select(*plain).collect()) == counted(stage(spark, docs, str(tmp_path)).select(*plain).collect())
+    _, labels = labelled(spark, 40)
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    own = docs.withColumns({c: F.lit(7) for c in INNER})
+    plain = ("doc_id", "text", "lang", "source")
+    for _, stage in corpus_pipeline.STAGES:
+        out, slim = stage(spark, own, str(tmp_path)), stage(spark, docs, str(tmp_path))
+        assert out.columns[: len(own.columns)] == own.columns
+        rows = out.collect()
+        assert all(r[c] == 7 for r in rows for c in INNER)
+        assert counted(tuple(r[:4]) for r in rows) == counted(map(tuple, slim.select(*plain).collect()))
     benchmark = spark.read.parquet(f"{tmp_path}/benchmark.parquet")
     for operator, args, added in ((lines.dedup_lines, (), ("n_lines", "n_removed")), (lines.dedup_runs, (), ("n_lines", "n_removed")), (decontaminate.mark, (benchmark,), ("n_words", "hit", "items")), (substring.dedup_bytes, (), ("kept", "n_bytes", "n_removed", "n_spans")), (debruijn.dedup_windows, (), ("kept", "n_words", "n_removed"))):
-        out = operator(own, *args, names={c: f"its_{c}" for c in added})
-        assert out.columns == [*own.columns, *(f"its_{c}" for c in added)]
-        assert counted(map(tuple, out.select("doc_id", *(f"its_{c}" for c in added)).collect())) == counted(map(tuple, operator(docs, *args).select("doc_id", *added).collect()))
+        out = operator(own, *args)
+        assert out.columns[: len(own.columns)] == own.columns and len({c.lower() for c in out.columns}) == len(out.columns)
+        named = operator(own, *args, names={c: f"its_{c}" for c in added})
+        assert named.columns == [*own.columns, *(f"its_{c}" for c in added)]
+        expected = counted(map(tuple, operator(docs, *args).select("doc_id", *added).collect()))
+        assert counted(map(tuple, named.select("doc_id", *(f"its_{c}" for c in added)).collect())) == expected
+        assert counted((r["doc_id"], *r[len(own.columns) :]) for r in out.collect()) == expected

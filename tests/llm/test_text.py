@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import math
 import random
 import re
 import zlib
@@ -66,6 +67,84 @@ def test_quality_odd_texts_and_few_labels(spark, docs, empty):
     assert quality.with_score(quality.with_statistics(empty, ["doc_id"]), model).count() == 0
 
 
+def brute_statistics(text):
+    """The twelve statistics of one text, character by character."""
+    raw = text.encode()
+    words = [w for w in re.split(rb"[\x20\x09-\x0D]+", raw) if w]
+    n = len(words)
+    kinds = Counter()
+    for b in raw:
+        c = chr(b) if b < 128 else ""
+        kinds["solid"] += c not in tuple(" \t\n\x0b\x0c\r")
+        kinds["lower"] += c != "" and c in "abcdefghijklmnopqrstuvwxyz"
+        kinds["upper"] += c != "" and c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+        kinds["digit"] += c != "" and c in "0123456789"
+        kinds["mark"] += c != "" and c in ".,;:?'\"-"
+        kinds["high"] += b >= 128
+    symbol = kinds["solid"] - sum(kinds[k] for k in ("lower", "upper", "digit", "mark", "high"))
+    u, k = quality.USUAL, quality.USUAL_WORDS
+
+    def odds(part, whole, name, more):
+        share = (part + more * u[name]) / (whole + more)
+        return math.log((share + quality.EPSILON) / (1 - share + quality.EPSILON))
+
+    mean = (sum(map(len, words)) + k * u["word_length"]) / (n + k)
+    spread = math.sqrt((sum((len(w) - mean) ** 2 for w in words) + k * u["word_spread"] ** 2) / (n + k))
+    count = Counter(words)
+    return [
+        math.log1p(n),
+        math.log1p(mean),
+        math.log1p(spread),
+        odds(kinds["upper"], kinds["upper"] + kinds["lower"], "upper", quality.USUAL_BYTES),
+        odds(kinds["digit"], kinds["solid"], "digit", quality.USUAL_BYTES),
+        odds(kinds["mark"], kinds["solid"], "stop_mark", quality.USUAL_BYTES),
+        odds(symbol, kinds["solid"], "symbol", quality.USUAL_BYTES),
+        odds(sum(len(w) <= 3 for w in words), n, "short", k),
+        odds(len(count), n, "distinct", k),
+        odds(sum(a == b for a, b in zip(words, words[1:], strict=False)), n, "adjacent", k),
+        odds(max(count.values(), default=0), n, "top", k),
+        math.log1p((n + u["line_words"]) / (raw.count(b"\n") + 2)),
+    ]
+
+
+def test_statistics_one_by_one(docs):
+    texts = [r["text"] or "" for r in docs.collect()] + ["A b! 12 é.\n\nA A", "\x00\x0b\u3000x", "#" * 5000]
+    assert np.allclose(quality.statistics([t.encode() for t in texts]), [brute_statistics(t) for t in texts])
+
+
+def test_fit_against_numpy(spark):
+    docs, labels = labelled(spark)
+    rows = {r["doc_id"]: r["text"] for r in docs.collect()}
+    known = {r["doc_id"]: r["quality"] for r in labels.collect() if zlib.crc32(str(r["doc_id"]).encode()) % 5}
+    model = quality.train(quality.with_statistics(docs.withColumns({"words": F.lit(1), "statistics": F.lit(2)}), ["doc_id", "words", "statistics"]), labels)
+    x = np.array([brute_statistics(rows[i]) for i in known])
+    y = np.array(list(known.values()))
+    of = [x[y == c] for c in (0, 1)]
+    within = sum(np.cov(a.T, bias=True) * len(a) for a in of) / len(x)
+    centre, scale = np.mean([a.mean(0) for a in of], 0), np.sqrt(np.maximum(np.diag(within), 1e-8))
+    assert np.allclose(model.centre, centre) and np.allclose(model.scale, scale)
+    z = [(a - centre) / scale for a in of]
+    pooled = sum(np.cov(a.T, bias=True) * len(a) for a in z) / len(x)
+    pooled = 0.98 * pooled + 0.02 * np.trace(pooled) / 12 * np.eye(12)
+    tested = (np.array([brute_statistics(t) for t in rows.values()]) - centre) / scale
+    density = []
+    for a in z:
+        covariance = 0.9 * np.cov(a.T, bias=True) + 0.1 * pooled
+        away = tested - a.mean(0)
+        density.append(math.log(len(a)) - 0.5 * np.linalg.slogdet(covariance)[1] - 0.5 * np.einsum("ij,jk,ik->i", away, np.linalg.inv(covariance), away))
+    expected = 1 / (1 + np.exp(np.clip(density[0] - density[1], -700, 700)))
+    assert np.allclose(model.score(tested * scale + centre), expected, atol=1e-6)
+
+
+def test_scores_beside_columns_of_any_name(spark):
+    docs, labels = labelled(spark)
+    own = docs.withColumns({c: F.lit(7) for c in ("words", "upper", "Statistics", "score")})
+    stats = quality.with_statistics(own, own.columns)
+    scored = quality.with_score(stats, quality.train(stats, labels))
+    assert scored.columns == [*own.columns, "score_"] and {r["upper"] for r in scored.collect()} == {7}
+    assert quality.reject_poor(own, labels).columns == own.columns
+
+
 def test_density_of_the_discriminant():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(50, 2))
@@ -88,7 +167,7 @@ def test_mix_sums_and_bounds(docs):
     assert sum(t for _, t in by) == pytest.approx(1.5 * sum(s for s, _ in by))
     for (size, target), part in by.items():
         assert sum(r["size"] for r in part) == size and target <= 2 * size + 1e-9
-        assert abs(sum(r["taken"] for r in part) - target) <= 3 * mixing.BLOCK_WORDS
+        assert abs(sum(r["taken"] for r in part) - target) <= 1
     assert counted(tuple(r.values()) for r in rows) == counted(tuple(r) for r in mixing.mix(docs).collect())
 
 
@@ -99,6 +178,37 @@ def test_mix_in_small_shards(docs):
     assert abs(sum(r["taken"] for r in rows) - want) < 0.05 * want
 
 
+@pytest.mark.parametrize("shard_words", [mixing.SHARD_WORDS, 300])
+def test_mix_of_small_sources(spark, shard_words):
+    """Each source's words come within a word of its target, be it of 0, 1, 10, 14 or 31 words, and no document exceeds twice its size."""
+    rng = random.Random(8)
+    sizes = {"a": [700] * 20, "b": [1], "c": [10], "d": [3, 11], "e": [31], "f": [0, 0], "g": [5] * 77, None: [2, 2, 2]}
+    rows = [(rng.randrange(10**6), " ".join("w" * n), source) for source, all_sizes in sizes.items() for n in all_sizes]
+    out = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), shard_words=shard_words).collect()
+    assert len(out) == len(rows) and all(0 <= r["taken"] <= 2 * r["size"] for r in out)
+    by = {}
+    for r in out:
+        by.setdefault((r["source_size"], r["target"]), []).append(r["taken"])
+    assert {s for s, _ in by} == {sum(x) for x in sizes.values()}
+    assert all(abs(sum(x) - target) <= 1 for (_, target), x in by.items())
+    assert sum(map(sum, by.values())) == math.floor(sum(t for _, t in by) + 0.5)
+
+
+def test_mixed_texts_hold_what_is_taken(spark, docs):
+    own = docs.withColumns({"taken": F.lit(1), "own": F.lit(2), "tie": F.lit(3)})
+    out = mixing.mixed(own, names={"taken": "mix_taken"})
+    assert out.columns == [*own.columns, "size", "source_size", "target", "mix_taken", "mixed_text"]
+    rows = out.collect()
+    assert len(rows) == docs.count()
+    for r in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", r["text"] or "")
+        n = r["mix_taken"]
+        assert re.findall(r"[^\x20\x09-\x0D]+", r["mixed_text"]) == (w * 2)[:n] and r["taken"] == 1
+    assert counted((r["doc_id"], r["size"], r["source_size"], r["target"], r["mix_taken"]) for r in rows) == counted(tuple(r) for r in mixing.mix(docs).collect())
+    with pytest.raises(ValueError):
+        mixing.mixed(own)
+
+
 def test_mix_odd_cases(spark, empty, docs):
     assert mixing.mix(empty).count() == 0
     only_empty = spark.createDataFrame([(1, None, None), (2, "", "a"), (2, "", "a")], "doc_id long, text string, source string")
@@ -108,11 +218,12 @@ def test_mix_odd_cases(spark, empty, docs):
 
 def test_sainte_lague_by_quotients(spark):
     votes = [53, 24, 23, 0, 7, 7, 1]
-    df = spark.createDataFrame([(0, i, float(v), 17) for i, v in enumerate(votes)], "g int, p int, votes double, seats long")
-    got = {r["p"]: r["won"] for r in mixing.sainte_lague(df, ["g"], "votes", "seats", ["p"], "won").collect()}
-    quotients = sorted(((-v / (2 * k + 1), i) for i, v in enumerate(votes) for k in range(17) if v), key=lambda q: q)[:17]
-    expected = Counter(i for _, i in quotients)
-    assert got == {i: expected[i] for i in range(len(votes))}
+    for caps in ([99] * 7, [9, 99, 99, 1, 1, 99, 1]):
+        df = spark.createDataFrame([(0, i, float(v), 17, c) for i, (v, c) in enumerate(zip(votes, caps, strict=True))], "g int, p int, votes double, seats long, cap long")
+        got = {r["p"]: r["won"] for r in mixing.sainte_lague(df, ["g"], "votes", "seats", "cap", ["p"], "won").collect()}
+        quotients = sorted(((-v / (2 * k + 1), i) for i, v in enumerate(votes) for k in range(min(17, caps[i])) if v), key=lambda q: q)[:17]
+        expected = Counter(i for _, i in quotients)
+        assert got == {i: expected[i] for i in range(len(votes))}
 
 
 def test_targets_level(spark):
@@ -172,8 +283,9 @@ def test_marks_odd_cases(spark, docs, empty, bench, clashing):
     assert len(none) == docs.count() and not any(r["hit"] for r in none) and max(r["n_words"] for r in none) > 1000
     clean = decontaminate.drop_contaminated(clashing, bench)
     assert clean.columns == clashing.columns and 0 < clean.count() < docs.count()
+    assert decontaminate.mark(docs.withColumn("HIT", F.lit(1)), bench).columns == [*docs.columns, "HIT", "n_words", "hit_", "items"]
     with pytest.raises(ValueError):
-        decontaminate.mark(docs.withColumn("HIT", F.lit(1)), bench)
+        decontaminate.mark(docs, bench, names={"hit": "Text"})
 
 
 # ---- licences
@@ -190,6 +302,9 @@ def test_licenses(spark):
     assert got[6] == {"MIT notice": pytest.approx(2 * 3 / (3 + len(sets["MIT notice"])))}
     assert 0.8 <= got[8]["MIT grant"] < 1
     assert licenses.scan(df.limit(0)).count() == 0
+    again = licenses.scan(df.unionByName(df).withColumn("Matches", F.lit(5)))
+    assert again.columns == ["doc_id", "text", "b", "Matches", "matches_"] and {r["Matches"] for r in again.collect()} == {5}
+    assert again.where(F.size("matches_") > 0).count() == 2 * sum(1 for x in got.values() if x)
 
 
 def test_whole_licenses(spark, tmp_path):
@@ -277,8 +392,36 @@ def test_layouts(spark):
     for i, n in enumerate(names):
         assert got[i] == [(n, "user", "q"), (n, "assistant", "a")]
     assert got[5] == [("instruction_input_output", "user", "do\n\nit"), ("instruction_input_output", "assistant", "a")]
-    assert not {6, 7, 8} & set(got)
+    assert all(got[i] == [(None, None, None)] for i in (6, 7, 8))
+    assert chat.segments(chat.json_turns(df, "body")).where("conv_id > 5").count() == 0
     typed = spark.createDataFrame([(1, [("user", "q"), ("assistant", "a")], 0)], "conv_id long, messages array<struct<role:string,content:string>>, extra int")
     assert [(r["turn"], r["role"], r["text"]) for r in chat.typed_turns(typed).orderBy("turn").collect()] == [(0, "user", "q"), (1, "assistant", "a")]
     with pytest.raises(ValueError, match="no mapping"):
         chat.typed_turns(df)
+
+
+def test_layouts_with_fields_of_other_layouts_and_nulls(spark):
+    turns = [{"role": "user", "content": "q"}, {"role": "assistant", "content": None}]
+    rows = [
+        {"messages": turns, "text": "q a", "prompt": "p"},
+        {"messages": [{"role": None, "content": None}, {"role": "user", "content": None}]},
+        {"messages": []},
+        {"messages": [{"from": "human", "value": "q"}]},
+        {"prompt": "q", "completion": None},
+        {"prompt": "q", "completion": "a", "response": "b"},
+        {"instruction": "do", "input": None, "output": "a", "text": "x"},
+        {"prompt": "q"},
+    ]
+    df = spark.createDataFrame([(i, json.dumps(r)) for i, r in enumerate(rows)], "conv_id long, body string")
+    got = {}
+    for r in chat.json_turns(df, "body").orderBy("conv_id", "turn").collect():
+        got.setdefault(r["conv_id"], []).append((r["layout"], r["role"], r["text"]))
+    assert got[0] == [("messages", "user", "q"), ("messages", "assistant", "")]
+    assert got[1] == [("messages", "", ""), ("messages", "user", "")]
+    assert got[2] == [("messages", None, None)]
+    assert got[3] == got[7] == [(None, None, None)]
+    assert got[4] == [("prompt_completion", "user", "q"), ("prompt_completion", "assistant", "")]
+    assert got[5] == [("prompt_completion", "user", "q"), ("prompt_completion", "assistant", "a")]
+    assert got[6] == [("instruction_input_output", "user", "do"), ("instruction_input_output", "assistant", "a")]
+    typed = spark.createDataFrame([(1, [("user", "q")], "x", "y")], "conv_id long, messages array<struct<role:string,content:string>>, text string, prompt string")
+    assert [(r["role"], r["text"]) for r in chat.typed_turns(typed).collect()] == [("user", "q")]
