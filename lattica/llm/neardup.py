@@ -112,6 +112,7 @@ def _spread(members: DataFrame) -> DataFrame:
     parts = members.groupBy("band", "root").agg(F.count("*").alias("n"))
     main = parts.groupBy("band").agg(F.max(F.struct("n", "root")).alias("m"), F.sum("n").alias("all"))
     main = main.select("band", F.col("m.root").alias("main"), F.ceil(F.col("m.n") / TILE).cast("int").alias("main_tiles"), F.ceil((F.col("all") - F.col("m.n")) / TILE).cast("int").alias("tiles"))
+    main = stash(main, "near-mains")
     sized = members.join(main, "band").withColumn("is_main", F.col("root") == F.col("main"))
     number = F.pmod(F.xxhash64("key"), F.when(F.col("is_main"), F.col("main_tiles")).otherwise(F.col("tiles"))).cast("int")
     sized = sized.withColumn("tile", F.when(F.col("is_main"), -1 - number).otherwise(number))
@@ -182,7 +183,8 @@ def near_classes(docs: DataFrame, least: float = LEAST, m: int = COMPONENTS, r:
     texts = stash(texts.join(several.select("key"), "key", "left_semi"), "near-texts")
 
     weighed = shared.join(several.select("key", "weight"), "key")
-    centres = weighed.groupBy("band").agg(F.max(F.struct("weight", "key"))["key"].alias("centre"))
+    # written, so that Spark can split what a very large band is joined with
+    centres = stash(weighed.groupBy("band").agg(F.max(F.struct("weight", "key"))["key"].alias("centre")), "near-centres")
     # of a node's centres the one that most of its bands share
     votes = shared.join(centres, "band").where("key <> centre").groupBy("key", "centre").agg(F.count("*").alias("votes"))
     stars = votes.groupBy("key").agg(F.max(F.struct("votes", "centre"))["centre"].alias("b")).select(F.col("key").alias("a"), "b")
@@ -191,12 +193,13 @@ def near_classes(docs: DataFrame, least: float = LEAST, m: int = COMPONENTS, r:
     known = components(links)
     members = shared.select("band", "key").join(several.select("key", "sketch", "bands"), "key").join(known.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     open_bands = members.groupBy("band").agg((F.min("root") != F.max("root")).alias("open"), F.count("*").alias("members")).where("open").select("band", "members")
+    open_bands = stash(open_bands, "near-open")
     members = stash(members.join(open_bands, "band"), "near-members")
     few, many = members.where(F.col("members") <= SMALL_BAND).drop("members"), members.where(F.col("members") > SMALL_BAND).drop("members")
     pairs = stash(_tile_pairs(few, matches, None, weight).distinct(), "near-pairs")
     more = _verified(pairs, texts, least, weight).unionByName(_tile_pairs(many.join(texts, "key"), matches, least, weight))
     classes = components(links.unionByName(more).select("a", "b")).withColumnRenamed("node", "key")
-    for made in (shared, several, texts, links, known, members, pairs):
+    for made in (shared, several, texts, centres, links, known, open_bands, members, pairs):
         drop_stash(made)
     return rows.select("doc_id", "key"), classes
 
