@@ -34,16 +34,19 @@ def norm(x: Column) -> Column:
 
 
 def solution_error(x: DataFrame, exact: DataFrame) -> DataFrame:
-    """One row: the 2-norm of x - x* over that of x*, 0 where x* is 0."""
-    both = x.select("i", F.col("val").alias("x")).join(exact.select("i", F.col("val").alias("e")), "i")
+    """One row: the 2-norm of x - x* over that of x*, 0 where x* is 0; rows that one of them lacks are 0 there."""
+    both = x.select("i", F.col("val").alias("x")).join(exact.select("i", F.col("val").alias("e")), "i", "full").fillna(0.0, ["x", "e"])
     sums = both.agg(F.sum((F.col("x") - F.col("e")) ** 2).alias("d"), F.sum(F.col("e") ** 2).alias("e"))
     return sums.select(F.when(F.col("e") == 0, 0.0).otherwise(F.sqrt(F.try_divide("d", "e"))).alias("error"))
 
 
 def residual(coo: DataFrame, x: DataFrame, b: DataFrame, rows: DataFrame, n: int | None = None) -> DataFrame:
-    """One row: norms of b - A x and of b, from the unpartitioned matrix, and their ratio (0 where b is 0)."""
+    """One row: norms of b - A x and of b, from the unpartitioned matrix, and their ratio (0 where b is 0).
+
+    Entries of b or A x that the other lacks count against 0.
+    """
     ax = spmv(coo, x, rows, n).select("i", F.col("val").alias("ax"))
-    r = b.select("i", F.col("val").alias("b")).join(ax, "i").agg(norm(F.col("b") - F.col("ax")).alias("residual_norm"), norm(F.col("b")).alias("rhs_norm"))
+    r = b.select("i", F.col("val").alias("b")).join(ax, "i", "full").fillna(0.0, ["b", "ax"]).agg(norm(F.col("b") - F.col("ax")).alias("residual_norm"), norm(F.col("b")).alias("rhs_norm"))
     return r.withColumn("true_rel_residual", F.coalesce(F.try_divide("residual_norm", "rhs_norm"), F.lit(0.0)))
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..operators import compare, summary
 from ..sources import logs
+from ..storage import write_text
 
 M = "_median"
 
@@ -155,8 +156,7 @@ def analyze(spark: SparkSession, datasets: dict[str, str], backend: str = "nativ
         raise ValueError("no logs found")
     made = render(runs, datasets, backend, reference)
     if output:
-        with open(output, "w", encoding="utf-8") as f:
-            f.write(made)
+        write_text(spark, made, output)
     return made
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +13,8 @@ from .functions import scalars as S
 from .operators import compare, linalg, partition, summary, windows
 from .plans import cg, report
 from .sources import campaign, logs, matrix_market
+from .storage import shared_dir, stash, write_text
+from .streaming import events
 
 _QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
@@ -35,8 +38,8 @@ def oracle_sql() -> dict[str, str]:
 def _owned(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """rows, owner, owned entries."""
     rows = X.rows(spark, sf)
-    owner = partition.row_block(rows, rows.count(), X.SIZE)
-    return rows, owner, partition.with_owners(X.coo(spark, sf), owner)
+    n = rows.count()
+    return rows, partition.row_block(rows, n, X.SIZE), partition.with_block_owners(X.coo(spark, sf), n, X.SIZE)
 
 
 # ---- summaries and comparisons (the flagship comes first)
@@ -185,10 +188,52 @@ def _(spark, sf):
     return report.best_table(_summary(spark, sf))
 
 
-@query("k3_report_sections", "select unnest(['# Results Summary', '## Solver And Communication Summary', '## Correctness And Runtime', '## Best Solver Time By Scale', '## Operation Breakdown', '## Rank Skew', '## Partition Imbalance', '## Cross-Dataset Comparison', '## Notes']) as section")
+_HEADS = {
+    "Solver And Communication Summary": "select count(*) from w",
+    "Correctness And Runtime": "select count(*) from w",
+    "Best Solver Time By Scale": "select count(distinct (dataset, scale)) from w where m_solver_time_s is not null",
+    "Operation Breakdown": "select count(*) from w where nullif(m_solver_time_s, 0) is not null",
+    "Rank Skew": "select " + " + ".join(f"count(m_{c})" for c in summary.METRICS["skew"].values()) + " from w",
+    "Partition Imbalance": "select count(*) from w where coalesce(" + ", ".join(f"m_{c}_imbalance" for c in summary.METRICS["partition"]) + ") is not null",
+    "Cross-Dataset Comparison": "select count(*) from cell b join cell o on b.dataset = (select min(dataset) from w) and o.dataset <> b.dataset and b.scale is not distinct from o.scale and b.comm is not distinct from o.comm and b.ranks is not distinct from o.ranks",
+}
+
+
+@query(
+    "k3_report_sections",
+    _WIDE
+    + ", cell as (select * from (select *, row_number() over (partition by dataset, scale, comm, ranks order by variant desc) as place from w) where place = 1 and nullif(m_solver_time_s, 0) is not null) "
+    + " union all ".join(f"select '## {h}' as section, ({n})::bigint as n_rows" for h, n in _HEADS.items())
+    + " union all select '## Notes', 0 from runs where comm = 'nvshmem' having count(*) > 0",
+)
+def _(spark, sf):
+    """The sections of the rendered report, with the rows of their tables."""
+    sections: dict[str, int] = {}
+    for line in report.render(X.runs(spark, sf), {"tables": sf}).split("\n"):
+        if line.startswith("## "):
+            sections[line] = -2 if line != "## Notes" else 0
+        elif line.startswith("| "):
+            sections[next(reversed(sections))] += 1
+    return spark.createDataFrame(list(sections.items()), "section string, n_rows long")
+
+
+def _cells(*columns: str) -> str:
+    return "'| ' || concat_ws(' | ', " + ", ".join(columns) + ") || ' |'"
+
+
+@query(
+    "k3_f3_best_lines",
+    _WIDE
+    + " select "
+    + _cells("dataset", "scale", "comm", "coalesce(ranks::varchar, 'N/A')", _TEXT3.format("m_solver_time_s"), _TEXT3.format("m_running_solver_s"), _TEXT3.replace("%.3f", "%.0f").format("m_iterations"), _TEXT3.format("m_gflops"))
+    + " as line from (select *, row_number() over (partition by dataset, scale order by coalesce(nullif(m_solver_time_s, 0), 'inf'::double), comm, variant, ranks nulls first) as place from w where m_solver_time_s is not null) where place = 1"
+    + " union all values ('| Dataset | Scale | Best comm | Ranks | Solver s | Running s | Iters | GF/s |'), ('| --- | --- | --- | --- | --- | --- | --- | --- |')",
+)
 def _(spark, sf):
-    made = report.render(X.runs(spark, sf), {"tables": sf})
-    return spark.createDataFrame([(x,) for x in made.split("\n") if x.startswith("#")], "section string")
+    """The table of best times as the report shows it."""
+    made = report.render(X.runs(spark, sf), {"tables": sf}).split("\n")
+    at = made.index("## Best Solver Time By Scale") + 2
+    return spark.createDataFrame([(x,) for x in made[at : made.index("", at)]], "line string")
 
 
 @query("a22_matrix_list", f"with {X.RUNS_CTE} select dataset, string_agg(distinct matrix, ', ' order by matrix) as matrices, bool_or(comm = 'nvshmem') as any_nvshmem, count(distinct scale) as scales from runs group by dataset")
@@ -249,17 +294,28 @@ def _(spark, sf):
     return compare.pair_cells(compare.job_pairs(_campaign(spark, sf), _PAIRS))
 
 
-@query("k4_paired_table", _JOBS + " select count(*)::bigint + 3 + (select count(*) from (select distinct matrix, topology, pair from jobs)) as n_lines from jobs")
+_PAIRED_HEAD = ("matrix     topo  pair                        job n  portable native_s  ratio      rounds  per-it", "", "per cell, median over allocations (portable / native; above 1.00 the portable side is slower):")
+
+
+@query(
+    "k4_paired_table",
+    _JOBS
+    + """ select printf('%-11s%-6s%-22s%9d %d  %8.2f %8.2f  %5.2f %11s  %6.2f', matrix, topology, pair, job, rounds, portable_s, native_s, ratio, case when rounds > 0 then printf('%.2f..%.2f', least_ratio, most_ratio) else '-' end, per_iter_ratio) as line from jobs
+ union all select printf('  %-11s%-6s%-14s allocations=%d  time %.2f [%.2f..%.2f]  per-iteration %.2f', matrix, topology, pair, count(*), median(ratio), min(ratio), max(ratio), median(per_iter_ratio)) from jobs group by matrix, topology, pair
+ union all values """
+    + ", ".join(f"('{x}')" for x in _PAIRED_HEAD),
+)
 def _(spark, sf):
     jobs = compare.job_pairs(_campaign(spark, sf), _PAIRS)
-    made = report.paired_lines(jobs, compare.pair_cells(jobs))
-    return spark.createDataFrame([(len(made),)], "n_lines long")
+    return spark.createDataFrame([(x,) for x in report.paired_lines(jobs, compare.pair_cells(jobs))], "line string")
 
 
-@query("u2_label_set", "select unnest(['native-mpi', 'native-nccl', 'native-single', 'portable-mpi', 'portable-nccl', 'portable-single']) as label")
+@query("u2_label_set", f"with {_CAMPAIGN_CTE} select pair as pair, string_agg(distinct label, ',' order by label) as labels from (select pair, label from a union select pair, label from b) group by pair")
 def _(spark, sf):
-    pairs = compare.pair_table(X.table(spark, sf, "region"), _PAIRS)
-    return pairs.select(F.col("portable").alias("label")).union(pairs.select("native")).distinct()
+    """Of each pair, the labels that either side has runs of."""
+    runs, pairs = _campaign(spark, sf), compare.pair_table(X.table(spark, sf, "region"), _PAIRS)
+    sides = [runs.join(pairs.select("pair", F.col(side).alias("label")), "label").select("pair", "label") for side in ("portable", "native")]
+    return sides[0].union(sides[1]).distinct().groupBy("pair").agg(F.array_join(F.array_sort(F.collect_list("label")), ",").alias("labels"))
 
 
 # ---- log parsing
@@ -306,7 +362,7 @@ def _(spark, sf):
     text = F.concat(
         F.lit("ranks: 8\nsolver-collectives: oneccl\nsolver: converged="), F.when(F.col("event_id") % 2 == 0, "true").otherwise("false"), F.lit(" iterations="), c, F.lit(" residual=1e-6 solve_time="), c + 1, F.lit(".5s\ntiming: schema=3 setup_s=0.4 solver_max_s="), c + 2, F.lit(".25 solver_min_s=1.0\nwaits: pack_s=0.1 halo_s=0.25\nperformance_cuda_compatible:\n\n"),
         section, F.lit("  gemv: 4.0 seconds/proc 3 times/proc 8 B/proc  0.5 GB/s/proc\nother line\n  gemv: 9.0 seconds/proc 3 times/proc 8 B/proc  0.5 GB/s/proc\nsolver_diag_perf: spmv min_s=1.0 avg_s=2.0 max_s=3.0 skew_s=2.0\nsolver_diag_perf: solver min_s=1.0 avg_s=2.0 max_s=3.0 skew_s=9.0\nsolver_diag_partition: rank rows\nsolver_diag_partition: 0 10 "),
-        c + 5, F.lit(" 90 10 5 5 4\nsolver_diag_partition: 1 10 "), c + 10, F.lit(" 170 30 0 15 8\n"),
+        c + 5, F.lit(" 77 12 7 6 9\nsolver_diag_partition: 1 10 "), c + 10, F.lit(" 151 18 0 11 14\n"),
     )
     some = rows.where("event_id % 5 <> 0")
     out = _to_lines(some, text).withColumn("file", F.regexp_replace("file", "stderr", "stdout"))
@@ -320,10 +376,14 @@ def _(spark, sf):
     return X.table(spark, sf, "events").select("event_id", *[c.alias(n) for n, c in logs.path_metadata(path).items()])
 
 
-@query("s4_discover_logs", "select event_id from events where event_id % 3 = 0")
+@query("s4_discover_logs", "select 'd/run' || n_nationkey || '-stderr.txt' as file from nation where n_nationkey % 3 = 0")
 def _(spark, sf):
-    name = F.concat(F.lit("d/run"), F.col("event_id"), F.element_at(F.array(F.lit("-stderr.txt"), F.lit("-stderr.txt.tmp"), F.lit("-stdout.txt")), (F.col("event_id") % 3 + 1).cast("int")))
-    return X.table(spark, sf, "events").where(name.rlike(r"-stderr\.txt$")).select("event_id")
+    """Files of three kinds, written and found again."""
+    root = f"{shared_dir(spark)}/discover-{uuid.uuid4().hex}"
+    kinds = ("-stderr.txt", "-stderr.txt.tmp", "-stdout.txt")
+    for r in X.table(spark, sf, "nation").select("n_nationkey").collect():
+        write_text(spark, "x\n" if r[0] % 2 else "", f"{root}/d/run{r[0]}{kinds[r[0] % 3]}")
+    return logs.discover(spark, root)
 
 
 @query("f15_key_values", f"select event_id, c as iterations, 'b' as word, c + 1 as last from ({_LOGGED.replace('{events}', 'events')})")
@@ -435,9 +495,9 @@ def _(spark, sf):
     return _logged(spark, sf).select("event_id", S.parse_number(F.when(F.col("event_id") % 3 == 0, "N/A").otherwise(F.concat(F.col("c"), F.lit(".25")))).alias("x"))
 
 
-@query("f7_f11_ratios", f"with {X.RUNS_CTE} select event_id, 100 * halo_s / nullif(wall_s, 0) as share, coalesce(error_norm, 0) + coalesce(solver_time_s, 0) as total, coalesce(nullif(spmv_s, 0), gemv_s) as first_true, 1000 * nullif(solver_time_s, 0) / nullif(iterations, 0) as ms_per_iter, wall_s / nullif(solver_time_s, 0) as ratio, nullif(wall_s, 0) / nullif(solver_time_s, 0) as ratio_both, case when comm <> 'nvshmem' then 100 * allreduce_s / nullif(solver_time_s, 0) end as share_own from runs where coalesce(error_norm, solver_time_s) is not null")
+@query("f7_f11_ratios", f"with {X.RUNS_CTE} select event_id, 100 * halo_s / nullif(wall_s, 0) as share, case when coalesce(error_norm, solver_time_s) is not null then coalesce(error_norm, 0) + coalesce(solver_time_s, 0) end as total, coalesce(nullif(spmv_s, 0), gemv_s) as first_true, 1000 * nullif(solver_time_s, 0) / nullif(iterations, 0) as ms_per_iter, wall_s / nullif(solver_time_s, 0) as ratio, nullif(wall_s, 0) / nullif(solver_time_s, 0) as ratio_both, case when comm <> 'nvshmem' then 100 * allreduce_s / nullif(solver_time_s, 0) end as share_own from runs")
 def _(spark, sf):
-    r = X.runs(spark, sf).where("coalesce(error_norm, solver_time_s) is not null")
+    r = X.runs(spark, sf)
     c = F.col
     return r.select("event_id", S.percent(c("halo_s"), F.nullif(c("wall_s"), F.lit(0.0))).alias("share"), S.sum_values(c("error_norm"), c("solver_time_s")).alias("total"), S.first_true(c("spmv_s"), c("gemv_s")).alias("first_true"), S.ms_per_iter(c("solver_time_s"), c("iterations")).alias("ms_per_iter"), S.ratio(c("wall_s"), c("solver_time_s")).alias("ratio"), S.ratio(c("wall_s"), c("solver_time_s"), both=True).alias("ratio_both"), S.comm_share(c("allreduce_s"), c("solver_time_s"), S.decomposed("native", c("dataset"), c("comm"))).alias("share_own"))
 
@@ -558,7 +618,7 @@ def _mm_lines(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("s1_p1_matrix_market", f"with {X.COO_CTE} select i, j, v from coo")
 def _(spark, sf):
-    lines = _mm_lines(spark, sf)
+    lines = stash(_mm_lines(spark, sf), "mm-lines", free=False)
     head = matrix_market.header(lines)
     return matrix_market.expand_symmetric(matrix_market.entries(lines, head).select("i", "j", "v"))
 
@@ -587,6 +647,12 @@ def _(spark, sf):
     return _owned(spark, sf)[2].select("i", "j", "v", "row_rank", "col_rank", "kind")
 
 
+@query("j3_given_owners", f"with {X.COO_CTE}, own as (select p_partkey as i, (p_partkey * 7 % 4)::int as rank from part) select c.i, c.j, r.rank as row_rank, k.rank as col_rank, case when r.rank = k.rank then 'interior' else 'halo' end as kind from coo c join own r on c.i = r.i join own k on c.j = k.i")
+def _(spark, sf):
+    owner = X.rows(spark, sf).select("i", (F.col("i") * 7 % 4).cast("int").alias("rank"))
+    return partition.with_owners(X.coo(spark, sf), owner).select("i", "j", "row_rank", "col_rank", "kind")
+
+
 @query("w2_j4_local_index", f"with {X.OWNER_CTE} select i, rank, row_number() over (partition by rank order by i) - 1 as local from owner")
 def _(spark, sf):
     return partition.local_index(_owned(spark, sf)[1])
@@ -735,11 +801,141 @@ def _(spark, sf):
     return x.select("i", F.round("val", 6).alias("x"))
 
 
-@query("i1_cg_solve", "select true as converged, true as close, true as small_residual, true as few_iterations")
+@query("i1_cg_solve", "select p_partkey as i, (p_partkey % 7 - 3)::double as x from part")
 def _(spark, sf):
+    """The solution of A x = A x*, to two places, which is x*."""
     rows = X.rows(spark, sf)
     coo = X.coo(spark, sf)
-    exact = X.vector(rows)
-    x, result = cg.solve(coo, rows, linalg.spmv(coo, exact, rows, rows.count()), rtol=1e-6, max_iters=200)
-    error = linalg.solution_error(x, exact)
-    return error.select(F.lit(result.converged).alias("converged"), (F.col("error") < 1e-4).alias("close"), F.lit(result.true_rel_residual < 1e-5).alias("small_residual"), F.lit(result.iterations < 100).alias("few_iterations"))
+    x, _ = cg.solve(coo, rows, linalg.spmv(coo, X.vector(rows), rows, rows.count()), rtol=1e-6, max_iters=200)
+    return x.select("i", (F.round("val", 2) + 0.0).alias("x"))
+
+
+def _chain(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+    """A small matrix for the rules of the solver, 4 on the diagonal and -1 beside it, and its rows."""
+    rows = spark.range(8).select(F.col("id").alias("i"))
+    near = rows.select("i", F.explode(F.array(F.col("i") - 1, F.col("i"), F.col("i") + 1)).alias("j")).where("j between 0 and 7")
+    return near.select("i", "j", F.when(F.col("i") == F.col("j"), 4.0).otherwise(-1.0).alias("v")), rows
+
+
+@query("i2_p11_warmup_and_log", "select unnest([2, 4]) as k, 0.0::double as difference")
+def _(spark, sf):
+    """Residuals that are logged every second iteration, with and without warm-up iterations before."""
+    coo, rows = _chain(spark)
+    plain, warm = (dict(cg.solve(coo, rows, rtol=0.0, max_iters=5, log_every=2, warmup=w)[1].history) for w in (0, 3))
+    return spark.createDataFrame([(k, round(abs(plain[k] - warm.get(k, -1.0)), 9)) for k in plain], "k int, difference double")
+
+
+@query("f25_i4_errors", "select unnest(['empty partition', 'indefinite', 'not finite']) as fault, true as raised")
+def _(spark, sf):
+    """What must raise: a rank without rows, a negative definite matrix, an entry that is not finite."""
+    coo, rows = _chain(spark)
+
+    def raises(kind: type[Exception], run: Callable) -> bool:
+        try:
+            run()
+        except kind:
+            return True
+        return False
+
+    faults = {
+        "empty partition": raises(ValueError, lambda: partition.build(coo, rows, 9)),
+        "indefinite": raises(cg.Breakdown, lambda: cg.solve(coo.withColumn("v", -F.col("v")), rows, rtol=1e-6)),
+        "not finite": raises(cg.Breakdown, lambda: cg.solve(coo.withColumn("v", F.when(F.col("i") == 0, float("nan")).otherwise(F.col("v"))), rows, rtol=1e-6)),
+    }
+    return spark.createDataFrame(list(faults.items()), "fault string, raised boolean")
+
+
+@query("k1_report_lines", "select 8 as ranks, true as converged, 3 as timing_schema, true as small")
+def _(spark, sf):
+    """A solve's printed lines, read back by the log parser."""
+    coo, rows = _chain(spark)
+    _, result = cg.solve(coo, rows, rtol=1e-8)
+    out = spark.createDataFrame([("1n8g/v/suitesparse/M/a-stdout.txt", p, x) for p, x in enumerate(["ranks: 8", *cg.report_lines(result)])], "file string, pos int, line string")
+    err = spark.createDataFrame([("1n8g/v/suitesparse/M/a-stderr.txt", 0, "")], "file string, pos int, line string")
+    read = logs.parse_portable(err, out, "own")
+    return read.select("ranks", "converged", "timing_schema", ((F.col("iterations") == result.iterations) & (F.col("true_rel_residual") < 1e-6) & (F.col("solver_time_s") > 0)).alias("small"))
+
+
+@query("i3_build", "select p_partkey as i, (p_partkey * 7 % 4)::int as rank from part")
+def _(spark, sf):
+    rows = X.rows(spark, sf)
+    return partition.build(X.coo(spark, sf), rows, 4, "file", rows.select("i", (F.col("i") * 7 % 4).cast("int").alias("rank")))
+
+
+@query("p12_positive_flag", "select unnest(['', '-1', '0', '12', 'x', ' 7 ']) as text, unnest([0, 0, 0, 12, 0, 7]) as flag")
+def _(spark, sf):
+    return spark.createDataFrame([(t, S.positive_flag(t)) for t in ("", "-1", "0", "12", "x", " 7 ")], "text string, flag int")
+
+
+# ---- campaign files
+
+
+def _folder(spark: SparkSession, label: str) -> str:
+    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def _event_rows(spark: SparkSession, sf: str) -> DataFrame:
+    e = X.table(spark, sf, "events")
+    status = F.element_at(F.array(F.lit("started"), F.lit("ok"), F.lit("failed")), (F.col("event_id") % 3 + 1).cast("int"))
+    return e.select(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("time"), F.col("user_id").alias("job"), F.lit("1n4g").alias("topology"), F.lit("M").alias("matrix"), F.lit("l").alias("label"), F.col("event_id").cast("int").alias("trial"), status.alias("status"), F.when(status != "started", F.lit(0)).alias("exit"), F.lit("s").alias("stem"))
+
+
+_EVENTS_SQL = "select user_id as job, event_id::int as trial, case event_id % 3 when 0 then 'started' when 1 then 'ok' else 'failed' end as status, case when event_id % 3 <> 0 then 0 end::int as exit from events"
+
+
+@query("k5_event_append", _EVENTS_SQL)
+def _(spark, sf):
+    """Events appended in two writes and read back."""
+    path, rows = _folder(spark, "events"), _event_rows(spark, sf)
+    for k in (0, 1):
+        campaign.append_events(rows.where(F.col("trial") % 2 == k), path)
+    return campaign.read_events(spark, path).select("job", "trial", "status", "exit")
+
+
+@query("s10_event_stream", "select date_trunc('hour', ts) as start, status, count(*) as n from (select ts, case event_id % 3 when 0 then 'started' when 1 then 'ok' else 'failed' end as status from events) group by all")
+def _(spark, sf):
+    """The appended events as a stream, all that is there in one run, counted by hour and status."""
+    path = _folder(spark, "stream")
+    campaign.append_events(_event_rows(spark, sf).coalesce(1), f"{path}/in")
+    counts = events.status_counts(events.stream_events(spark, f"{path}/in"), late="36500 days")
+    name = f"counts_{uuid.uuid4().hex}"
+    counts.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).option("checkpointLocation", f"{path}/state").start().awaitTermination()
+    return spark.table(name).select("start", "status", "n")
+
+
+@query("s11_resolve", "select unnest(['explicit', 'first there', 'explicit missing', 'none there']) as asked, unnest(['b', 'a', 'error', 'error']) as found")
+def _(spark, sf):
+    root = _folder(spark, "resolve")
+    for name in ("a", "b"):
+        write_text(spark, name, f"{root}/{name}")
+
+    def found(explicit: str | None, candidates: list[str]) -> str:
+        try:
+            return campaign.resolve(spark, explicit and f"{root}/{explicit}", [f"{root}/{c}" for c in candidates]).rsplit("/", 1)[1]
+        except FileNotFoundError:
+            return "error"
+
+    rows = [("explicit", found("b", ["a"])), ("first there", found(None, ["none", "a", "b"])), ("explicit missing", found("none", ["a"])), ("none there", found(None, ["none"]))]
+    return spark.createDataFrame(rows, "asked string, found string")
+
+
+@query("k6_provenance", "select unnest(['a=1', 'my.password=***', 'nodes=2']) as line")
+def _(spark, sf):
+    path = _folder(spark, "provenance")
+    campaign.provenance(spark, {"nodes": "2", "a": "1", "my.password": "open"}, path)
+    return spark.read.text(path).where("not startswith(value, 'spark:')").select(F.col("value").alias("line"))
+
+
+@query("k7_promote", "select unnest(['kept', 'moved']) as run, unnest(['kept.tmp', 'moved']) as name")
+def _(spark, sf):
+    root = _folder(spark, "promote")
+    for run, succeeded in (("kept", False), ("moved", True)):
+        write_text(spark, run, f"{root}/{run}.tmp")
+        campaign.promote(spark, f"{root}/{run}.tmp", f"{root}/{run}", succeeded)
+    return matrix_market.read_texts(spark, root).select(F.col("text").alias("run"), F.substring_index("file", "/", -1).alias("name"))
+
+
+@query("j16_placement", "select unnest(range(4)) as rank, true as placed")
+def _(spark, sf):
+    """Rank and line of four tasks; hosts differ from run to run, so only the line's form is returned."""
+    return campaign.placement(spark, 4).select("rank", F.expr("line rlike concat('^rank ', rank, ': host=[^ ]+ gpu=', rank, ' device=.+$')").alias("placed"))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalars import parse_number
 from ..operators.windows import last_writer
+from ..storage import write_text
 
 SECTION = "## Solver And Communication Summary"
 EVENT_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in ("time", "job", "topology", "matrix", "label", "trial", "status", "exit", "stem")])
@@ -65,10 +68,39 @@ def promote(spark: SparkSession, temporary: str, final: str, succeeded: bool) ->
     return True
 
 
+#: Settings that a provenance file states; others may hold keys of stores, passwords or tokens.
+STATED = ("spark.master", "spark.app.name", "spark.executor.instances", "spark.executor.cores", "spark.executor.memory", "spark.driver.memory", "spark.default.parallelism", "spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled", "spark.sql.files.maxPartitionBytes", "spark.sql.session.timeZone")
+
+
+def provenance_lines(spark: SparkSession, facts: dict[str, str]) -> list[str]:
+    """name=value lines of what a campaign ran with and the stated Spark settings; facts whose names look secret are masked."""
+    secret = re.compile(spark.conf.get("spark.redaction.regex", "(?i)secret|password|token|access[.]?key"))
+    known = dict(spark.sparkContext.getConf().getAll())
+    out = {f"spark:{k}": known[k] for k in STATED if k in known}
+    out |= {k: "***" if secret.search(k) else v for k, v in facts.items()}
+    return [f"{k}={v}" for k, v in sorted(out.items())]
+
+
 def provenance(spark: SparkSession, facts: dict[str, str], path: str) -> None:
-    """Write name=value lines of what a campaign ran with, and the Spark settings, as one text file."""
-    lines = [f"{k}={v}" for k, v in sorted({**{f"spark:{k}": v for k, v in spark.sparkContext.getConf().getAll()}, **facts}.items())]
-    spark.createDataFrame([("\n".join(lines),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+    """Write ``provenance_lines`` as one text file."""
+    write_text(spark, "\n".join(provenance_lines(spark, facts)) + "\n", path)
+
+
+def placement(spark: SparkSession, size: int) -> DataFrame:
+    """rank, line: where each of ``size`` tasks that run at once stands, as host, process and device."""
+
+    def place(batches):
+        import os
+        import socket
+
+        import pyarrow as pa
+
+        for batch in batches:
+            ranks = batch.column(0).to_pylist()
+            lines = [f"rank {r}: host={socket.gethostname()} gpu={r} device=executor-{os.getppid()}" for r in ranks]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lines)], names=["rank", "line"])
+
+    return spark.range(0, size, 1, size).withColumnRenamed("id", "rank").mapInArrow(place, "rank long, line string").orderBy("rank")
 
 
 def run_states(events: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ takes the last value of a field, or the first where the grammar says so.
 
 from __future__ import annotations
 
+import functools
+import operator
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -114,8 +116,8 @@ def path_metadata(file: Column) -> dict[str, Column]:
 
 
 def plain_part(pattern: str) -> str:
-    """The longest run of letters and spaces that every match of a pattern of this grammar holds."""
-    return max(re.findall(r"[A-Za-z_ ]{3,}", re.sub(r"\\.|\[[^]]*\]|\(\?:[^()]*\)[?*]", "\n", pattern)), key=len, default="")
+    """The longest run of plain characters that every match of a pattern of this grammar holds, with a colon if there is one."""
+    return max(re.findall(r"[A-Za-z0-9_: -]{3,}", re.sub(r"\\.|\[[^]]*\]|\(\?:[^()]*\)[?*]", "\n", pattern)), key=lambda x: (":" in x, len(x)), default="")
 
 
 def _match(line: Column, pattern: str, group: int) -> Column:
@@ -141,6 +143,11 @@ def _runs(files: DataFrame, pairs: DataFrame, dataset: str | Column) -> DataFram
     return joined.select(*columns).withColumn("comm", S.comm(F.col("command_communicator"), F.col("communicator")))
 
 
+def _holds(line: Column, patterns) -> Column:
+    """Whether a line has the plain part of any pattern: few lines of a log do, and only these go on."""
+    return functools.reduce(operator.or_, [line.contains(x) for x in dict.fromkeys(map(plain_part, patterns))])
+
+
 def _typed(field: str, text: Column) -> Column:
     text = F.replace(text, F.lit(","), F.lit("")) if field == "iterations" else text
     if field == "converged":
@@ -152,28 +159,32 @@ def _head_values(lines: DataFrame, option: str) -> DataFrame:
     """wall_s and command_communicator of each file."""
     wall, command = _match(F.col("line"), WALL, 1), _match(F.col("line"), TIMED, 1)
     chosen = F.nullif(F.regexp_extract(command, option + r"\s+(\S+)", 1), F.lit(""))
-    by = lines.groupBy("file").agg(last_writer(wall, F.col("pos")).alias("wall"), last_writer(chosen, F.col("pos")).alias("command_communicator"))
+    by = lines.where(_holds(F.col("line"), [WALL, TIMED])).groupBy("file").agg(last_writer(wall, F.col("pos")).alias("wall"), last_writer(chosen, F.col("pos")).alias("command_communicator"))
     return by.select("file", S.wall_clock(F.col("wall")).alias("wall_s"), "command_communicator")
 
 
 def parse_native(lines: DataFrame, dataset: str | Column) -> DataFrame:
     """Runs of native solver logs (their standard error)."""
     line, pos = F.col("line"), F.col("pos")
-    opener = line.rlike(r"^running solver:")
-    waiting = pending_value(lines, opener, opener & ~line.rlike(rf"^running solver:\s*{NUMBER} seconds"), _match(line, rf"^{NUMBER} seconds$", 1), "_pending")
+    opener = line.startswith("running solver:")
+    # a pending value is a number of seconds on a line of its own
+    lines_known = lines.where(_holds(line, [p for _, p, _ in NATIVE]) | line.endswith(" seconds"))
+    waiting = pending_value(lines_known, opener, opener & ~line.rlike(rf"^running solver:\s*{NUMBER} seconds"), _match(line, rf"^{NUMBER} seconds$", 1), "_pending")
     values = {f: _match(line, p, g) for f, p, g in NATIVE}
     values["running_solver_s"] = F.coalesce(values["running_solver_s"], F.col("_pending"))
     found = waiting.select("file", "pos", *[v.alias(f) for f, v in values.items()])
     by = found.groupBy("file").agg(*[last_writer(F.col(f), pos).alias(f) for f in values])
     typed = by.select("file", *[_typed(f, F.col(f)).alias(f) for f in values])
-    return _runs(lines, typed.join(_head_values(lines, "--comm"), "file", "left"), dataset)
+    return _runs(lines, typed.join(_head_values(lines, "--comm"), "file", "full"), dataset)
 
 
 def parse_portable(stderr: DataFrame, stdout: DataFrame, dataset: str | Column) -> DataFrame:
     """Runs of portable solver logs: standard error, and standard output where the sibling file is there."""
     line, pos = F.col("line"), F.col("pos")
     out = stdout.withColumn("file", F.regexp_replace("file", r"-stdout\.txt$", "-stderr.txt"))
-    marked = sections(out, SECTIONS)
+    # lines that neither hold a value nor open or close a section are not needed to know the section
+    known = _holds(line, [*(p for _, _, p, _ in PORTABLE), *(f"solver_diag_perf: {n}" for n in SKEWS)]) | functools.reduce(operator.or_, [line.startswith(h + " ") for h in dict.fromkeys(h for h, _, _ in KEYED)])
+    marked = sections(out.where(known | line.rlike(r"^\S")), SECTIONS).where(known)
     values: dict[str, list[Column]] = {}
     for section, field, pattern, group in PORTABLE:
         found = _match(line, pattern, group)
@@ -193,9 +204,9 @@ def parse_portable(stderr: DataFrame, stdout: DataFrame, dataset: str | Column)
     typed = by.select("file", *[_typed(f, F.col(f)).alias(f) for f in values if f not in ("mpi_mode", "collectives")], F.coalesce("mpi_mode", "_first_collectives").alias("communicator"), F.col("_first_first_running").try_cast("double").alias("_solve"))
     typed = typed.withColumn("solver_time_s", F.coalesce("solver_time_s", "_solve")).drop("_solve")
 
-    ranked = out.where(line.rlike(PARTITION)).select("file", *[F.regexp_extract(line, PARTITION, g).cast("double").alias(c) for c, g in IMBALANCES.items()])
+    ranked = out.where(line.startswith("solver_diag_partition: ") & line.rlike(PARTITION)).select("file", *[F.regexp_extract(line, PARTITION, g).cast("double").alias(c) for c, g in IMBALANCES.items()])
     uneven = ranked.groupBy("file").agg(*[F.when(F.min(c) > 0, F.max(c) / F.min(c)).alias(f"{c}_imbalance") for c in IMBALANCES])
-    joined = _head_values(stderr, "--mpi-mode").join(typed, "file", "left").join(uneven, "file", "left")
+    joined = _head_values(stderr, "--mpi-mode").join(typed, "file", "full").join(uneven, "file", "full")
     alone = F.coalesce((F.col("ranks") == 1) & (F.coalesce("command_communicator", F.lit("")) == ""), F.lit(False))
     return _runs(stderr, joined.withColumn("communicator", F.when(alone, "none").otherwise(F.col("communicator"))), dataset)
 

@@ -1,20 +1,23 @@
 """Matrix Market coordinate files and partition vectors, read as text.
 
-A file's line order matters only for its header and size line, so each file is one text (``read_texts``)
-whose lines are exploded with their places; entries are then rows like any others. For files too large
-for one task, split them beforehand and pass numbered lines to ``entries``.
+A file's line order matters only for its header, its size line and its end. ``read_lines`` reads a file of any size in
+splits and numbers its lines by counts of the splits; entries are then rows like any others, and each step
+over them is narrow. ``read_texts`` and ``lines_of`` read many small files, one row each.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .positions import first_by_position, number_by_position
+from ..storage import stash
+from .positions import number_by_position
 
 INT32_MAX = 2**31 - 1
 #: What the banner may declare.
 FIELDS, SYMMETRIES = ("real", "integer"), ("general", "symmetric")
+#: Lines among which the size line mostly stands.
+TOP_LINES = 1000
 _INTEGER = r"^[+-]?[0-9]+$"
 
 
@@ -50,13 +53,30 @@ def lines_of(texts: DataFrame) -> DataFrame:
     return lines.where((F.col("pos") < F.col("_n") - 1) | (F.col("line") != "")).drop("_n")
 
 
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """file, pos (from 0), line of text files of any size, which tasks read in splits.
+
+    A split's lines are numbered as they are read and written once; how many lines the splits before it have is a
+    sum over splits, of which there is one for some hundred megabytes.
+    """
+    raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("line"))
+    kept = stash(raw, "matrix-lines", free=False)
+    splits = kept.groupBy("file", "block").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = kept.join(F.broadcast(splits.withColumn("before", before).select("file", "block", "first", "before")), ["file", "block"])
+    return placed.select("file", (F.col("before") + F.col("at") - F.col("first")).alias("pos"), "line")
+
+
 def _tokens(line: Column) -> Column:
     return F.filter(F.split(line, r"\s+"), lambda t: t != "")
 
 
 def header(lines: DataFrame) -> dict:
     """Symmetry, rows, cols, nnz and the size line's place of one file's lines; FormatError if it has none such."""
-    top = lines.where((F.col("pos") == 0) | ~F.col("line").startswith("%") & (F.col("line") != "")).orderBy("pos").limit(2).collect()
+    solid = lines.where((F.col("pos") == 0) | ~F.col("line").startswith("%") & (F.col("line") != ""))
+    top = solid.where(F.col("pos") < TOP_LINES).orderBy("pos").limit(2).collect()
+    if len(top) < 2:
+        top = solid.orderBy("pos").limit(2).collect()
     if not top or top[0]["pos"] != 0:
         raise FormatError("no header")
     banner = top[0]["line"].split()
@@ -78,13 +98,19 @@ def header(lines: DataFrame) -> dict:
 def entries(lines: DataFrame, head: dict) -> DataFrame:
     """pos, i, j, v (0-based) of the nnz entry lines after the size line; what follows them is ignored.
 
-    Checked in one aggregate: enough entries, three numbers on each line, indices in range.
+    Checked in one aggregate: enough entries, three numbers on each line, indices in range. All steps are filters and
+    projections of ``lines``, which is read several times: pass written lines, as ``read_lines`` returns.
     """
-    body = lines.where((F.col("pos") > head["pos"]) & (F.col("line") != "") & ~F.col("line").startswith("%"))
-    # entries stand on consecutive lines but for comments and empty lines: the nnz-th one's place bounds them
+    after = F.col("pos") > head["pos"]
+    solid = (F.col("line") != "") & ~F.col("line").startswith("%")
     if head["nnz"] == 0:
-        return body.limit(0).select("pos", F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j"), F.lit(0.0).alias("v"))
-    used = first_by_position(body, head["nnz"])
+        return lines.limit(0).select("pos", F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j"), F.lit(0.0).alias("v"))
+    # entries stand on consecutive lines but for comments and empty lines: count those up to the last entry's place until it stays
+    end, reached = head["pos"] + head["nnz"], None
+    while end != reached:
+        reached = end
+        end = head["pos"] + head["nnz"] + lines.where(after & (F.col("pos") <= reached) & ~solid).count()
+    used = lines.where(after & (F.col("pos") <= end) & solid)
     t = _tokens(F.col("line"))
     number = lambda k: F.when(F.get(t, F.lit(k)).rlike(_INTEGER), F.get(t, F.lit(k))).try_cast("long")
     parsed = used.select("pos", number(0).alias("i"), number(1).alias("j"), F.get(t, F.lit(2)).try_cast("double").alias("v"), F.size(t).alias("n"))
@@ -107,7 +133,7 @@ def expand_symmetric(coo: DataFrame) -> DataFrame:
 
 def read_matrix(spark: SparkSession, path: str) -> tuple[DataFrame, int, int]:
     """coo (i, j, v), rows and columns of one file."""
-    lines = lines_of(read_texts(spark, path))
+    lines = read_lines(spark, path)
     head = header(lines)
     coo = entries(lines, head).select("i", "j", "v")
     return (expand_symmetric(coo) if head["symmetry"] == "symmetric" else coo), head["rows"], head["cols"]

@@ -12,7 +12,3 @@ def number_by_position(lines: DataFrame) -> DataFrame:
     """``lines`` with i: how many of them stand before."""
     return exclusive_prefix_sum(lines.withColumn("_one", F.lit(1).cast("long")), "pos", "_one", "i").drop("_one")
 
-
-def first_by_position(lines: DataFrame, n: int) -> DataFrame:
-    """The first n lines."""
-    return number_by_position(lines).where(F.col("i") < n).drop("i")

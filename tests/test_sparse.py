@@ -121,3 +121,79 @@ def test_percentiles_and_medians(spark):
     four = spark.createDataFrame([(10.0,), (2.0,), (4.0,), (8.0,), (None,)], "v double")
     assert four.agg(*[c.alias(k) for k, c in summary.sample("v").items()]).first().asDict() == {"count": 4, "median": 6.0, "min": 2.0, "max": 10.0, "total": 24.0}
     assert math.isclose(four.agg(linalg.norm(F.col("v"))).first()[0], math.sqrt(184))
+
+
+def test_a_file_in_several_splits(spark, tmp_path):
+    """Lines keep their places across splits, with comments and empty lines between entries and a tail that counts for nothing."""
+    n = 3000
+    body = []
+    for i in range(1, n + 1):
+        body += [f"{i} {i} {i}.5"] + (["% note", ""] if i % 7 == 0 else [])
+    (tmp_path / "m.mtx").write_text("\n".join(["%%MatrixMarket matrix coordinate real general", "% c", f"{n} {n} {n}", *body, "1 1 9", "tail"]) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        lines = M.read_lines(spark, str(tmp_path / "m.mtx"))
+        assert [tuple(r) for r in lines.select("pos", "line").orderBy("pos").limit(4).collect()][2] == (2, f"{n} {n} {n}")
+        assert lines.count() == lines.select("pos").distinct().count() == 3 + len(body) + 2
+        coo, rows, cols = M.read_matrix(spark, str(tmp_path / "m.mtx"))
+        assert (rows, cols) == (n, n) and sorted(map(tuple, coo.collect())) == [(i, i, i + 1.5) for i in range(n)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_block_owners_equal_the_given_map(spark):
+    coo = coo_of(spark, [(i, j, 1.0) for i in range(11) for j in (0, i, 10)])
+    rows = spark.range(11).select(F.col("id").alias("i"))
+    given = partition.with_owners(coo, partition.row_block(rows, 11, 4))
+    columns = ["i", "j", "v", "row_rank", "col_rank", "kind"]
+    assert sorted(map(tuple, given.select(columns).collect())) == sorted(map(tuple, partition.with_block_owners(coo, 11, 4).select(columns).collect()))
+
+
+def test_rows_that_one_vector_lacks(spark):
+    vec = lambda rows: spark.createDataFrame(rows, "i long, val double")
+    assert linalg.solution_error(vec([(0, 3.0), (2, 4.0)]), vec([(0, 3.0), (1, 3.0)])).first()[0] == pytest.approx(5 / math.sqrt(18))
+    r = linalg.residual(coo_of(spark, [(0, 0, 1.0), (1, 1, 2.0)]), vec([(0, 3.0), (1, 2.0)]), vec([(0, 3.0)]), vec([(0, 0.0), (1, 0.0)])).first()
+    assert r["residual_norm"] == 4.0 and r["rhs_norm"] == 3.0
+
+
+def test_no_local_fallback_on_a_cluster(spark):
+    from lattica import storage
+
+    class Context:
+        master = "spark://host:7077"
+        getCheckpointDir = staticmethod(lambda: None)
+
+    class Session:
+        conf = spark.conf
+        sparkContext = Context
+
+    if not spark.conf.get("spark.checkpoint.dir", None):
+        with pytest.raises(ValueError, match="checkpoint"):
+            storage.shared_dir(Session)
+
+
+def test_command_lines(spark, tmp_path, capsys):
+    from lattica.__main__ import main
+
+    (tmp_path / "m.mtx").write_text(GOOD + "\n")
+    (tmp_path / "p.mtx").write_text("%%MatrixMarket vector array integer general\n3\n1\n2\n1\n")
+    assert main(["solve", "--matrix", f"{tmp_path}/m.mtx", "--residual-rtol", "1e-8", "--warmup", "0", "--partition", f"{tmp_path}/p.mtx", "--ranks", "2", "--output", f"{tmp_path}/x"], spark) == 0
+    out = capsys.readouterr().out
+    assert "solver: converged=true" in out and "solver_diag_partition: 1 1 2 1 1 1 1 1" in out
+    assert sorted(r["i"] for r in spark.read.parquet(f"{tmp_path}/x").collect()) == [0, 1, 2]
+    assert main(["solve", "--matrix", f"{tmp_path}/p.mtx", "--residual-rtol", "1e-8"], spark) == 1
+    for bad in (["solve", "--matrix", "m"], ["solve", "--odd"], ["analyze"], ["analyze", "--dataset", "x"]):
+        with pytest.raises(SystemExit):
+            main(bad, spark)
+    log = "4 MPI processes\nUsing MPI for communication\n  total iterations: 30\n  total solver time: 2.5 seconds\n"
+    (tmp_path / "logs/1n4g/v/suitesparse/M").mkdir(parents=True)
+    (tmp_path / "logs/1n4g/v/suitesparse/M/a-stderr.txt").write_text(log)
+    assert main(["analyze", "--dataset", f"CUDA={tmp_path}/logs", "--output", f"{tmp_path}/out/r.md"], spark) == 0
+    assert "| CUDA | 1n4g | mpi | 4 | 1 | 2.500 |" in (tmp_path / "out/r.md").read_text()
+    assert main(["compare", f"{tmp_path}/logs"], spark) == 1
+    for label, name, text in (("acg-cg-mpi", "stderr", log), ("acg-sycl-mpi", "stdout", "solver: iterations=40\ntiming: solver_max_s=5.0\n")):
+        (tmp_path / f"runs/{label}/suitesparse/M").mkdir(parents=True)
+        (tmp_path / f"runs/{label}/suitesparse/M/x-001-nodes-0004-procs-77-1-{name}.txt").write_text(text)
+    assert main(["compare", f"{tmp_path}/runs"], spark) == 0
+    assert " 2.00" in capsys.readouterr().out
