@@ -115,14 +115,24 @@ def path_metadata(file: Column) -> dict[str, Column]:
     return {"scale": part(F.lit(0)), "variant": part(F.lit(1)), "matrix": F.when(at > 0, part(at.cast("int"))).otherwise("unknown")}
 
 
+def _plain_runs(pattern: str, plain: str) -> list[str]:
+    """Runs of three or more ``plain`` characters that every match of a pattern of this grammar holds."""
+    return re.findall(rf"[{plain}]{{3,}}", re.sub(r"\\.|\[[^]]*\]|\(\?:[^()]*\)[?*]", "\n", pattern))
+
+
 def plain_part(pattern: str) -> str:
-    """The longest run of plain characters that every match of a pattern of this grammar holds, with a colon if there is one."""
-    return max(re.findall(r"[A-Za-z0-9_: -]{3,}", re.sub(r"\\.|\[[^]]*\]|\(\?:[^()]*\)[?*]", "\n", pattern)), key=lambda x: (":" in x, len(x)), default="")
+    """The longest run of letters and spaces that every match of a pattern of this grammar holds."""
+    return max(_plain_runs(pattern, "A-Za-z_ "), key=len, default="")
+
+
+def key_part(pattern: str) -> str:
+    """The part of a pattern that fewest lines hold: the longest plain run with a colon, as keys have; else as ``plain_part``."""
+    return max((x for x in _plain_runs(pattern, "A-Za-z0-9_: -") if ":" in x), key=len, default=plain_part(pattern))
 
 
 def _match(line: Column, pattern: str, group: int) -> Column:
-    """The group of a match; most lines fail the search for the plain part, which is far cheaper than the pattern."""
-    return F.when(line.contains(plain_part(pattern)) & line.rlike(pattern), F.regexp_extract(line, pattern, group))
+    """The group of a match; most lines fail the search for the key part, which is far cheaper than the pattern."""
+    return F.when(line.contains(key_part(pattern)) & line.rlike(pattern), F.regexp_extract(line, pattern, group))
 
 
 def _runs(files: DataFrame, pairs: DataFrame, dataset: str | Column) -> DataFrame:
@@ -144,8 +154,8 @@ def _runs(files: DataFrame, pairs: DataFrame, dataset: str | Column) -> DataFram
 
 
 def _holds(line: Column, patterns) -> Column:
-    """Whether a line has the plain part of any pattern: few lines of a log do, and only these go on."""
-    return functools.reduce(operator.or_, [line.contains(x) for x in dict.fromkeys(map(plain_part, patterns))])
+    """Whether a line has the key part of any pattern: few lines of a log do, and only these go on."""
+    return functools.reduce(operator.or_, [line.contains(x) for x in dict.fromkeys(map(key_part, patterns))])
 
 
 def _typed(field: str, text: Column) -> Column:

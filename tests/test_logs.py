@@ -218,3 +218,10 @@ def test_plain_parts_stand_in_their_patterns():
     for p in [p for _, p, _ in logs.NATIVE] + [p for _, _, p, _ in logs.PORTABLE] + [logs.TIMED, logs.WALL]:
         part = logs.plain_part(p)
         assert len(part) > 2 and part in p and f"{part}?" not in p and f"{part}*" not in p and "|" not in p
+
+
+def test_key_parts_stand_in_their_patterns():
+    assert [logs.key_part(p) for p in (logs.WALL, logs.PARTITION, rf"^{logs.NUMBER} seconds$")] == ["h:mm:ss or m:ss", "solver_diag_partition: ", " seconds"]
+    for p in [p for _, p, _ in logs.NATIVE] + [p for _, _, p, _ in logs.PORTABLE] + [logs.TIMED, logs.WALL]:
+        part = logs.key_part(p)
+        assert len(part) > 2 and part in p and f"{part}?" not in p and f"{part}*" not in p and "|" not in p
