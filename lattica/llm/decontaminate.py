@@ -32,7 +32,7 @@ from . import _kernels as K
 from ._common import free_names, named, small_batches, table
 
 WIDTH = 10
-#: Windows of one block, which is broadcast: about 150 bytes each.
+#: Windows, each with an item, of one block, which is broadcast: about 150 bytes each.
 BLOCK_WINDOWS = 200_000
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -84,6 +84,7 @@ def count_words(docs: DataFrame, vocabulary: np.ndarray) -> np.ndarray:
     if len(vocabulary):
         for r in docs.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect():
             counts[r["word"]] = r["n"]
+    known.destroy()
     return counts
 
 
@@ -104,14 +105,19 @@ def make_block(windows: dict[bytes, list[str]], rarity) -> Block:
 
 
 def window_blocks(benchmark: DataFrame, width: int, most: int) -> Iterator[dict[bytes, list[str]]]:
-    """Windows with the items that have them, in blocks of about ``most``; items stream through the driver."""
+    """Windows with the items that have them, in blocks of ``most`` pairs of both; items stream through the driver.
+
+    A long item, and a window that very many items have, go on in the next block.
+    """
     held: dict[bytes, list[str]] = {}
+    size = 0
     for row in benchmark.select("item_id", "text").toLocalIterator():
         for w in windows_of(item_words(row["text"]), width):
             held.setdefault(w, []).append("null" if row["item_id"] is None else str(row["item_id"]))
-        if len(held) >= most:
-            yield held
-            held = {}
+            size += 1
+            if size >= most:
+                yield held
+                held, size = {}, 0
     if held:
         yield held
 

@@ -1,5 +1,8 @@
 """Fingerprints of recordings, and their search against brute force."""
 
+import hashlib
+from collections import Counter
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -55,3 +58,79 @@ def test_integral_areas_agree_with_sums():
         balance = (box[:, : h // 2].sum() - box[:, h // 2 :].sum()) / box.sum()
         level = int(balance >= -media.LEVEL) + int(balance >= 0) + int(balance >= media.LEVEL)
         assert packed[t] >> 30 == level ^ (level >> 1)
+
+
+def test_chroma_by_its_definition():
+    rng = np.random.default_rng(3)
+    pcm = np.concatenate([rng.normal(0, 0.1, 3000), np.zeros(2000)])
+    strip = media.chroma(pcm)
+    assert len(strip) == (len(pcm) - media.FRAME) // media.HOP + 1
+    n = np.arange(media.FRAME)
+    taper = 0.5 - 0.5 * np.cos(2 * np.pi * n / (media.FRAME - 1))
+    for t in (0, 5, 8):
+        frame = pcm[t * media.HOP : t * media.HOP + media.FRAME] * taper
+        shares = np.zeros(12)
+        for k in range(1, media.FRAME // 2 + 1):
+            hz = k * media.RATE / media.FRAME
+            if hz >= media.LOWEST_HZ:
+                shares[round(12 * np.log2(hz / 440)) % 12] += abs((frame * np.exp(-2j * np.pi * k * n / media.FRAME)).sum()) ** 2
+        assert np.allclose(strip[t], shares / shares.sum())
+    assert not strip[-1].any()
+
+
+def test_every_filter_agrees_with_sums():
+    strip = np.random.default_rng(4).random((30, 12))
+    packed = media.pack(strip)
+    assert len(media.FILTERS) == 16 and {f[0] for f in media.FILTERS} == {"pitch_halves", "time_halves", "quarters", "time_thirds", "pitch_thirds"}
+    for number, (kind, y, h, w) in enumerate(media.FILTERS):
+        for t in range(len(packed)):
+            box = strip[t : t + w, y : y + h]
+            a, b = w // 2, h // 2
+            balance = {
+                "pitch_halves": box[:, :b].sum() - box[:, b:].sum(),
+                "time_halves": box[:a].sum() - box[a:].sum(),
+                "quarters": box[:a, :b].sum() + box[a:, b:].sum() - box[:a, b:].sum() - box[a:, :b].sum(),
+                "time_thirds": 3 * box[w // 3 : w - w // 3].sum() - box.sum(),
+                "pitch_thirds": 3 * box[:, h // 3 : h - h // 3].sum() - box.sum(),
+            }[kind] / box.sum()
+            level = int(balance >= -media.LEVEL) + int(balance >= 0) + int(balance >= media.LEVEL)
+            assert (int(packed[t]) >> (30 - 2 * number)) & 3 == level ^ (level >> 1), (kind, t)
+
+
+def test_rendered_notes_have_their_pitch():
+    assert media.render(None) == media.render([]) == b""
+    for value, hz in ((0.0, 440.0), (None, 440.0), (float("nan"), 440.0), (0.5, 880.0), (-0.5, 220.0), (7.0, 1760.0)):
+        pcm = np.frombuffer(media.render([value] * 8), "<i2").astype(float)
+        assert len(pcm) == 8 * media.NOTE
+        assert abs(np.abs(np.fft.rfft(pcm)).argmax() * media.RATE / len(pcm) - hz) < 1
+
+
+def test_query_against_brute_force(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    base = {i: tune(rng, 32) for i in range(0, 101, 10)}
+    rows = [(i, v) for i, v in base.items()]
+    rows += [(1000 + i + 1, [x + float(rng.normal(0, 0.004)) for x in base[i]]) for i in (0, 50, 100)]
+    rows += [(2001, base[50][6:] + tune(rng, 6)), (2003, base[0]), (2003, base[0]), (2005, []), (2007, None), (None, base[100])]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    stored = spark.read.parquet(str(tmp_path / "embeddings.parquet")).collect()
+    marks = [(r["vec_id"], media.fingerprint_pcm(media.render(r["embedding"]))) for r in stored]
+
+    def best(x, y):
+        hits = Counter(i - j for i, a in enumerate(x) for j, b in enumerate(y) if int(a) >> 12 == int(b) >> 12)
+        hits = {o: n for o, n in hits.items() if n >= media.LEAST_HITS}
+        if not hits:
+            return None
+        o = min(hits, key=lambda o: (-hits[o], abs(o), o))
+        both = [(int(x[i]), int(y[i - o])) for i in range(len(x)) if 0 <= i - o < len(y)]
+        errors = sum((a ^ b).bit_count() for a, b in both) / (32 * len(both))
+        return (errors, o) if len(both) >= media.LEAST_OVERLAP * min(len(x), len(y)) and errors <= media.MOST_ERRORS else None
+
+    expected = []
+    for i, x in marks:
+        found = [(*m, q) for q, y in marks if q is not None and q % 50 == 0 and q != i and (m := best(x, y))]
+        first = min(found, key=lambda m: (m[0], m[2], m[1]), default=None)
+        digest = hashlib.md5(",".join(str(int(v)) for v in x.view(np.int32)).encode()).hexdigest()
+        expected.append((i, len(x), digest, len(found), first and first[2], first and first[1], first and round(first[0], 9), sorted(m[2] for m in found)))
+    got = [tuple(r) for r in media.op9_media(spark, str(tmp_path)).collect()]
+    assert sorted(got, key=repr) == sorted(expected, key=repr)
+    assert sum(r[3] for r in got) >= 7

@@ -291,6 +291,16 @@ def test_marks_odd_cases(spark, docs, empty, bench, clashing):
 # ---- licences
 
 
+def test_blocks_hold_no_more_than_asked(spark):
+    long = " ".join(f"w{i}" for i in range(60))
+    bench = spark.createDataFrame([(i, long) for i in range(4)] + [(9, "a b c"), (10, None)], "item_id long, text string")
+    blocks = list(decontaminate.window_blocks(bench, 10, 25))
+    assert max(sum(map(len, b.values())) for b in blocks) == 25
+    pairs = sorted((w, item) for b in blocks for w, items in b.items() for item in items)
+    assert len(pairs) == 4 * 51 + 1 == len(set(pairs)) and (b"a b c", "9") in pairs
+
+
+
 def test_licenses(spark):
     mit = licenses.TEMPLATES["MIT grant"]
     rows = [(1, "intro\nReleased under the MIT license\nend"), (2, mit.replace(" including", "\nincluding")), (3, None), (4, ""), (5, "word"), (6, "Released under the MIT"), (7, "Released under the MIT License. And so on for a long line of other words"), (8, "A\n\n" + mit.replace("sell", "lend") + "\n\nB")]
