@@ -191,9 +191,11 @@ def test_command_lines(spark, tmp_path, capsys):
     (tmp_path / "logs/1n4g/v/suitesparse/M/a-stderr.txt").write_text(log)
     assert main(["analyze", "--dataset", f"CUDA={tmp_path}/logs", "--output", f"{tmp_path}/out/r.md"], spark) == 0
     assert "| CUDA | 1n4g | mpi | 4 | 1 | 2.500 |" in (tmp_path / "out/r.md").read_text()
-    assert main(["compare", f"{tmp_path}/logs"], spark) == 1
-    for label, name, text in (("acg-cg-mpi", "stderr", log), ("acg-sycl-mpi", "stdout", "solver: iterations=40\ntiming: solver_max_s=5.0\n")):
+    assert main(["compare", f"{tmp_path}/logs", "--pair", "ported=tuned"], spark) == 1
+    with pytest.raises(SystemExit):
+        main(["compare", f"{tmp_path}/logs"], spark)
+    for label, name, text in (("tuned", "stderr", log), ("ported", "stdout", "solver: iterations=40\ntiming: solver_max_s=5.0\n")):
         (tmp_path / f"runs/{label}/suitesparse/M").mkdir(parents=True)
         (tmp_path / f"runs/{label}/suitesparse/M/x-001-nodes-0004-procs-77-1-{name}.txt").write_text(text)
-    assert main(["compare", f"{tmp_path}/runs"], spark) == 0
+    assert main(["compare", f"{tmp_path}/runs", "--pair", "ported=tuned", "--pair", "other=tuned"], spark) == 0
     assert " 2.00" in capsys.readouterr().out
