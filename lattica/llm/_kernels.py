@@ -206,3 +206,44 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     out[0] = starts[0]
     out[at[1:]] = starts[1:] - (starts[:-1] + lengths[:-1] - 1)
     return np.cumsum(out)
+
+
+def word_array(texts: list[bytes], inside: np.ndarray, lower: bool = False) -> tuple[pa.BinaryArray, np.ndarray]:
+    """The words of the texts as an Arrow array, and each text's first word, with the total at the end."""
+    data, starts, ends, first = words(texts, inside, lower)
+    return binary_array(data[inside[data]], ends - starts), first
+
+
+def binary_array(data: np.ndarray, lengths: np.ndarray) -> pa.BinaryArray:
+    """Consecutive spans of ``data`` (uint8) as an Arrow array."""
+    if len(data) > np.iinfo(np.int32).max:
+        raise ValueError("more than 2 GB of words at once")
+    offsets = np.zeros(len(lengths) + 1, np.int32)
+    np.cumsum(lengths, out=offsets[1:])
+    return pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def span_bytes(array: pa.BinaryArray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of an Arrow array without nulls, and the offsets of its values in them."""
+    offsets = np.frombuffer(array.buffers()[1], np.int32)[array.offset : array.offset + len(array) + 1]
+    data = array.buffers()[2]
+    return np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8), offsets.astype(np.int64)
+
+
+def joined_lines(array: pa.BinaryArray) -> bytes:
+    """The values of an Arrow array, each with a line feed behind it; ``split_lines`` undoes it."""
+    data, offsets = span_bytes(array)
+    size = np.diff(offsets)
+    out = np.full(int(size.sum()) + len(size), 10, np.uint8)
+    kept = np.ones(len(out), bool)
+    kept[np.cumsum(size + 1) - 1] = False
+    out[kept] = data[offsets[0] : offsets[-1]]
+    return out.tobytes()
+
+
+def split_lines(blobs: list[bytes]) -> tuple[pa.BinaryArray, np.ndarray]:
+    """The values of several results of ``joined_lines``, and how many each holds."""
+    data = np.frombuffer(b"".join(blobs), np.uint8)
+    ends = np.flatnonzero(data == 10)
+    many = np.diff(np.searchsorted(ends, np.cumsum([0, *map(len, blobs)])))
+    return binary_array(data[data != 10], np.diff(ends, prepend=-1) - 1), many
