@@ -43,7 +43,9 @@ from ._common import drop_stash, free_name, free_names, small_batches, stash, ta
 GRAMS, BUCKETS = 2, 10_000
 LEAST_WORDS, PERCENT, SEED = 20, 25, 7
 #: Bytes of text of one chunk, and of text for each shard of strings.
-CHUNK_BYTES, SHARD_BYTES = 12 << 20, 16 << 20
+CHUNK_BYTES, SHARD_BYTES = 4 << 20, 12 << 20
+#: Rows of an Arrow batch: enough short texts for a chunk.
+BATCH_ROWS = 4096
 _CODEC = "zstd"
 
 
@@ -59,6 +61,21 @@ def _unpacked(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
 
 
+def _squeezed(data: bytes) -> bytes:
+    return len(data).to_bytes(8, "little") + pa.compress(data, _CODEC, asbytes=True)
+
+
+def _expanded(data: bytes) -> bytes:
+    return pa.decompress(data[8:], int.from_bytes(data[:8], "little"), _CODEC, asbytes=True)
+
+
+def _renumbered(by: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order of some values, and references to the values as places in that order."""
+    place = np.empty(len(by), np.int64)
+    place[by] = np.arange(len(by))
+    return by, place[numbers]
+
+
 class Chunk:
     """Documents as counts of the distinct features of all of them, which are ordered by shard."""
 
@@ -66,25 +83,26 @@ class Chunk:
         words, first = K.word_array(texts, K.ALNUM, lower=True)
         self.n_words = np.diff(first)
         encoded = words.dictionary_encode()
-        strings, word = encoded.dictionary, encoded.indices.to_numpy().astype(np.int64)
+        # in the order of the strings, of which neighbours then share bytes
+        by, word = _renumbered(pc.sort_indices(encoded.dictionary).to_numpy(), encoded.indices.to_numpy())
+        strings = encoded.dictionary.take(pa.array(by))
         doc = np.repeat(np.arange(len(texts)), self.n_words)
         feature = word
         if grams == 2 and len(word) > 1:
             at = np.flatnonzero(doc[1:] == doc[:-1])
-            pairs = pa.array(word[at] * len(strings) + word[at + 1]).dictionary_encode()
-            of = pairs.dictionary.to_numpy()
+            encoded = pa.array(word[at] * len(strings) + word[at + 1]).dictionary_encode()
+            by, pair = _renumbered(np.argsort(encoded.dictionary.to_numpy()), encoded.indices.to_numpy())
+            of = encoded.dictionary.to_numpy()[by]
             joined = pc.binary_join_element_wise(strings.take(pa.array(of // len(strings))), strings.take(pa.array(of % len(strings))), pa.scalar(b" ", pa.binary()))
-            feature = np.concatenate([word, pairs.indices.to_numpy() + len(strings)])
+            feature = np.concatenate([word, pair + len(strings)])
             doc = np.concatenate([doc, doc[at]])
             strings = pa.concat_arrays([strings, joined])
         data, offsets = K.span_bytes(strings)
         shard = (K.byte_hashes(data, offsets[:-1], offsets[1:]) % np.uint64(shards)).astype(np.int32)
-        order = np.argsort(shard, kind="stable")
-        number = np.empty(len(order), np.int64)
-        number[order] = np.arange(len(order))
+        order, number = _renumbered(np.argsort(shard, kind="stable"), feature)
         self.strings, self.shard = strings.take(pa.array(order)), shard[order]
-        self.total = np.bincount(number[feature], minlength=len(order))
-        key = np.sort(doc * np.int64(max(len(order), 1)) + number[feature])
+        self.total = np.bincount(number, minlength=len(order))
+        key = np.sort(doc * np.int64(max(len(order), 1)) + number)
         runs = K.distinct_runs(key)
         self.count = np.diff(runs, append=len(key))
         self.doc, self.number = np.divmod(key[runs], max(len(order), 1))
@@ -94,7 +112,7 @@ class Chunk:
         """shard, strings and counts."""
         begin = K.distinct_runs(self.shard)
         for a, b in zip(begin, [*begin[1:], len(self.shard)], strict=True):
-            yield int(self.shard[a]), K.joined_lines(self.strings.slice(a, b - a)), _packed(self.total[a:b])
+            yield int(self.shard[a]), _squeezed(K.joined_lines(self.strings.slice(a, b - a))), _packed(self.total[a:b])
 
     def numbers(self) -> bytes:
         """Each document's string numbers, as steps from the one before."""
@@ -108,11 +126,16 @@ def _steps_undone(steps: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return total - np.repeat(total[begin] - steps[begin], sizes[sizes > 0])
 
 
+def _listed(values: pa.Array, n: int) -> pa.ListArray:
+    """``values`` as the last of ``n`` lists, the others empty."""
+    return pa.ListArray.from_arrays(pa.array([0] * n + [len(values)], pa.int32()), values)
+
+
 def _read(docs: DataFrame, grams: int, shards: int, chunk_bytes: int) -> DataFrame:
-    """Messages (chunk, shard, strings, counts) and, with shard -1, the chunks themselves (rows, n_words, n_features, sizes, numbers, counts)."""
+    """Messages (chunk, key: shard, strings, counts) and the chunks themselves (key: below 0, counts, rows, n_words, n_features, sizes, numbers)."""
     own = [c for c in docs.columns if c != "text"]
     fields = ", ".join(f"`{c}`: {docs.schema[c].dataType.simpleString()}" for c in own)
-    schema = f"chunk long, shard int, strings binary, counts binary, rows array<struct<{fields}>>, n_words array<long>, n_features array<long>, sizes binary, numbers binary"
+    schema = f"chunk long, key long, strings binary, counts binary, rows array<struct<{fields}>>, n_words array<long>, n_features array<long>, sizes binary, numbers binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk = TaskContext.get().partitionId() << 33
@@ -122,25 +145,28 @@ def _read(docs: DataFrame, grams: int, shards: int, chunk_bytes: int) -> DataFra
             for a, b in K.blocks(texts, chunk_bytes):
                 c = Chunk(texts[a:b], grams, shards)
                 shard, strings, counts = (list(x) for x in zip(*c.messages(), strict=True)) if len(c.strings) else ([], [], [])
-                n = len(shard)
-                listed = lambda values: pa.ListArray.from_arrays(pa.array([0] * (n + 1) + [len(values)], pa.int32()), values)  # noqa: E731, B023
-                sizes = np.bincount(c.doc, minlength=b - a)
+                n = len(shard) + 1
+                last = lambda value: pa.array([None] * (n - 1) + [value], pa.binary())  # noqa: E731, B023
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([chunk] * (n + 1)), pa.array([*shard, -1], pa.int32()), pa.array([*strings, None], pa.binary()), pa.array([*counts, _packed(c.count)], pa.binary()), listed(rows.slice(a, b - a)), listed(pa.array(c.n_words)), listed(pa.array(c.n_features)), pa.array([None] * n + [_packed(sizes)], pa.binary()), pa.array([None] * n + [c.numbers()], pa.binary())],
-                    names=["chunk", "shard", "strings", "counts", "rows", "n_words", "n_features", "sizes", "numbers"],
+                    [pa.array([chunk] * n), pa.array([*shard, -1 - chunk], pa.int64()), pa.array([*strings, None], pa.binary()), pa.array([*counts, _packed(c.count)], pa.binary()), _listed(rows.slice(a, b - a), n), _listed(pa.array(c.n_words), n), _listed(pa.array(c.n_features), n), last(_packed(np.bincount(c.doc, minlength=b - a))), last(c.numbers())],
+                    names=["chunk", "key", "strings", "counts", "rows", "n_words", "n_features", "sizes", "numbers"],
                 )
                 chunk += 1
 
-    small_batches(docs.sparkSession, 1 << 14)
+    small_batches(docs.sparkSession, BATCH_ROWS)
     return docs.mapInArrow(run, schema)
 
 
 def _merge(buckets: int):
-    """Of the messages of one shard: the answer to each (chunk, shard, answer), and what buckets hold (bucket, n)."""
-
-    def run(messages: pa.Table) -> pa.Table:
-        strings, many = K.split_lines(messages.column("strings").to_pylist())
-        counts = np.concatenate([_unpacked(x) for x in messages.column("counts").to_pylist()])
+    """Of the messages of one shard: the answer to each (chunk, key, answer), and what buckets hold (bucket, n). Chunks go on as they are."""
+
+    def run(group: pa.Table) -> pa.Table:
+        nothing = pa.nulls(group.num_rows, pa.binary())
+        empty = pa.array([[]] * group.num_rows, pa.list_(pa.int64()))
+        if group.column("key")[0].as_py() < 0:
+            return group.drop_columns("strings").append_column("answer", nothing).append_column("bucket", empty).append_column("n", empty)
+        strings, many = K.split_lines([_expanded(x) for x in group.column("strings").to_pylist()])
+        counts = np.concatenate([_unpacked(x) for x in group.column("counts").to_pylist()])
         encoded = strings.dictionary_encode()
         at = encoded.indices.to_numpy()
         times = np.zeros(len(encoded.dictionary), np.int64)
@@ -149,37 +175,39 @@ def _merge(buckets: int):
         held = np.zeros(buckets, np.int64)
         np.add.at(held, bucket, times)
         some = np.flatnonzero(held)
-        answers = [_packed(x) for x in np.split(bucket[at], np.cumsum(many)[:-1])]
-        n = len(answers)
-        listed = lambda values: pa.ListArray.from_arrays(pa.array([0] * (n + 1) + [len(values)], pa.int32()), pa.array(values))
-        return pa.table({"chunk": pa.array([*messages.column("chunk").to_pylist(), None], pa.int64()), "shard": pa.array([*messages.column("shard").to_pylist(), None], pa.int32()), "answer": pa.array([*answers, None], pa.binary()), "bucket": listed(some), "n": listed(held[some])})
+        answers = pa.array([_packed(x) for x in np.split(bucket[at], np.cumsum(many)[:-1])], pa.binary())
+        out = group.drop_columns("strings").set_column(2, "counts", nothing).append_column("answer", answers)
+        return out.append_column("bucket", _listed(pa.array(some), group.num_rows)).append_column("n", _listed(pa.array(held[some]), group.num_rows))
 
     return run
 
 
-def dictionary(docs: DataFrame, grams: int = GRAMS, buckets: int = BUCKETS, chunk_bytes: int = CHUNK_BYTES, shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The chunks of ``docs``, the answers to them (chunk, shard, answer: the buckets of its strings), and bucket, n."""
+def dictionary(docs: DataFrame, grams: int = GRAMS, buckets: int = BUCKETS, chunk_bytes: int = CHUNK_BYTES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """The chunks of ``docs`` (key below 0) and the answers to them (key, answer: the buckets of its strings in a shard; bucket, n: what the shard holds); written."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    read = stash(_read(docs, grams, -(-size // shard_bytes) or 1, chunk_bytes), "feature-chunks")
-    merged = read.where("shard >= 0").select("chunk", "shard", "strings", "counts").groupBy("shard").applyInArrow(_merge(buckets), "chunk long, shard int, answer binary, bucket array<long>, n array<long>")
-    answers = stash(merged, "feature-answers")
-    held = answers.where("chunk is null").select(F.explode(F.arrays_zip("bucket", "n")).alias("b")).groupBy("b.bucket").agg(F.sum("b.n").alias("n"))
-    return read, answers, held
+    read = _read(docs, grams, -(-size // shard_bytes) or 1, chunk_bytes)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in read.schema if f.name != "strings")
+    return stash(read.groupBy("key").applyInArrow(_merge(buckets), f"{schema}, answer binary, bucket array<long>, n array<long>"), "feature-answers")
+
+
+def held(merged: DataFrame) -> DataFrame:
+    """bucket, n: the features of all documents by bucket."""
+    return merged.where("key >= 0").select(F.explode(F.arrays_zip("bucket", "n")).alias("b")).groupBy("b.bucket").agg(F.sum("b.n").alias("n"))
 
 
-def gains(held: DataFrame, wanted: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
+def gains(documents: DataFrame, target: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
     """The gain of each bucket, from (bucket, n) of the documents and of the target: ``buckets`` numbers."""
     of = np.zeros((2, buckets), np.int64)
-    for side, counts in enumerate((held, wanted)):
+    for side, counts in enumerate((documents, target)):
         for bucket, n in counts.collect():
             of[side, bucket] = n
     (s, t), (all_s, all_t) = of + 1.0, of.sum(1) + float(buckets)
     return np.floor(1000 * np.log(t * all_s / (s * all_t))).astype(np.int64)
 
 
-def _weigh(gain, names: list[str]):
+def _weigh(gain):
     def run(chunk: pa.Table, answers: pa.Table) -> pa.Table:
-        by = np.argsort(answers.column("shard").to_numpy(), kind="stable")
+        by = np.argsort(answers.column("key").to_numpy(), kind="stable")
         parts = answers.column("answer").to_pylist()
         bucket = np.concatenate([np.zeros(0, np.int64), *(_unpacked(parts[i]) for i in by)])
         column = lambda name: chunk.column(name)[0].as_py()
@@ -189,7 +217,7 @@ def _weigh(gain, names: list[str]):
         np.add.at(total, np.repeat(np.arange(len(sizes)), sizes), gain.value[bucket[number]] * counts)
         rows, features = chunk.column("rows").chunk(0).flatten(), chunk.column("n_features").chunk(0).flatten()
         weight = np.floor_divide(total, np.maximum(features.to_numpy(), 1))
-        return pa.table([rows, chunk.column("n_words").chunk(0).flatten(), features, pa.array(weight)], names=names)
+        return pa.table([rows, chunk.column("n_words").chunk(0).flatten(), features, pa.array(weight)], names=["row", "n_words", "n_features", "weight"])
 
     return run
 
@@ -199,17 +227,16 @@ def weighed(docs: DataFrame, target: DataFrame, grams: int = GRAMS, buckets: int
     if grams not in (1, 2):
         raise ValueError("grams is 1 or 2")
     spark = docs.sparkSession
-    wanted_read, wanted_answers, wanted = dictionary(target.select(F.lit(0).alias("doc_id"), "text"), grams, buckets, chunk_bytes, shard_bytes)
-    read, answers, held = dictionary(docs, grams, buckets, chunk_bytes, shard_bytes)
-    gain = spark.sparkContext.broadcast(gains(held, wanted, buckets))
-    names = ["row", "n_words", "n_features", "weight"]
-    chunks = read.where("shard = -1").select("chunk", "rows", "n_words", "n_features", "sizes", "numbers", "counts")
-    kind = read.schema["rows"].dataType.elementType.simpleString()
-    met = chunks.groupBy("chunk").cogroup(answers.where("chunk is not null").select("chunk", "shard", "answer").groupBy("chunk"))
-    out = stash(met.applyInArrow(_weigh(gain, names), f"row {kind}, n_words long, n_features long, weight long"), "feature-weights")
+    options = (grams, buckets, chunk_bytes, shard_bytes)
+    wanted, merged = dictionary(target.select(F.lit(0).alias("doc_id"), "text"), *options), dictionary(docs, *options)
+    gain = spark.sparkContext.broadcast(gains(held(merged), held(wanted), buckets))
+    chunks = merged.where("key < 0").select("chunk", "rows", "n_words", "n_features", "sizes", "numbers", "counts")
+    met = chunks.groupBy("chunk").cogroup(merged.where("key >= 0").select("chunk", "key", "answer").groupBy("chunk"))
+    kind = merged.schema["rows"].dataType.elementType.simpleString()
+    out = stash(met.applyInArrow(_weigh(gain), f"row {kind}, n_words long, n_features long, weight long"), "feature-weights")
     gain.destroy()
-    for made in (wanted_read, wanted_answers, read, answers):
-        drop_stash(made)
+    drop_stash(wanted)
+    drop_stash(merged)
     return out
 
 
