@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, debruijn, decontaminate, licenses, lines, media, mixing, neardup, quality, resample, search, substring
+from . import chat, debruijn, decontaminate, licenses, lines, media, mixing, neardup, quality, resample, search, substring, vectors
 
 
 def queries() -> dict:
@@ -19,6 +19,7 @@ def queries() -> dict:
         "op9_media": media.op9_media,
         "op10_lines": lines.op10_lines,
         "op10_runs": lines.op10_runs,
+        "op11_vectors": vectors.op11_vectors,
         "op12_search": search.op12_search,
         "op13_resample": resample.op13_resample,
     }
@@ -34,6 +35,7 @@ def oracle_sql() -> dict[str, str]:
         "op8_chat": chat.SQL,
         "op10_lines": lines.SQL,
         "op10_runs": lines.RUNS_SQL,
+        "op11_vectors": vectors.SQL,
         "op12_search": search.SQL,
         "op13_resample": resample.SQL,
     }
