@@ -43,10 +43,12 @@ from ._common import drop_stash, free_name, free_names, small_batches, stash, ta
 GRAMS, BUCKETS = 2, 10_000
 LEAST_WORDS, PERCENT, SEED = 20, 25, 7
 #: Bytes of text of one chunk, and of text for each shard of strings.
-CHUNK_BYTES, SHARD_BYTES = 4 << 20, 12 << 20
+CHUNK_BYTES, SHARD_BYTES = 6 << 20, 12 << 20
 #: Rows of an Arrow batch: enough short texts for a chunk.
 BATCH_ROWS = 4096
 _CODEC = "zstd"
+#: Level for strings, which are most of what is shuffled.
+_LEVEL = 6
 
 
 def _packed(numbers: np.ndarray) -> bytes:
@@ -62,7 +64,7 @@ def _unpacked(data: bytes) -> np.ndarray:
 
 
 def _squeezed(data: bytes) -> bytes:
-    return len(data).to_bytes(8, "little") + pa.compress(data, _CODEC, asbytes=True)
+    return len(data).to_bytes(8, "little") + pa.Codec(_CODEC, compression_level=_LEVEL).compress(data, asbytes=True)
 
 
 def _expanded(data: bytes) -> bytes:
