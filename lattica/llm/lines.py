@@ -11,10 +11,13 @@ find before any shuffle, so a chunk that a third of all documents share is one r
 places are joined with is written first, so that Spark can split the places of a very common chunk. Joins
 with the texts are sort-merge joins at every size, so that what a run needs grows with its input alone.
 
-``dedup_runs`` leaves none of a repeated passage: each run of ``RUN`` lines that also stands earlier,
-wherever in the text it begins, is removed, and so is every line of a longer run; the chunks above are
-found only when they lie wholly inside what is shared. Of two places in one document, the later counts
-as a repeat where they have no line in common. A line's earliest place is never removed.
+``dedup_runs`` leaves none of a repeated passage. A chunk is found only where it lies wholly inside what is
+shared, so chunks propose, and their matches are extended line by line: each run of ``RUN`` lines that is not inside a
+repeated chunk is looked up by itself, wherever in the text it begins, and goes if it also stands earlier, as does
+every line of a longer run. Of two places in one document, the later counts as a repeat where they have no line in
+common. A line's earliest place is never removed.
+
+A text costs a few passes over its lines, however many these are: arrays are bound once and read by index.
 
 Cases: null text stays null, empty text empty; lines end at line feeds alone, and texts of one line lose
 nothing; null doc_id comes first; rows that agree in doc_id and text are one document and keep the
@@ -45,27 +48,50 @@ def _lines(text: Column) -> Column:
 
 def with_chunks(df: DataFrame, text: str, lines: str, chunks: str, window: int = WINDOW, every: int = EVERY) -> DataFrame:
     """``df`` with the lines of a text and its chunks: array of (first line, number of lines)."""
-    hashes, ends = free_name(df, "_hashes"), free_name(df, "_ends")
+    hashes = free_name(df, "_hashes")
     df = df.withColumn(lines, _lines(F.col(text)))
     df = df.withColumn(hashes, F.transform(lines, _line_hash))
+    return _chunked(df, hashes, chunks, window, every).drop(hashes)
+
+
+def _chunked(df: DataFrame, hashes: str, chunks: str, window: int, every: int) -> DataFrame:
+    """``df`` with the chunks of lines of which a column has the 32-bit hashes."""
+    ends = free_name(df, "_ends")
 
-    def ends_here(h: Column, i: Column) -> Column:
+    def ends_here(all_hashes: Column, h: Column, i: Column) -> Column:
         rolled = h
         for back in range(1, window):
-            rolled = rolled.bitwiseXOR(F.shiftleft(F.coalesce(F.get(F.col(hashes), i - back), F.lit(0).cast("long")), back))
-        return F.when((rolled % every == 0) | (i == F.size(hashes) - 1), i)
+            rolled = rolled.bitwiseXOR(F.shiftleft(F.coalesce(F.get(all_hashes, i - back), F.lit(0).cast("long")), back))
+        return F.when((rolled % every == 0) | (i == F.size(all_hashes) - 1), i)
 
-    df = df.withColumn(ends, F.filter(F.transform(hashes, ends_here), lambda i: i.isNotNull()))
+    df = df.withColumn(ends, _let(F.col(hashes), lambda h: F.filter(F.transform(h, lambda x, i: ends_here(h, x, i)), lambda i: i.isNotNull())))
 
-    def chunk(e: Column, j: Column) -> Column:
-        start = F.when(j == 0, 0).otherwise(F.get(F.col(ends), j - 1) + 1)
+    def chunk(all_ends: Column, e: Column, j: Column) -> Column:
+        start = F.when(j == 0, 0).otherwise(F.get(all_ends, j - 1) + 1)
         return F.struct(start.alias("start"), (e - start + 1).alias("n"))
 
-    return df.withColumn(chunks, F.transform(ends, chunk)).drop(hashes, ends)
+    return df.withColumn(chunks, _let(F.col(ends), lambda all_ends: F.transform(all_ends, lambda e, j: chunk(all_ends, e, j)))).drop(ends)
+
+
+def _let(value: Column, body) -> Column:
+    """``body`` of ``value``, which is evaluated once however often a lambda in the body reads it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _text_of(lines: Column, start: Column, n: Column) -> Column:
+    """Lines start, ..., start + n - 1; slice() inside a lambda would copy all lines for each call."""
+    return F.array_join(F.transform(F.sequence(start, start + n - 1), lambda i: F.get(lines, i)), "\n")
+
+
+def _span(start: Column, n: Column) -> Column:
+    """One number for both, which array functions can hash."""
+    return F.shiftleft(start.cast("long"), 32).bitwiseOR(n.cast("long"))
 
 
-def _text_of(lines: Column, chunk: Column) -> Column:
-    return F.array_join(F.slice(lines, chunk["start"] + 1, chunk["n"]), "\n")
+def _lines_of(span: Column) -> Column:
+    """The line numbers of a span."""
+    start = F.shiftright(span, 32)
+    return F.sequence(start, start + span.bitwiseAND((1 << 32) - 1) - 1)
 
 
 def _hash(text: Column) -> Column:
@@ -75,7 +101,7 @@ def _hash(text: Column) -> Column:
 def _key(docs: DataFrame) -> Column:
     """What stands for doc_id and text; texts as ids are marked, so that none reads as null."""
     own = F.concat(F.lit("="), F.col("doc_id")) if docs.schema["doc_id"].dataType.typeName() == "string" else F.col("doc_id").cast("string")
-    return F.unhex(F.md5(F.concat_ws(":", F.coalesce(own, F.lit("null")), F.coalesce(F.col("text"), F.lit(""))).cast("binary")))
+    return _hash(F.concat_ws(":", F.coalesce(own, F.lit("null")), F.coalesce(F.col("text"), F.lit(""))))
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -85,15 +111,18 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 def _same_bytes(keyed: DataFrame, by_doc: DataFrame) -> DataFrame:
     """hash: those whose places (key, repeats of start, n and hash) all have the same bytes."""
-    texts = keyed.select("key", "text").join(by_doc.hint("merge"), "key").select(_lines(F.col("text")).alias("lines"), F.explode("repeats").alias("c")).select("c.hash", _text_of(F.col("lines"), F.col("c")).alias("chunk"))
+    joined = keyed.select("key", "text").join(by_doc.hint("merge"), "key")
+    told = _let(_lines(F.col("text")), lambda lines: F.transform("repeats", lambda c: F.struct(c["hash"].alias("hash"), _text_of(lines, c["start"], c["n"]).alias("chunk"))))
+    texts = joined.select(F.explode(told).alias("c")).select("c.*")
     return texts.groupBy("hash").agg((F.min("chunk") == F.max("chunk")).alias("same")).where("same").select("hash")
 
 
 def repeated_chunks(docs: DataFrame, window: int = WINDOW, every: int = EVERY) -> DataFrame:
-    """key, starts: the first lines of each document's chunks that stand earlier elsewhere, bytes compared."""
+    """key, spans: each document's chunks that stand earlier elsewhere, bytes compared."""
     keyed = _keyed(docs)
     cut = with_chunks(keyed, "text", "lines", "chunks", window, every)
-    many = F.transform(F.filter("chunks", lambda c: c["n"] > 1), lambda c: F.struct(_hash(_text_of(F.col("lines"), c)).alias("hash"), c["start"].alias("start"), c["n"].alias("n")))
+    chunk = lambda lines, c: F.struct(_hash(_text_of(lines, c["start"], c["n"])).alias("hash"), c["start"].alias("start"), c["n"].alias("n"))
+    many = _let(F.col("lines"), lambda lines: F.transform(F.filter("chunks", lambda c: c["n"] > 1), lambda c: chunk(lines, c)))
     places = stash(cut.select("doc_id", "key", F.explode(many).alias("c")).select("doc_id", "key", "c.*").distinct(), "line-chunks")
     first = places.groupBy("hash").agg(F.min(F.struct("doc_id", "key", "start")).alias("first"), F.count("*").alias("times")).where("times > 1").select("hash", "first")
     first = stash(first, "line-first")
@@ -101,58 +130,68 @@ def repeated_chunks(docs: DataFrame, window: int = WINDOW, every: int = EVERY) -
 
     by_doc = again.groupBy("key").agg(F.collect_list(F.struct("start", "n", "hash")).alias("repeats"))
     same = stash(_same_bytes(keyed, by_doc), "line-same")
-    return again.where(~F.col("is_first")).join(same, "hash", "left_semi").groupBy("key").agg(F.collect_set("start").alias("starts"))
+    return again.where(~F.col("is_first")).join(same, "hash", "left_semi").groupBy("key").agg(F.collect_set(_span(F.col("start"), F.col("n"))).alias("spans"))
+
+
+def _without(docs: DataFrame, marks: DataFrame) -> DataFrame:
+    """``docs`` without the lines of the spans in ``marks`` (key, spans), with n_lines and n_removed at the end."""
+    key, spans, gone, short = (free_name(docs, c) for c in ("key_", "spans_", "gone_", "short_"))
+    df = docs.withColumn(key, _key(docs)).join(marks.select(F.col("key").alias(key), F.col("spans").alias(spans)).hint("merge"), key, "left")
+    df = df.withColumn(gone, F.array_distinct(F.flatten(F.transform(spans, _lines_of))))
+    left = lambda lines: F.array_except(F.sequence(F.lit(0).cast("long"), F.size(lines).cast("long") - 1), F.col(gone))
+    kept = _let(_lines(F.col("text")), lambda lines: F.struct(F.size(lines).alias("n"), F.when(F.col(gone).isNotNull(), F.array_join(F.transform(left(lines), lambda i: F.get(lines, i.cast("int"))), "\n")).alias("text")))
+    df = df.withColumn(short, kept)
+    text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.col(short)["text"])
+    added = {"n_lines": F.col(short)["n"].cast("long"), "n_removed": F.when(F.col(gone).isNull(), 0).otherwise(F.size(gone)).cast("long")}
+    return df.select(*[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns], *[v.alias(c) for c, v in added.items()])
 
 
 @named("n_lines", "n_removed")
 def dedup_lines(docs: DataFrame, window: int = WINDOW, every: int = EVERY) -> DataFrame:
     """``docs``, all columns, with ``text`` shortened, and n_lines and n_removed (lines) at the end."""
-    repeats = stash(repeated_chunks(docs, window, every), "line-removals")
-    own = docs.columns
-    key, lines, chunks, kept = (free_name(docs, c) for c in ("key_", "lines_", "chunks_", "kept_"))
-    keyed = docs.withColumn(key, _key(docs))
-    marks = repeats.select(F.col("key").alias(key), F.col("starts").alias(kept))
-    df = keyed.join(marks.hint("merge"), key, "left")
-    df = with_chunks(df, "text", lines, chunks, window, every)
-    stays = F.filter(chunks, lambda c: ~((c["n"] > 1) & F.array_contains(F.col(kept), c["start"])))
-    df = df.withColumn(chunks, F.when(F.col(kept).isNotNull(), stays))
-    short = F.array_join(F.transform(chunks, lambda c: _text_of(F.col(lines), c)), "\n")
-    text = F.when(F.col(kept).isNull(), F.col("text")).otherwise(short)
-    left = F.aggregate(chunks, F.lit(0), lambda a, c: a + c["n"])
-    n_lines = F.size(lines)
-    removed = F.when(F.col(kept).isNull(), 0).otherwise(n_lines - left)
-    return df.select(*[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in own], n_lines.cast("long").alias("n_lines"), removed.cast("long").alias("n_removed"))
-
-
-def repeated_runs(docs: DataFrame, least: int = RUN) -> DataFrame:
-    """key, starts: the first lines of each document's runs of ``least`` lines that stand earlier, bytes compared."""
+    return _without(docs, stash(repeated_chunks(docs, window, every), "line-removals"))
+
+
+def _first_places(places: DataFrame, label: str) -> DataFrame:
+    """hash, first (doc_id, key, start) of the hashes of ``places`` that stand twice; written, so that Spark can split the places of a hot one."""
+    first = places.groupBy("hash").agg(F.min(F.struct("doc_id", "key", "start")).alias("first"), F.count("*").alias("times"))
+    return stash(first.where("times > 1").select("hash", "first"), label)
+
+
+def repeated_runs(docs: DataFrame, least: int = RUN, window: int = WINDOW, every: int = EVERY) -> DataFrame:
+    """key, spans: each document's runs of ``least`` lines or more that stand earlier, bytes compared.
+
+    Chunks propose: those of ``least`` lines or more that repeat go whole. Line by line, the matches are then
+    extended: of all runs of ``least`` lines but those inside such a repeat, each that stands earlier goes too.
+    """
     keyed = _keyed(docs)
-    lines = F.col("lines")
-    run = lambda i: F.struct(i.alias("start"), F.lit(least).alias("n"))
-    runs = F.transform(lines, lambda _, i: F.when(i <= F.size(lines) - least, F.struct(_hash(_text_of(lines, run(i))).alias("hash"), i.alias("start"))))
-    places = stash(keyed.select("doc_id", "key", _lines(F.col("text")).alias("lines")).select("doc_id", "key", F.explode(runs).alias("c")).where("c is not null").select("doc_id", "key", "c.*"), "line-runs")
-    first = places.groupBy("hash").agg(F.min(F.struct("doc_id", "key", "start")).alias("first"), F.count("*").alias("times")).where("times > 1").select("hash", "first")
-    first = stash(first, "line-first")
+    hashed = stash(keyed.select("doc_id", "key", _let(_lines(F.col("text")), lambda lines: F.transform(lines, _hash)).alias("hashes")), "line-hashes")
+    number = lambda h: F.conv(F.hex(F.substring(h, 1, 4)), 16, 10).cast("long")
+    cut = _chunked(hashed.withColumn("numbers", F.transform("hashes", number)), "numbers", "chunks", window, every)
+    of = lambda start, n: _hash(F.array_join(F.transform(F.sequence(start, start + n - 1), lambda i: F.hex(F.get(F.col("hashes"), i))), ""))
+    many = F.transform(F.filter("chunks", lambda c: c["n"] >= least), lambda c: F.struct(of(c["start"], c["n"]).alias("hash"), c["start"].alias("start"), c["n"].alias("n")))
+    chunks = stash(cut.select("doc_id", "key", F.explode(many).alias("c")).select("doc_id", "key", "c.*"), "line-chunks")
+    found = chunks.join(_first_places(chunks, "line-first"), "hash").select("key", "start", "n", "hash", (F.struct("doc_id", "key", "start") == F.col("first")).alias("stays"))
+    found = stash(found, "line-repeats")
+
+    inside = found.where(~F.col("stays") & (F.col("n") >= least)).groupBy("key").agg(F.collect_set(_span(F.col("start"), F.col("n") - least + 1)).alias("spans"))
+    starts = F.array_except(F.sequence(F.lit(0).cast("long"), F.size("hashes").cast("long") - least), F.coalesce(F.flatten(F.transform("spans", _lines_of)), F.array().cast("array<long>")))
+    rest = hashed.where(F.size("hashes") >= least).join(inside, "key", "left").withColumn("starts", starts)
+    run = lambda i: F.struct(of(i.cast("int"), F.lit(least)).alias("hash"), i.cast("int").alias("start"))
+    runs = stash(rest.select("doc_id", "key", F.explode(F.transform("starts", run)).alias("c")).select("doc_id", "key", "c.*"), "line-runs")
     own = (F.col("key") == F.col("first.key")) & F.col("doc_id").eqNullSafe(F.col("first.doc_id"))
-    again = stash(places.join(first, "hash").select("key", "start", "hash", (own & (F.col("start") - F.col("first.start") < least)).alias("stays")), "line-run-repeats")
+    more = runs.join(_first_places(runs, "line-first"), "hash").select("key", "start", F.lit(least).alias("n"), "hash", (own & (F.col("start") - F.col("first.start") < least)).alias("stays"))
+    found = found.unionByName(stash(more, "line-run-repeats"))
 
-    by_doc = again.groupBy("key").agg(F.collect_set(F.struct("start", F.lit(least).alias("n"), "hash")).alias("repeats"))
+    by_doc = found.groupBy("key").agg(F.collect_set(F.struct("start", "n", "hash")).alias("repeats"))
     same = stash(_same_bytes(keyed, by_doc), "line-same")
-    return again.where(~F.col("stays")).join(same, "hash", "left_semi").groupBy("key").agg(F.collect_set("start").alias("starts"))
+    return found.where(~F.col("stays")).join(same, "hash", "left_semi").groupBy("key").agg(F.collect_set(_span(F.col("start"), F.col("n"))).alias("spans"))
 
 
 @named("n_lines", "n_removed")
-def dedup_runs(docs: DataFrame, least: int = RUN) -> DataFrame:
+def dedup_runs(docs: DataFrame, least: int = RUN, window: int = WINDOW, every: int = EVERY) -> DataFrame:
     """``docs``, all columns, with ``text`` without the lines of repeated runs, and n_lines and n_removed (lines) at the end."""
-    repeats = stash(repeated_runs(docs, least), "line-removals")
-    key, lines, left, starts = (free_name(docs, c) for c in ("key_", "lines_", "left_", "starts_"))
-    keyed = docs.withColumn(key, _key(docs))
-    df = keyed.join(repeats.select(F.col("key").alias(key), F.col("starts").alias(starts)).hint("merge"), key, "left").withColumn(lines, _lines(F.col("text")))
-    gone = F.flatten(F.transform(starts, lambda s: F.sequence(s, s + least - 1)))
-    df = df.withColumn(left, F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone))
-    text = F.when(F.col(starts).isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.get(F.col(lines), i)), "\n"))
-    removed = F.when(F.col(starts).isNull(), 0).otherwise(F.size(lines) - F.size(left))
-    return df.select(*[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns], F.size(lines).cast("long").alias("n_lines"), removed.cast("long").alias("n_removed"))
+    return _without(docs, stash(repeated_runs(docs, least, window, every), "line-removals"))
 
 
 def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -167,7 +206,7 @@ def op10_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL = r"""
 with d as (
-  select doc_id, coalesce(text, '') as text, md5(concat_ws(':', coalesce(doc_id::varchar, 'null'), coalesce(text, ''))) as key, string_split(coalesce(text, ''), chr(10)) as l from documents
+  select doc_id, coalesce(text, '') as text, sha256(concat_ws(':', coalesce(doc_id::varchar, 'null'), coalesce(text, ''))) as key, string_split(coalesce(text, ''), chr(10)) as l from documents
 ), docs as (
   select distinct doc_id, key, l from d
 ), line as (
@@ -190,7 +229,7 @@ select doc_id, len(l)::bigint as n_lines, (len(l) - coalesce(n, 0))::bigint as n
 
 RUNS_SQL = r"""
 with d as (
-  select doc_id, coalesce(text, '') as text, md5(concat_ws(':', coalesce(doc_id::varchar, 'null'), coalesce(text, ''))) as key, string_split(coalesce(text, ''), chr(10)) as l from documents
+  select doc_id, coalesce(text, '') as text, sha256(concat_ws(':', coalesce(doc_id::varchar, 'null'), coalesce(text, ''))) as key, string_split(coalesce(text, ''), chr(10)) as l from documents
 ), docs as (
   select distinct doc_id, key, l from d
 ), line as (

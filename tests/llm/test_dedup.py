@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import math
 import random
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -462,3 +463,20 @@ def test_keep_one_is_the_same_whatever_the_order(spark):
     rows = [(1, "a b c d e f", x) for x in "pqrs"] + [(2, "a b c d e f", "t")]
     kept = {tuple(neardup.keep_one(spark.createDataFrame(r, "doc_id long, text string, other string").repartition(n)).collect()) for n, r in ((1, rows), (3, rows[::-1]))}
     assert len(kept) == 1
+
+
+@pytest.mark.parametrize("operator", [lines.dedup_lines, lines.dedup_runs])
+def test_lines_cost_in_proportion_to_a_text(spark, operator):
+    """Two near-equal texts of very many lines: four times the lines take at most five times as long."""
+    taken = {}
+    for n in (200, 20_000, 80_000):
+        rng = random.Random(n)
+        a = [f"line {rng.randrange(10**9)}" for _ in range(n)]
+        b = [x if i % 100 else f"{x}!" for i, x in enumerate(a)]
+        frame = spark.createDataFrame([(1, "\n".join(a)), (2, "\n".join(b))], "doc_id long, text string")
+        began = time.monotonic()
+        got = {r["doc_id"]: r["n_removed"] for r in operator(frame).select("doc_id", "n_removed").collect()}
+        taken[n] = time.monotonic() - began
+        assert got[1] == 0
+        assert got[2] == n - n // 100 if operator is lines.dedup_runs else got[2] > n // 2
+    assert taken[80_000] < 5 * taken[20_000]
