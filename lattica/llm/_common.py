@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..storage import drop_stash, shared_dir, stash
 
-__all__ = ["drop_stash", "free_name", "free_names", "named", "shared_dir", "small_batches", "stash", "table", "text_key"]
+__all__ = ["drop_stash", "free_name", "free_names", "likely_in", "named", "shared_dir", "small_batches", "stash", "table", "text_key"]
 
 #: Rows and bytes of one Arrow batch. Texts may be long, so few rows; a row is never split.
 ARROW_ROWS, ARROW_BYTES = 1024, 16 << 20
@@ -62,6 +62,23 @@ def free_names(docs: DataFrame, *added: str) -> dict[str, str]:
     return {c: free_name(docs, c) for c in added}
 
 
+#: Bits of the filter of ``likely_in``, 64 a row of what is broadcast: 2**18 rows at most, whatever the number of keys.
+FILTER_BITS = 1 << 24
+
+
+def likely_in(rows: DataFrame, keys: list[str], wanted: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
+    """Rows of ``rows`` whose ``keys`` may be among those of ``wanted``: all that are, and of the others about a share of (wanted keys / bits).
+
+    A bitmap of bounded size is broadcast, so that what a later join drops is not shuffled first. That join settles it.
+    """
+    slot = F.pmod(F.xxhash64(*keys), F.lit(bits).cast("long"))
+    mask = F.expr("shiftleft(1L, cast(_slot & 63 as int))")
+    word = F.shiftright("_slot", 6)
+    held = wanted.select(slot.alias("_slot")).groupBy(word.alias("_word")).agg(F.bit_or(mask).alias("_mask"))
+    tried = rows.withColumn("_slot", slot).withColumn("_word", word).join(F.broadcast(held), "_word")
+    return tried.where(F.col("_mask").bitwiseAND(mask) != 0).select(*rows.columns)
+
+
 def text_key(text: Column) -> Column:
     """Sixteen bytes of SHA-256 that stand for a whole text; null and empty texts have the same."""
     return F.substring(F.unhex(F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)), 1, 16)

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import _kernels as K
-from ._common import drop_stash, free_name, named, small_batches, stash, table, text_key
+from ._common import drop_stash, free_name, likely_in, named, small_batches, stash, table, text_key
 
 WIDTH, KMER = 35, 8
 RUN = ("start", "n", "kmer", "digest", "loops")
@@ -150,7 +150,7 @@ def _spans(docs: DataFrame, width: int, k: int, seed: int) -> DataFrame | None:
     variants = runs.groupBy("kmer", "digest").agg(F.sum("copies").alias("times"), F.max("loops").alias("loops"))
     of_kmer = variants.groupBy("kmer").agg(F.sum("times").alias("all_times"), F.count("*").alias("variants"), F.max("loops").alias("any_loops")).where("all_times > 1 or any_loops").select("kmer", "variants")
     known = stash(variants.join(of_kmer, "kmer"), "runs-repeated")
-    repeated = stash(runs.drop("copies", "loops").join(known, ["kmer", "digest"]).withColumn("label", F.xxhash64("kmer", "digest")), "runs-places")
+    repeated = stash(likely_in(runs.drop("copies", "loops"), ["kmer", "digest"], known).join(known, ["kmer", "digest"]).withColumn("label", F.xxhash64("kmer", "digest")), "runs-places")
     drop_stash(known)
 
     long_spans = stash(path_places(repeated.where("times > 1").select("node", "start", "n", "label")), "runs-long")
@@ -158,9 +158,10 @@ def _spans(docs: DataFrame, width: int, k: int, seed: int) -> DataFrame | None:
     sources = repeated.where("variants > 1 or loops").groupBy("kmer", "digest").agg(F.min(F.struct("node", "start", "n")).alias("s"), F.first("times").alias("times"))
     places = long_spans.groupBy("node").agg(F.collect_list(F.struct("path", "start", "n")).alias("places"))
     wanted = sources.groupBy("s.node").agg(F.collect_list(F.struct("kmer", "digest", "times", "s.start", "s.n")).alias("wanted"))
-    wanted = nodes.select("node", "key").join(places.join(wanted, "node", "full"), "node").drop("node")
-    texts = keyed.groupBy("key").agg(F.first("text").alias("text"))
+    wanted = stash(nodes.select("node", "key").join(places.join(wanted, "node", "full"), "node").drop("node"), "runs-wanted")
+    texts = likely_in(keyed, ["key"], wanted).groupBy("key").agg(F.first("text").alias("text"))
     read = stash(_read(texts.join(wanted, "key"), width, seed), "runs-words")
+    drop_stash(wanted)
     differs = lambda g: bool(g.agg((F.min("words") != F.max("words")).alias("differ")).where("differ").limit(1).count())
     collided = differs(read.where("path is not null").groupBy("path"))
 

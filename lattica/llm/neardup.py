@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from . import _kernels as K
 from . import _probmin as P
-from ._common import drop_stash, free_name, small_batches, stash, table, text_key
+from ._common import drop_stash, free_name, likely_in, small_batches, stash, table, text_key
 from .graph import components
 
 LEAST = 0.8
@@ -178,8 +178,8 @@ def near_classes(docs: DataFrame, least: float = LEAST, m: int = COMPONENTS, r:
     central = shared.groupBy("key").agg(F.sum("n").alias("weight"))
     several = stash(nodes.join(central, "key"), "near-nodes")
 
-    # copies go before the shuffle, so that a text of very many is a row a task
-    texts = docs.select(text_key(F.col("text")).alias("key"), "text").groupBy("key").agg(F.first("text").alias("text"))
+    # texts without a partner and copies go before the shuffle, so that a text of very many is a row a task
+    texts = likely_in(docs.select(text_key(F.col("text")).alias("key"), "text"), ["key"], several).groupBy("key").agg(F.first("text").alias("text"))
     texts = stash(texts.join(several.select("key"), "key", "left_semi"), "near-texts")
 
     weighed = shared.join(several.select("key", "weight"), "key")
