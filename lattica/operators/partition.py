@@ -5,10 +5,13 @@ A matrix is ``coo`` (i, j, v), an owner map ``owner`` (i, rank); a matrix may ho
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import block_owner
+from ..storage import stash
+from .multilevel import kway
+from .ranking import with_rank
 from .windows import exclusive_prefix_sum
 
 
@@ -42,9 +45,8 @@ def with_owners(coo: DataFrame, owner: DataFrame) -> DataFrame:
 
 
 def local_index(owner: DataFrame) -> DataFrame:
-    """i, rank, local: place among the rank's rows, ascending."""
-    by = Window.partitionBy("rank").orderBy("i")
-    return owner.select("i", "rank", (F.row_number().over(by) - 1).cast("long").alias("local"))
+    """i, rank, local: place among the rank's rows, ascending; a rank of any size is as many tasks as all rows are."""
+    return with_rank(stash(owner.select("i", "rank"), "local-rows", free=False), "local", [F.col("i").asc()], ["rank"]).select("i", "rank", "local")
 
 
 def halo_imports(owned: DataFrame) -> DataFrame:
@@ -59,9 +61,8 @@ def halo_exports(owned: DataFrame) -> DataFrame:
 
 def ghost_index(imports: DataFrame) -> DataFrame:
     """imports with ghost (place by peer, then column, within the rank) and ghost_offset (its peer's first)."""
-    by = Window.partitionBy("rank").orderBy("peer", "j")
-    placed = imports.withColumn("ghost", (F.row_number().over(by) - 1).cast("long"))
-    return placed.withColumn("ghost_offset", F.min("ghost").over(Window.partitionBy("rank", "peer")))
+    placed = stash(with_rank(stash(imports, "ghost-columns", free=False), "ghost", [F.col("peer").asc(), F.col("j").asc()], ["rank"]), "ghost-places", free=False)
+    return placed.join(placed.groupBy("rank", "peer").agg(F.min("ghost").alias("ghost_offset")), ["rank", "peer"])
 
 
 def local_entries(owned: DataFrame, local: DataFrame, ghosts: DataFrame) -> DataFrame:
@@ -92,7 +93,7 @@ def pack(exports: DataFrame, local: DataFrame, vec: DataFrame) -> DataFrame:
 
 
 def stats(owner: DataFrame, owned: DataFrame) -> DataFrame:
-    """rank, local_rows, local_nnz, interior_nnz, halo_nnz, ghosts, imports (peers), exports (columns sent)."""
+    """rank, local_rows, local_nnz, interior_nnz, halo_nnz, ghosts, imports (columns received, as ghosts), exports (columns sent)."""
     rows = owner.groupBy("rank").agg(F.count("*").alias("local_rows"))
     entries = owned.groupBy(F.col("row_rank").alias("rank")).agg(F.count("*").alias("local_nnz"), F.count_if(F.col("kind") == "interior").alias("interior_nnz"), F.count_if(F.col("kind") == "halo").alias("halo_nnz"))
     imports = halo_imports(owned)
@@ -120,7 +121,7 @@ def edge_cut(owned: DataFrame) -> Column | DataFrame:
 def build(coo: DataFrame, rows: DataFrame, size: int, method: str = "row-block", given: DataFrame | None = None) -> DataFrame:
     """The owner map of a method; a given map needs method 'file' or the default, and one rank takes row blocks always.
 
-    Graph partitioning is left to outside tools: their result comes in as a given map.
+    'metis' parts the graph of the matrix's pattern by multilevel contraction (``multilevel.kway``).
     """
     if given is not None and method == "metis":
         raise ValueError("a partition file and another method were asked for")
@@ -132,7 +133,7 @@ def build(coo: DataFrame, rows: DataFrame, size: int, method: str = "row-block",
     elif method == "file":
         raise ValueError("method 'file' needs a partition")
     elif method == "metis":
-        raise ValueError("no graph partitioner here; give its result as a partition file")
+        owner, _ = kway(coo, rows, size)
     else:
         raise ValueError(f"unknown method {method!r}")
     used = owner.agg(F.count_distinct("rank")).first()[0]

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from .quantiles import order_statistics
 from .windows import top_one
 
 #: Summary column to run column, in six groups.
@@ -53,13 +54,13 @@ def best_by_scale(summaries: DataFrame, solver: str = "runtime_solver_s_median")
 
 
 def nearest_rank(values: Column, q: float) -> Column:
-    """Aggregate: the element at floor(q (n - 1)) of the sorted sample."""
+    """Aggregate: the element at floor(q (n - 1)) of the sorted sample, of groups that fit a task; ``order_statistics`` takes any."""
     return F.element_at(F.array_sort(F.collect_list(values)), (F.floor(q * (F.count(values) - 1)) + 1).cast("int"))
 
 
 def latency_percentiles(samples: DataFrame, value: str, groups: list[str]) -> DataFrame:
-    out = {"min_us": 0.0, "p50_us": 0.5, "p99_us": 0.99, "max_us": 1.0}
-    return samples.groupBy(*groups).agg(*[nearest_rank(F.col(value), q).alias(n) for n, q in out.items()])
+    """Exact, for groups of any size; groups without values have no row."""
+    return order_statistics(samples, groups, value, {"min_us": 0.0, "p50_us": 0.5, "p99_us": 0.99, "max_us": 1.0}).drop("n")
 
 
 def probe_summary(ranks: DataFrame) -> DataFrame:

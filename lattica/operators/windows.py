@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Keys of one block of a prefix sum.
 BLOCK = 1 << 16
+#: Lines of a split of a file.
+SPLIT = 1 << 16
 
 
 def exclusive_prefix_sum(df: DataFrame, key: str, value: str, out: str, block: int = BLOCK) -> DataFrame:
@@ -38,27 +40,63 @@ def first_writer(value: Column, pos: Column) -> Column:
     return F.min_by(value, F.when(value.isNotNull(), pos))
 
 
-def sections(lines: DataFrame, headers: dict[str, str], group: str = "file") -> DataFrame:
-    """``lines`` (group, pos, line) with the section they are in, null outside, and without the header lines.
+def _carried(lines: DataFrame, group: str, split: int, carry: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
+    """``lines`` with _split, the number of their split of the file, and a row of aggregates for each split."""
+    marked = lines.withColumn("_split", F.floor(F.col("pos") / split).cast("long"))
+    return marked, marked.groupBy(group, "_split").agg(*[v.alias(k) for k, v in carry.items()])
+
+
+def _with_carry(marked: DataFrame, carries: DataFrame, group: str) -> DataFrame:
+    """``marked`` with the columns of ``carries``, by file (null is a file) and split."""
+    there = carries.withColumnsRenamed({group: "_file", "_split": "_of"})
+    return marked.join(there, F.col(group).eqNullSafe(F.col("_file")) & (F.col("_split") == F.col("_of"))).drop("_file", "_of")
+
+
+def sections(lines: DataFrame, headers: dict[str, str], group: str = "file", split: int = SPLIT) -> DataFrame:
+    """``lines`` (group, pos from 0, line) with the section they are in, null outside, and without the header lines.
 
     A header opens its section; any other line that starts with no space closes it, an empty line does not.
+    Splits of ``split`` lines are scanned each by itself: a split's last mark is its carry-out, carries are
+    folded over the splits of a file, and each split starts with what it is given. So a file of any length is many tasks.
     """
     mark = F.when(F.col("line").rlike(r"^\S"), F.lit(""))
     for line, name in reversed(headers.items()):
         mark = F.when(F.col("line") == line, F.lit(name)).otherwise(mark)
-    by = Window.partitionBy(group).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    marked = lines.withColumn("section", F.nullif(F.last(mark, ignorenulls=True).over(by), F.lit("")))
-    return marked.where(~F.col("line").isin(*headers))
-
-
-def pending_value(lines: DataFrame, opener: Column, bare: Column, value: Column, out: str, group: str = "file") -> DataFrame:
-    """``lines`` with, on its own line, the value that a bare opener waits for: the first one after it, up to the next opener."""
-    by = Window.partitionBy(group).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    opened = lines.withColumn("_open", F.sum(F.when(opener, 1).otherwise(0)).over(by))
-    inside = Window.partitionBy(group, "_open").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    waits = F.max(F.when(bare, 1).otherwise(0)).over(inside) == 1
-    seen = F.sum(F.when(value.isNotNull() & ~opener, 1).otherwise(0)).over(inside)
-    return opened.withColumn(out, F.when(waits & ~opener & value.isNotNull() & (seen == 1), value)).drop("_open")
+    marked, carries = _carried(lines.withColumn("_mark", mark), group, split, {"_out": F.max_by("_mark", F.when(F.col("_mark").isNotNull(), F.col("pos")))})
+    before = Window.partitionBy(group).orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
+    carries = carries.select(group, "_split", F.last("_out", ignorenulls=True).over(before).alias("_in"))
+    inside = Window.partitionBy(group, "_split").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    known = _with_carry(marked, carries, group).withColumn("section", F.nullif(F.coalesce(F.last("_mark", ignorenulls=True).over(inside), "_in"), F.lit("")))
+    return known.where(~F.col("line").isin(*headers)).drop("_mark", "_split", "_in")
+
+
+def pending_value(lines: DataFrame, opener: Column, bare: Column, value: Column, out: str, group: str = "file", split: int = SPLIT) -> DataFrame:
+    """``lines`` with, on its own line, the value that a bare opener waits for: the first one after it, up to the next opener.
+
+    Split by split as in ``sections``: a split's carry-out is whether it has an opener, and whether since its last one a bare one
+    stood and a value came.
+    """
+    rows = lines.withColumns({"_opens": F.coalesce(opener, F.lit(False)), "_bare": F.coalesce(bare, F.lit(False)), "_value": value})
+    rows = rows.withColumns({"_comes": F.col("_value").isNotNull() & ~F.col("_opens")})
+    last = F.max(F.when(F.col("_opens"), F.col("pos")))
+    marked, carries = _carried(rows, group, split, {"_last": last, "_last_bare": F.max(F.when(F.col("_bare"), F.col("pos"))), "_last_value": F.max(F.when(F.col("_comes"), F.col("pos")))})
+    since = lambda c: F.coalesce(F.col(c) >= F.col("_last"), F.col(c).isNotNull())
+    carries = carries.select(group, "_split", F.col("_last").isNotNull().alias("_any"), since("_last_bare").alias("_b"), since("_last_value").alias("_v"))
+    # splits from one with an opener up to the next such one share its state
+    upto = Window.partitionBy(group).orderBy("_split").rowsBetween(Window.unboundedPreceding, 0)
+    carries = carries.withColumn("_run", F.sum(F.col("_any").cast("int")).over(upto))
+    run = Window.partitionBy(group, "_run").orderBy("_split").rowsBetween(Window.unboundedPreceding, 0)
+    folded = carries.withColumns({"_b": F.max("_b").over(run), "_v": F.max("_v").over(run)})
+    order = Window.partitionBy(group).orderBy("_split")
+    folded = folded.select(group, "_split", *[F.coalesce(F.lag(c).over(order), F.lit(False)).alias(f"{c}_in") for c in ("_b", "_v")])
+    known = _with_carry(marked, folded, group)
+    inside = Window.partitionBy(group, "_split").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    known = known.withColumn("_open", F.sum(F.col("_opens").cast("int")).over(inside))
+    since_open = Window.partitionBy(group, "_split", "_open").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    waits = F.max("_bare").over(since_open) | ((F.col("_open") == 0) & F.col("_b_in"))
+    seen = F.sum(F.col("_comes").cast("int")).over(since_open) + F.when((F.col("_open") == 0) & F.col("_v_in"), 1).otherwise(0)
+    known = known.withColumn(out, F.when(waits & F.col("_comes") & (seen == 1), F.col("_value")))
+    return known.drop("_opens", "_bare", "_value", "_comes", "_split", "_open", "_b_in", "_v_in")
 
 
 def run_order(keys: DataFrame, rounds: int, job: Column) -> DataFrame:

@@ -1,22 +1,25 @@
 """Conjugate gradients as a driver loop over DataFrames.
 
-The state (i, x, r, s) is written to the shared folder twice an iteration, which ends its lineage and
-survives lost executors. The two dot products are observed on the way, so an iteration is two jobs, and
-they are the only values that reach the driver.
+The matrix lies in blocks by rank (``ghosts``); an iteration moves ghost values alone and writes its state once to
+the shared folder, which ends its lineage and survives lost executors. With w = A r beside t = A s, both dot products that the
+next step needs, (r, r) and (r, w), are observed by that one write, so an iteration is one job, and they are
+the only values that reach the driver: (s, t) = (r, w) - beta (r, r) / alpha, of the step before.
 """
 
 from __future__ import annotations
 
 import math
 import time
+from collections.abc import Iterator
 from dataclasses import asdict, dataclass, field
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import manufactured
+from ..functions.stream import with_stream
 from ..operators import linalg
-from ..storage import drop_stash, stash
+from ..storage import stash
+from . import ghosts
 
 
 class Breakdown(ArithmeticError):
@@ -38,8 +41,8 @@ class SolverResult:
 
 
 def exact_solution(rows: DataFrame, seed: int = 0) -> DataFrame:
-    """i, val: hashed values scaled to unit 2-norm."""
-    raw = rows.select("i", manufactured(F.col("i"), seed).alias("val"))
+    """i, val: the values of a C library's stream for ``seed`` at each row number, scaled to unit 2-norm."""
+    raw = stash(with_stream(rows, seed), "cg-stream", free=False)
     scale = raw.agg(linalg.norm(F.col("val"))).first()[0] or 1.0
     return raw.select("i", (F.col("val") / scale).alias("val"))
 
@@ -55,72 +58,66 @@ def _check(gamma: float, rho: float) -> None:
         raise Breakdown("the matrix is not positive definite")
 
 
-def _written(df: DataFrame, label: str, total: Column) -> tuple[DataFrame, float]:
-    """``df`` as written, and an aggregate of it that the write observes on the way."""
-    seen = Observation()
-    made = stash(df.observe(seen, total.alias("total")), label, free=False)
-    return made, seen.get["total"] or 0.0
-
-
-def product(coo: DataFrame, rows: DataFrame, state: DataFrame, n: int) -> tuple[DataFrame, float]:
-    """The state with t = A s, and (s, t)."""
-    t = linalg.spmv(coo, state.select("i", F.col("s").alias("val")), rows, n).select("i", F.col("val").alias("t"))
-    return _written(state.join(t, "i"), "cg-product", linalg.dot(F.col("s"), F.col("t")))
-
-
-def advance(with_t: DataFrame, alpha: float) -> tuple[DataFrame, float]:
-    """The state with x and r moved by alpha, and the next (r, r)."""
-    return _written(linalg.cg_update(with_t, alpha).drop("t"), "cg-state", linalg.dot(F.col("r"), F.col("r")))
-
-
 def solve(
-    coo: DataFrame, rows: DataFrame, b: DataFrame | None = None, *, rtol: float = 0.0, atol: float = 0.0, max_iters: int = 1000, warmup: int = 0, log_every: int = 0, manufactured_solution: bool = False, seed: int = 0
+    coo: DataFrame, rows: DataFrame, b: DataFrame | None = None, *, rtol: float = 0.0, atol: float = 0.0, max_iters: int = 1000, warmup: int = 0, log_every: int = 0, manufactured_solution: bool = False, seed: int = 0, owner: DataFrame | None = None
 ) -> tuple[DataFrame, SolverResult]:
-    """x (i, val) and what happened. Without ``b``, b is all ones, or A x* for a manufactured solution."""
-    coo = stash(coo.select("i", "j", "v").repartition("j"), "cg-matrix")
+    """x (i, val) and what happened. Without ``b``, b is all ones, or A x* for a manufactured solution.
+
+    ``owner`` (i, rank) parts the matrix; without it, so do blocks of rows of about ``ghosts.BLOCK_ENTRIES`` entries.
+    """
+    coo = stash(coo.select("i", "j", "v"), "cg-matrix")
     rows = stash(rows.select("i"), "cg-rows")
     n, nnz = rows.count(), coo.count()
     exact = stash(exact_solution(rows, seed), "cg-exact") if manufactured_solution else None
     if b is None:
         b = linalg.spmv(coo, exact, rows, n) if exact is not None else rows.select("i", F.lit(1.0).alias("val"))
     b = stash(b.select("i", "val"), "cg-rhs")
-
-    def start() -> DataFrame:
-        return b.select("i", F.lit(0.0).alias("x"), F.col("val").alias("r"), F.col("val").alias("s"))
-
-    def step(state: DataFrame, rho: float, check: bool) -> tuple[DataFrame, DataFrame, float]:
-        """The next state, the written frame that it reads, and the next (r, r)."""
-        with_t, gamma = product(coo, rows, state, n)
-        if check:
-            _check(gamma, rho)
-        moved, following = advance(with_t, rho / gamma if gamma else 0.0)
-        if check:
-            _check(gamma, following)
-        drop_stash(with_t)
-        return linalg.cg_direction(moved, following / rho if rho else 0.0), moved, following
-
-    rho_first = b.agg(linalg.dot(F.col("val"), F.col("val"))).first()[0] or 0.0
-    state, rho, held = start(), rho_first, None
-    for _ in range(warmup):
-        state, moved, rho = step(state, rho, False)
-        if held is not None:
-            drop_stash(held)
-        held = moved
+    layout = ghosts.Layout(coo, owner if owner is not None else ghosts.row_blocks(rows, nnz))
+
+    def start() -> tuple[ghosts.Table, float, float]:
+        first = layout.states(b)
+        state, rho, delta = layout.step(first, 0.0, 0.0)
+        first.drop()
+        return state, rho, delta
+
+    def iterations(check: bool) -> Iterator[tuple[ghosts.Table, float]]:
+        """The state at each step and its (r, r), from the first one."""
+        state, rho, delta = start()
+        alpha, beta = 0.0, 0.0
+        while True:
+            yield state, rho
+            gamma = delta - (beta * rho / alpha if alpha else 0.0)
+            if check:
+                _check(gamma, rho)
+            alpha = rho / gamma if gamma else 0.0
+            moved, following, delta = layout.step(state, alpha, beta)
+            if check:
+                _check(gamma, following)
+            state.drop()
+            beta = following / rho if rho else 0.0
+            state, rho = moved, following
+
+    if warmup:
+        for k, (state, _) in enumerate(iterations(False)):
+            if k == warmup:
+                state.drop()
+                break
 
     began = time.perf_counter()
-    state, rho, held = start(), rho_first, None
+    steps = iterations(True)
+    state, rho = next(steps)
     first = residual = math.sqrt(rho)
     done, k, history = converged(residual, first, 0.0, atol), 0, []
     while not done and k < max_iters:
-        state, moved, rho = step(state, rho, True)
-        if held is not None:
-            drop_stash(held)
-        held, k, residual = moved, k + 1, math.sqrt(rho)
+        state, rho = next(steps)
+        k, residual = k + 1, math.sqrt(rho)
         if log_every and k % log_every == 0:
             history.append((k, residual))
         done = converged(residual, first, rtol, atol)
     took = time.perf_counter() - began
-    x = state.select("i", F.col("x").alias("val"))
+    x = layout.vector(state)
+    state.drop()
+    layout.drop()
     true = linalg.residual(coo, x, b, rows, n).first()
     error = linalg.solution_error(x, exact).first()[0] if exact is not None else None
     flops = 2 * n + k * (2 * nnz + 11 * n)

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from . import fixtures as X
 from .functions import scalars as S
-from .operators import compare, linalg, partition, summary, windows
-from .plans import cg, report
+from .functions import stream
+from .operators import compare, linalg, multilevel, partition, quantiles, summary, windows
+from .plans import cg, ghosts, report
 from .sources import campaign, logs, matrix_market
 from .storage import shared_dir, stash, write_text
 from .streaming import events
@@ -420,6 +421,31 @@ def _(spark, sf):
     return out.where("pending is not null").select("file", "event_id", "pending")
 
 
+def _one_file(spark: SparkSession, sf: str) -> DataFrame:
+    """All events as the lines of one file."""
+    line = F.expr("case event_type when 'error' then 'alpha:' when 'signup' then 'beta:' when 'view' then concat('  v ', event_id) when 'purchase' then '' else concat('plain ', event_id) end")
+    return X.table(spark, sf, "events").select(F.lit("f").alias("file"), F.col("event_id").alias("pos"), line.alias("line"), "event_id", "event_type")
+
+
+@query("w6_split_sections", "select event_id, nullif(last_value(case event_type when 'error' then 'a' when 'signup' then 'b' when 'click' then '' end ignore nulls) over (order by event_id rows unbounded preceding), '') as section from events qualify event_type not in ('error', 'signup')")
+def _(spark, sf):
+    """One file of all events, scanned in splits."""
+    return windows.sections(_one_file(spark, sf), {"alpha:": "a", "beta:": "b"}, split=512).select("event_id", "section")
+
+
+@query(
+    "w7_split_pending",
+    """with l as (select *, sum(case when event_type in ('error', 'signup') then 1 else 0 end) over (order by event_id rows unbounded preceding) as g from events),
+ o as (select g, max(case when event_type = 'error' then 1 else 0 end) as bare from l group by g), f as (select g, min(event_id) as event_id from l where event_type = 'purchase' group by g)
+ select event_id, event_id as pending from f join o using (g) where bare = 1 and g > 0""",
+)
+def _(spark, sf):
+    """One file of all events; a purchase is rare enough that what waits for it often stands splits before."""
+    value = F.when(F.col("event_type") == "purchase", F.col("event_id"))
+    out = windows.pending_value(_one_file(spark, sf), F.col("line").isin("alpha:", "beta:"), F.col("line") == "alpha:", value, "pending", split=16)
+    return out.where("pending is not null").select("event_id", "pending")
+
+
 @query("w5_last_writer", "select user_id, arg_max(value, event_id) filter (where event_type = 'view') as last_view, arg_min(value, event_id) filter (where event_type = 'view') as first_view from events group by user_id")
 def _(spark, sf):
     seen = F.when(F.col("event_type") == "view", F.col("value"))
@@ -567,6 +593,19 @@ def _(spark, sf):
     return X.rows(spark, sf).select("i", S.manufactured(F.col("i"), 3).alias("val"))
 
 
+_STREAM = f"""with recursive first(k, w) as (select 0, 101::bigint union all select k + 1, case when x < 0 then x + {stream.MODULUS} else x end from (select k, {stream.MULTIPLIER} * w % {stream.MODULUS} as x from first) where k < 30),
+state(n, l) as (select 31, (select list(w order by k) from first) union all
+ select n + 1, list_append(l[2:31], case when n < 34 then l[1] else (l[1] + l[29]) % 4294967296 end) from state where n < (select count(*) from part) + 344),
+raw as (select n - 345 as i, 2 * ((l[31] >> 1) / {stream.GREATEST}::double) - 1 as val from state where n > 344)
+select i, round(val / sqrt((select sum(val * val) from raw)), 9) as val from raw"""
+
+
+@query("f26_stream", _STREAM)
+def _(spark, sf):
+    """A solution from the stream of a C library, one value a row of the matrix."""
+    return cg.exact_solution(X.rows(spark, sf), 101).select("i", F.round("val", 9).alias("val"))
+
+
 # ---- metrics
 
 @query("a6_rank_spread", " union all ".join(f"select l_linestatus, '{c}' as timer, min({c}) as min_s, round(avg({c}), 6) as avg_s, max({c}) as max_s, round(max({c}) - min({c}), 6) as skew_s from lineitem group by l_linestatus" for c in ("l_quantity", "l_discount", "l_tax")))
@@ -586,6 +625,12 @@ def _(spark, sf):
     return summary.latency_percentiles(X.table(spark, sf, "events"), "value", ["user_id"])
 
 
+@query("a12_whole_table", "select l[1] as least, l[(floor(0.5 * (n - 1)) + 1)::int] as mid, l[(floor(0.99 * (n - 1)) + 1)::int] as high, l[n] as most, n from (select list_sort(list(l_extendedprice)) as l, count(*) as n from lineitem)")
+def _(spark, sf):
+    """All rows as one group."""
+    return quantiles.order_statistics(X.table(spark, sf, "lineitem"), [], "l_extendedprice", {"least": 0.0, "mid": 0.5, "high": 0.99, "most": 1.0})
+
+
 @query("a13_probe_summary", "select max(p) as p50_max_us, max(p) - min(p) as p50_spread_us, bool_and(ok) as all_ok from (select list_sort(list(value))[(floor(0.5 * (count(*) - 1)) + 1)::int] as p, bool_and(value > 0) as ok from events group by user_id)")
 def _(spark, sf):
     ranks = X.table(spark, sf, "events").groupBy("user_id").agg(summary.nearest_rank(F.col("value"), 0.5).alias("p50_us"), F.bool_and(F.col("value") > 0).alias("ok"))
@@ -801,6 +846,39 @@ def _(spark, sf):
     return x.select("i", F.round("val", 6).alias("x"))
 
 
+def _given(rows: DataFrame) -> DataFrame:
+    return rows.select("i", (F.col("i") * 7 % 4).cast("int").alias("rank"))
+
+
+@query("i1_ghost_steps", _cg_sql(3))
+def _(spark, sf):
+    """Three steps over an owner map that scatters the rows, by exchanging ghosts."""
+    rows, coo = X.rows(spark, sf), X.coo(spark, sf)
+    x, _ = cg.solve(coo, rows, linalg.spmv(coo, X.vector(rows), rows, rows.count()), max_iters=3, owner=_given(rows))
+    return x.select("i", F.round("val", 6).alias("x"))
+
+
+@query("i1_ghost_traffic", f"with {X.COO_CTE}, own as (select p_partkey as i, (p_partkey * 7 % 4)::int as rank from part) select k.rank, r.rank as \"to\", count(distinct j) as n from coo c join own r on c.i = r.i join own k on c.j = k.i where r.rank <> k.rank group by all")
+def _(spark, sf):
+    """Values that an iteration sends from rank to rank: the ghosts, once each."""
+    layout = ghosts.Layout(X.coo(spark, sf), _given(X.rows(spark, sf)))
+    return layout.sends.read().select("rank", "to", (F.octet_length("local") / 8).cast("long").alias("n"))
+
+
+@query("i3_multilevel", f"with {X.COO_CTE}, {X.OWNER_CTE}, cut as (select count(*) // 2 as block_cut from coo c join owner r on c.i = r.i join owner k on c.j = k.i where r.rank <> k.rank) select count(*) as n, {X.SIZE} as parts, block_cut, true as balanced, true as cuts_less from part, cut group by block_cut")
+def _(spark, sf):
+    """The matrix's graph in four parts: whether they are within the balance bound, and cut fewer edges than blocks of rows."""
+    rows, coo = X.rows(spark, sf), stash(X.coo(spark, sf), "query-coo")
+    owner = stash(partition.build(coo, rows, X.SIZE, "metis"), "query-owner")
+    n = rows.count()
+    weights = owner.groupBy("rank").count().agg(F.max("count").alias("most"), F.count("*").alias("parts"), F.sum("count").alias("n"))
+    cut = partition.edge_cut(partition.with_owners(coo, owner)).select(F.col("edge_cut").alias("cut"))
+    block = partition.edge_cut(partition.with_block_owners(coo, n, X.SIZE)).select(F.col("edge_cut").alias("block_cut"))
+    row = weights.join(cut).join(block)
+    bound = max(-(-n // X.SIZE), int(multilevel.BALANCE * n / X.SIZE))
+    return row.select("n", "parts", "block_cut", (F.col("most") <= bound).alias("balanced"), (F.col("cut") < F.col("block_cut")).alias("cuts_less"))
+
+
 @query("i1_cg_solve", "select p_partkey as i, (p_partkey % 7 - 3)::double as x from part")
 def _(spark, sf):
     """The solution of A x = A x*, to two places, which is x*."""
