@@ -19,7 +19,7 @@ from ..storage import drop_stash, stash
 from .ranking import with_rank
 
 #: Vertices a part at which contraction ends, and weight of a part over the mean.
-COARSE, BALANCE = 48, 1.03
+COARSE, BALANCE = 128, 1.03
 #: Rounds of refinement of a level, and classes by hash that moves of one gain are accepted in.
 ROUNDS, CLASSES = 2, 64
 #: Turns of proposals of a level, and pairs of a level for each vertex below which unlike vertices are paired too.

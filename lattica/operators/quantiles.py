@@ -69,4 +69,4 @@ def order_statistics(values: DataFrame, group: list[str], value: str, quantiles:
             every = every.unionByName(part)
         large = every.groupBy(*keys, "n").agg(*[F.max(F.when(F.col("q") == c, F.col("v"))).alias(c) for c in names])
         done = done.unionByName(large)
-    return done.select(*[F.col(a).alias(c) for c, a in aside.items()], "n", *names)
+    return done.where("n > 0").select(*[F.col(a).alias(c) for c, a in aside.items()], "n", *names)
