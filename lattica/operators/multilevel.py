@@ -22,6 +22,8 @@ from .ranking import with_rank
 COARSE, BALANCE = 128, 1.03
 #: Rounds of refinement of a level, and classes by hash that moves of one gain are accepted in.
 ROUNDS, CLASSES = 2, 64
+#: Share of the cut that a round must save, else it and the next such one are a level's last.
+WORTH = 0.01
 #: Turns of proposals of a level, and pairs of a level for each vertex below which unlike vertices are paired too.
 TURNS, LEAST_PAIRS = 2, 0.2
 
@@ -187,9 +189,12 @@ def refined(parts: DataFrame, edges: DataFrame, size: int, low: int, high: int,
                 break
             continue
         drop_stash(ties)
-        parts, ties, counts, idle = new_parts, new_ties, new, 0
+        idle = idle + 1 if new.cut > (1 - WORTH) * counts.cut and not heavy else 0
+        parts, ties, counts = new_parts, new_ties, new
         if watch:
             watch(parts, ties, counts)
+        if idle >= 2:
+            break
     drop_stash(ties)
     return parts, Counts(counts.cut // 2, counts.weight, counts.ghosts, counts.exports)
 
