@@ -225,3 +225,14 @@ def test_key_parts_stand_in_their_patterns():
     for p in [p for _, p, _ in logs.NATIVE] + [p for _, _, p, _ in logs.PORTABLE] + [logs.TIMED, logs.WALL]:
         part = logs.key_part(p)
         assert len(part) > 2 and part in p and f"{part}?" not in p and f"{part}*" not in p and "|" not in p
+
+
+@pytest.mark.parametrize("backend", ["native", "portable"])
+def test_files_are_not_broadcast(spark, backend):
+    """Rows of files compress well: a join that broadcasts a small shuffle of them holds them all in the driver."""
+    names = spark.range(300).select(F.format_string("2n4g/v/suitesparse/M/e%d-stderr.txt", "id").alias("file"), F.posexplode(F.array(F.lit("4 MPI processes"), F.lit("ranks: 4"), F.lit("running solver:"), F.lit("2.5 seconds"))).alias("pos", "line"))
+    out = names.withColumn("file", F.regexp_replace("file", "stderr", "stdout"))
+    runs = logs.parse_native(names, "d") if backend == "native" else logs.parse_portable(names, out, "d")
+    assert {(r["ranks"], r["running_solver_s"]) for r in runs.collect()} == {(4, 2.5 if backend == "native" else None)}
+    plan = runs._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "SortMergeJoin" in plan
