@@ -7,10 +7,13 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from lattica import fixtures, queries
 from lattica.functions import stream
 from lattica.operators import linalg, multilevel, partition, quantiles, ranking, windows
 from lattica.plans import cg, ghosts
 
+DATA = "/root/testdata/sf0.001"
+
 
 def clusters(groups, each, inside, between, seed=3):
     """Edges of a graph of dense groups and few edges between them, its vertices shuffled."""
@@ -179,3 +182,38 @@ def test_ranks_within_groups_of_any_size(spark, tmp_path):
         assert [k for k, _ in mine] == list(range(len(mine))) and [v for _, v in mine] == sorted(v for _, v in mine)
     alike = ranking.with_rank(spark.range(300).select(F.lit(1).alias("x")), "k", [F.col("x").asc()], partitions=4)
     assert sorted(r["k"] for r in alike.collect()) == list(range(300))
+
+
+def test_matrix_is_dealt_by_its_size(spark, monkeypatch):
+    """More order lines are more tasks, each of as many entries as before, and row sums need no other shuffle."""
+    monkeypatch.setattr(fixtures, "LINES_A_TASK", 500)
+    coo = fixtures.coo(spark, DATA)
+    assert coo.rdd.getNumPartitions() == fixtures.tasks(spark, DATA) > 4
+    plan = partition.to_csr(coo)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(i#") == 1
+
+
+def test_stats_read_the_entries_once(spark):
+    rows = spark.range(40).select(F.col("id").alias("i"))
+    coo = rows.select("i", F.explode(F.array(F.col("i"), (F.col("i") * 3 + 7) % 40, (F.col("i") * 3 + 7) % 40)).alias("j")).withColumn("v", F.lit(1.0))
+    owned = partition.with_block_owners(coo, 40, 5).withColumn("read", F.lit(1))
+    stats = partition.stats(partition.row_block(rows, 40, 5), owned)
+    entries = [(r["i"], r["j"]) for r in coo.collect()]
+    want = {}
+    for p in range(5):
+        mine = [(i, j) for i, j in entries if i // 8 == p]
+        far = [(i, j) for i, j in mine if j // 8 != p]
+        ghosts_ = len({j for _, j in far})
+        want[p] = (8, len(mine), len(mine) - len(far), len(far), ghosts_, ghosts_, len({(i // 8, j) for i, j in entries if j // 8 == p != i // 8}))
+    assert {r["rank"]: tuple(r)[1:] for r in stats.collect()} == want
+    assert stats._jdf.queryExecution().optimizedPlan().toString().count("Generate explode") == 1
+
+
+def test_matrix_lines_are_ranked_by_ranges(spark):
+    """Lines of the file are numbered over range partitions, none of them in one task."""
+    lines = queries._mm_lines(spark, DATA)
+    assert "row_number()" not in lines._jdf.queryExecution().optimizedPlan().toString()
+    found = lines.where("pos > 3").orderBy("pos").collect()
+    assert [r["pos"] for r in found] == list(range(4, 4 + len(found))) and found[-2]["line"] == "left over"
+    places = [tuple(map(int, r["line"].split()[:2])) for r in found[:-2]]
+    assert places == sorted(places)
