@@ -217,3 +217,28 @@ def test_matrix_lines_are_ranked_by_ranges(spark):
     assert [r["pos"] for r in found] == list(range(4, 4 + len(found))) and found[-2]["line"] == "left over"
     places = [tuple(map(int, r["line"].split()[:2])) for r in found[:-2]]
     assert places == sorted(places)
+
+
+def test_ranks_of_any_size_are_solved_in_blocks(spark, monkeypatch):
+    """A rank of many entries is several blocks; solution and traffic between ranks stay as they are."""
+    entries = 60
+    monkeypatch.setattr(ghosts, "BLOCK_ENTRIES", entries)
+    rows = spark.range(90).select(F.col("id").alias("i"))
+    near = rows.select("i", F.explode(F.array((F.col("i") + 1) % 90, (F.col("i") + 89) % 90, (F.col("i") + 45) % 90, "i")).alias("j"))
+    coo = near.select("i", "j", F.when(F.col("i") == F.col("j"), 5.0).otherwise(-1.0).alias("v"))
+    given = rows.select("i", (F.col("i") * 7 % 2).cast("int").alias("rank"))
+    owner, homes = ghosts.split_ranks(coo, given, entries)
+    assert homes.count() == 6
+    layout = ghosts.Layout(coo, owner)
+    most = layout.blocks.read().agg(F.max(F.octet_length("v") / 8)).first()[0]
+    assert most == entries
+    got = {(r["rank"], r["to"]): r["n"] for r in layout.traffic(homes).collect()}
+    sent = partition.halo_imports(partition.with_owners(coo, given)).groupBy("peer", "rank").count().collect()
+    assert got == {(r["peer"], r["rank"]): r["count"] for r in sent}
+    wanted = {i: (i % 7) - 3.0 for i in range(90)}
+    x_star = rows.select("i", (F.col("i") % 7 - 3).cast("double").alias("val"))
+    for where in (given, None):
+        x, result = cg.solve(coo, rows, solution=x_star, rtol=1e-5, max_iters=40, owner=where)
+        assert result.converged and result.true_rel_residual < 1e-4
+        assert all(abs(r["val"] - wanted[r["i"]]) < 1e-3 for r in x.collect())
+    layout.drop()
