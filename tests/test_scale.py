@@ -193,6 +193,21 @@ def test_matrix_is_dealt_by_its_size(spark, monkeypatch):
     assert plan.count("Exchange hashpartitioning(i#") == 1
 
 
+@pytest.mark.parametrize("name", ["j1_spmv", "j2_split_spmv", "j14_true_residual"])
+def test_products_move_the_entries_once(spark, monkeypatch, name):
+    """Where the vector is not broadcast, entries are summed where their column's value comes: one shuffle of theirs before the products."""
+    small = sorted(map(tuple, queries.queries()[name](spark, DATA).collect()))
+    monkeypatch.setattr(fixtures, "LINES_A_TASK", 500)
+    monkeypatch.setattr(linalg, "BROADCAST_ROWS", 0)
+    out = queries.queries()[name](spark, DATA)
+    assert sorted(map(tuple, out.collect())) == small
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    # entries by j; values by j; beside them the order lines alone, by o, for each side of their pairs
+    assert plan.count("RepartitionByExpression [j#") == 2 and plan.count("RepartitionByExpression [i#") == 0
+    joined = [line for line in out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].splitlines() if "Exchange hashpartitioning(j#" in line]
+    assert len(joined) == 2 and all("REPARTITION_BY_NUM" in line for line in joined)
+
+
 def test_stats_read_the_entries_once(spark):
     rows = spark.range(40).select(F.col("id").alias("i"))
     coo = rows.select("i", F.explode(F.array(F.col("i"), (F.col("i") * 3 + 7) % 40, (F.col("i") * 3 + 7) % 40)).alias("j")).withColumn("v", F.lit(1.0))
