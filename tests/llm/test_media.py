@@ -4,6 +4,7 @@ import hashlib
 from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from lattica.llm import media
@@ -40,6 +41,57 @@ def test_search_against_brute_force(spark):
     assert abs(got[(2000, 0)][0]) == 10 * media.NOTE // media.HOP
 
 
+def some_marks(rng, n=24):
+    """Fingerprints of few different integers, and of 0 to 117 frames: copies, shifted copies, cut ones, with changed bits."""
+    base = [rng.integers(0, 1 << 32, 5, np.uint32)[rng.integers(0, 5, int(rng.choice([0, 1, 2, 5, 9, 40, 117])))] for _ in range(9)]
+    out = []
+    for _ in range(n):
+        x = base[rng.integers(len(base))]
+        cut = int(rng.integers(0, len(x) // 2 + 1))
+        x = [x, x[cut:], x[: len(x) - cut], np.roll(x, cut)][rng.integers(4)]
+        out.append(x ^ np.where(rng.random(len(x)) < 0.4, np.uint32(1) << rng.integers(0, 32, len(x)).astype(np.uint32), np.uint32(0)))
+    return out
+
+
+@pytest.mark.parametrize("options", [{}, {"GRID": 0}, {"COMPARED": 100}])
+def test_matches_against_brute_force(monkeypatch, options):
+    """Hits counted in an array or sorted: the fullest offset, ties to the nearest and then the one before, and its errors."""
+    for name, value in options.items():
+        monkeypatch.setattr(media, name, value)
+    rng = np.random.default_rng(6)
+    n_found = 0
+    for _ in range(4):
+        made = some_marks(rng, 48)
+        marks, queries = made[:24], made[24:]
+        expected = []
+        for i, x in enumerate(marks):
+            for q, y in enumerate(queries):
+                hits = Counter((int(a) - int(b) for a, b in np.argwhere((x >> 12)[:, None] == y >> 12)))
+                o, most = min(hits.items(), key=lambda h: (-h[1], abs(h[0]), h[0]), default=(0, 0))
+                if most >= media.LEAST_HITS and (e := media.errors_at(x, y, o)) <= media.MOST_ERRORS:
+                    expected.append((i, 100 + q, o, e))
+        assert media.matches(marks, media.make_block(range(100, 100 + len(queries)), queries)) == expected
+        n_found += len(expected)
+    assert n_found > 50
+
+
+def test_bits_are_compared_for_many_recordings_at_once(monkeypatch):
+    """One comparison for all recordings and queries, not one for each pair."""
+    calls = []
+    errors = media.all_errors
+    monkeypatch.setattr(media, "all_errors", lambda *a: calls.append(len(a[1])) or errors(*a))
+    marks = some_marks(np.random.default_rng(7), 64)
+    media.matches(marks, media.make_block(range(64), marks))
+    assert len(calls) == 1 and calls[0] > 100
+
+
+def test_blocks_share_a_step(spark):
+    """Many blocks don't chain as many Python workers in each task."""
+    marked = media.fingerprints(recordings(spark), ["rec_id"]).where("rec_id < 20").localCheckpoint()
+    plan = media.search(marked, marked, 2)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+
+
 def test_odd_recordings(spark):
     marked = media.fingerprints(recordings(spark), ["rec_id"])
     size = {r["rec_id"]: len(r["fingerprint"]) for r in marked.collect()}
