@@ -8,16 +8,20 @@ vectors nearer, so whatever is farther than epsilon there is no link.
    whose eigenvectors are the directions; they only steer the order, so results are exact with any.
 2. Nodes are range-sorted by the grid cells (side epsilon) of their ``LEADING`` coordinates and cut into blocks
    of bounded bytes, each with the box of its coordinates.
-3. Intervals of ``FAN`` blocks, of ``FAN`` such intervals and so on make a tree. From the whole sequence against itself downwards, each
+3. Blocks in sequence make panels, as many as there are cores, or more where one would be larger than ``PANEL_BLOCKS``. Intervals of ``FAN``
+   panels, of ``FAN`` such intervals and so on make a tree. From the whole sequence against itself downwards, each
    pair of intervals is replaced by the pairs of their parts that their boxes leave within epsilon: two equality
-   joins a level, on the part's interval, so no pair of blocks is looked at whose intervals are provably distant.
-4. A pair of blocks goes on halving within its task and skips what is distant, down to ``LEAF`` vectors a side,
-   whose cosines are one matrix product. It returns sums of links for its vectors and, of its links, the components as stars:
-   never a row for a pair of vectors.
-5. Components of the stars, over Spark, name the classes.
+   joins a level, on the part's interval, so no pair of panels is looked at whose intervals are provably distant.
+4. Of a pair of panels one is the host, whose task holds its blocks; the other's blocks are sent there once and pass one by one. So a block is
+   sent to half of the panels at most, however many blocks it is compared with.
+5. A pair of blocks goes on halving within its task and skips what is distant, down to ``LEAF`` vectors a side,
+   whose cosines are one matrix product: in single precision first, which settles all that lie farther below the bound than it may err.
+   It returns sums of links for its vectors and, of its links, the components as stars: never a row for a pair of vectors.
+6. Components of the stars, over Spark, name the classes.
 
 How much is skipped depends on the data: where the leading directions hold little more variance than the
-others, boxes of blocks overlap and most pairs of blocks are compared, whose number then grows with the square.
+others, boxes overlap and most pairs of blocks are compared, whose number then grows with the square; what is sent grows
+with the number of panels times the table.
 
 Cases: null, empty and zero vectors, and those with null or non-finite components, link with nothing; vectors of different
 lengths don't link; sizes of numbers don't matter (each is scaled first); repeated rows link with each other; a null vec_id
@@ -30,7 +34,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
-from functools import reduce
+from functools import cached_property, reduce
 from operator import add
 
 import numpy as np
@@ -47,6 +51,8 @@ LEAST = 0.9
 LEADING, SPACE = 8, 256
 #: Bytes of vectors of a block, children of an interval, and vectors of the least interval within a task.
 BLOCK_BYTES, FAN, LEAF = 1 << 20, 16, 256
+#: Most blocks of a panel, which a task holds.
+PANEL_BLOCKS = 64
 #: What rounding may add to a distance between boxes, and a cosine this near to the bound is computed anew with exact sums.
 SLACK, NEAR = 1e-9, 1e-12
 
@@ -134,12 +140,17 @@ def _placed(nodes: DataFrame, dim: int, axes: np.ndarray, epsilon: float, leadin
 
 
 def _cut(block_bytes: int, leading: int):
-    """Blocks of sorted nodes of one length: keys, vec, n, at (packed), and the box of dim and coordinates."""
+    """Blocks of sorted nodes of one length: dim, keys, vecs (packed, as floats where that loses nothing), counts, and the box of dim and coordinates."""
 
     def cut(rows: pa.Table) -> list:
         at = np.array(rows.column("at").to_pylist()).reshape(rows.num_rows, leading + 1)
-        low, high = ([10.0 * rows.column("dim")[0].as_py(), *f(0)] for f in (at.min, at.max))
-        return [b"".join(rows.column("key").to_pylist()), b"".join(rows.column("vec").to_pylist()), rows.column("n").to_numpy().astype("<i8").tobytes(), at.tobytes(), low, high]
+        dim = rows.column("dim")[0].as_py()
+        low, high = ([10.0 * dim, *f(0)] for f in (at.min, at.max))
+        vecs = b"".join(rows.column("vec").to_pylist())
+        with np.errstate(over="ignore", under="ignore"):
+            short = np.frombuffer(vecs, np.float64).astype(np.float32)
+        vecs = short.tobytes() if (short == np.frombuffer(vecs, np.float64)).all() else vecs
+        return [dim, b"".join(rows.column("key").to_pylist()), vecs, rows.column("n").to_numpy().astype("<i8").tobytes(), low, high]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -148,8 +159,8 @@ def _cut(block_bytes: int, leading: int):
 
         def out() -> pa.RecordBatch:
             columns = [[x] for x in cut(pa.Table.from_batches(held))]
-            kinds = [*[pa.binary()] * 4, *[pa.list_(pa.float64())] * 2]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["keys", "vecs", "counts", "at", "low", "high"])
+            kinds = [pa.int32(), *[pa.binary()] * 3, *[pa.list_(pa.float64())] * 2]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["dim", "keys", "vecs", "counts", "low", "high"])
 
         for batch in batches:
             dims, start = batch.column("dim").to_numpy(), 0
@@ -174,14 +185,19 @@ def _near(a: str, b: str, width: int, epsilon: float) -> F.Column:
     return reduce(add, [gap(i) * gap(i) for i in range(width)]) <= epsilon * epsilon + SLACK
 
 
+def _joined(boxes: DataFrame, size: int, width: int) -> DataFrame:
+    """Boxes of intervals of ``size``."""
+    each = lambda f, c: F.array(*[f(F.col(c)[i]) for i in range(width)]).alias(c)
+    return boxes.groupBy((F.col("id") / size).cast("long").alias("id")).agg(each(F.min, "low"), each(F.max, "high"))
+
+
 def block_pairs(boxes: DataFrame, epsilon: float, width: int, fan: int = FAN) -> DataFrame:
     """a, b (a <= b): all pairs of blocks (id from 0, low, high) that may hold vectors within epsilon, by descent from the whole."""
     count = boxes.count()
     levels = [boxes.select("id", "low", "high")]
     while count > 1:
         count = -(-count // fan)
-        each = lambda f, c: F.array(*[f(F.col(c)[i]) for i in range(width)]).alias(c)
-        levels.append(levels[-1].groupBy((F.col("id") / fan).cast("long").alias("id")).agg(each(F.min, "low"), each(F.max, "high")))
+        levels.append(_joined(levels[-1], fan, width))
     pairs = levels.pop().select(F.col("id").alias("a"), F.col("id").alias("b"))
     for level in reversed(levels):
         parts = level.select((F.col("id") / fan).cast("long").alias("parent"), F.struct("id", "low", "high").alias("part"))
@@ -191,16 +207,43 @@ def block_pairs(boxes: DataFrame, epsilon: float, width: int, fan: int = FAN) ->
     return pairs
 
 
+def dealt(blocks: DataFrame, boxes: DataFrame, epsilon: float, width: int, panel: int, fan: int = FAN) -> DataFrame:
+    """``blocks`` (id and more) with host: each in its own panel of ``panel`` blocks, and where its panel is guest (id, low, high of ``boxes`` may be near).
+
+    Of two panels that is the one behind where their distance is even, else the one before, so that each is host to about half of the others. A
+    partition holds hosts whole, each with its own blocks first.
+    """
+    count = -(-boxes.count() // panel) or 1
+    pairs = block_pairs(_joined(boxes, panel, width), epsilon, width, fan)
+    even = (F.col("b") - F.col("a")) % 2 == 0
+    hosts = pairs.select(F.when(even, F.col("a")).otherwise(F.col("b")).alias("host"), F.when(even, F.col("b")).otherwise(F.col("a")).alias("panel"))
+    # numbers that Spark's hash sends to one partition each
+    slots = blocks.sparkSession.range(64 * count).groupBy(F.pmod(F.hash("id"), F.lit(count)).cast("long").alias("host")).agg(F.min("id").alias("slot"))
+    hosts = hosts.join(F.broadcast(slots), "host", "left").withColumn("slot", F.coalesce("slot", "host"))
+    placed = blocks.withColumn("panel", (F.col("id") / panel).cast("long")).join(F.broadcast(hosts), "panel").withColumn("guest", F.col("host") != F.col("panel"))
+    return placed.repartition(count, "slot").sortWithinPartitions("host", "guest", "id").drop("panel", "slot")
+
+
 class Side:
     """One block in a task."""
 
-    def __init__(self, keys: bytes, vecs: bytes, counts: bytes, at: bytes, leading: int) -> None:
+    def __init__(self, dim: int, keys: bytes, vecs: bytes, counts: bytes, axes: np.ndarray | None, leading: int) -> None:
         self.key = [keys[i : i + 16] for i in range(0, len(keys), 16)]
-        self.raw = np.frombuffer(vecs, np.float64).reshape(len(self.key), -1)
-        self.x = _scaled(self.raw)
+        self.short = np.frombuffer(vecs, np.float64 if len(vecs) == 8 * dim * len(self.key) else np.float32).reshape(-1, dim)
         self.n = np.frombuffer(counts, "<i8")
-        self.at = np.frombuffer(at, np.float64).reshape(-1, leading + 1)
+        x = self.x
+        self.single = x.astype(np.float32)
+        self.at = coordinates(x, axes, leading)
         self.boxes: dict[tuple[int, int], tuple] = {}
+        del self.x  # made again where single precision leaves something open
+
+    @cached_property
+    def x(self) -> np.ndarray:
+        return _scaled(self.raw)
+
+    @property
+    def raw(self) -> np.ndarray:
+        return self.short.astype(np.float64)
 
     def box(self, i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
         if (i, j) not in self.boxes:
@@ -227,6 +270,8 @@ def linked(one: Side, two: Side, least: float, leaf: int = LEAF) -> tuple[np.nda
     links = np.zeros(shift + len(two.key), np.int64)
     label = np.arange(len(links))
     reach = 2 - 2 * least + SLACK
+    # twice what rounding the numbers and their sum may add up to
+    single = least - (one.single.shape[1] + 8) * 2.0**-23
     found: list[tuple[int, int, np.ndarray]] = []
     todo = [(0, len(one.key), 0, len(two.key))]
     while todo:
@@ -239,10 +284,12 @@ def linked(one: Side, two: Side, least: float, leaf: int = LEAF) -> tuple[np.nda
         if len(parts) > 1 or parts[0] != (i, j, k, m):
             todo += parts
             continue
+        if (one.single[i:j] @ two.single[k:m].T).max() < single:
+            continue
         cosine = one.x[i:j] @ two.x[k:m].T
         hit = cosine >= least
         for r, c in zip(*np.nonzero(np.abs(cosine - least) <= NEAR), strict=True):
-            hit[r, c] = _exact_cosine(one.raw[i + r], two.raw[k + c]) >= least
+            hit[r, c] = _exact_cosine(*(v.astype(np.float64) for v in (one.short[i + r], two.short[k + c]))) >= least
         if same and i == k:
             np.fill_diagonal(hit, False)
         if hit.any():
@@ -263,19 +310,26 @@ def linked(one: Side, two: Side, least: float, leaf: int = LEAF) -> tuple[np.nda
     return links, label
 
 
-def _link(least: float, leaf: int, leading: int):
-    """key and links, and stars (a, b), of pairs of blocks."""
+def _link(least: float, leaf: int, dim: int, axes: np.ndarray, leading: int):
+    """key and links, and stars (a, b), of the pairs of a host's blocks, and of these and its guests."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        host, own = None, []
         for batch in batches:
             for row in range(batch.num_rows):
-                a, b, *fields = (batch.column(c)[row].as_py() for c in range(batch.num_columns))
-                one = Side(*fields[:4], leading)
-                two = one if a == b else Side(*fields[4:], leading)
-                links, label = linked(one, two, least, leaf)
-                keys = one.key if one is two else one.key + two.key
-                some = np.flatnonzero(links)
-                yield pa.RecordBatch.from_arrays([pa.array([keys[i] for i in some], pa.binary()), pa.array(links[some]), pa.array([keys[i] for i in label[some]], pa.binary())], names=["key", "links", "star"])
+                of, guest, size, *fields = (batch.column(c)[row].as_py() for c in range(batch.num_columns))
+                if of != host:
+                    host, own = of, []
+                two = Side(size, *fields, axes if size == dim else None, leading)
+                if not guest:
+                    own.append(two)
+                for one in own:
+                    if one.short.shape[1] == size:
+                        links, label = linked(one, two, least, leaf)
+                        keys = one.key if one is two else one.key + two.key
+                        some = np.flatnonzero(links)
+                        if len(some):
+                            yield pa.RecordBatch.from_arrays([pa.array([keys[i] for i in some], pa.binary()), pa.array(links[some]), pa.array([keys[i] for i in label[some]], pa.binary())], names=["key", "links", "star"])
 
     return run
 
@@ -289,41 +343,42 @@ def link_vectors(vectors: DataFrame, least: float = LEAST, leading: int = LEADIN
     own = [c for c in vectors.columns if c != "embedding"]
     aside = {c: f"own_{i}" for i, c in enumerate(own) if c != "vec_id"}
     called = free_names(vectors.drop("embedding"), "n_links", "component_id", "kept") | (names or {})
-    rows = stash(_node_rows(vectors.withColumnsRenamed(aside)), "vector-rows")
-    made = rows.where(F.col("key").isNotNull()).groupBy("key").agg(F.first("vec").alias("vec"), F.count("*").alias("n"), F.min("vec_id").alias("vec_id"))
-    nodes = stash(made, "vector-nodes")
-    size, dim = nodes.groupBy(F.octet_length("vec").alias("size")).agg(F.count("*").alias("n")).agg(F.sum(F.col("size") * F.col("n")), F.max(F.struct("n", "size"))["size"]).first()
+    keyed = stash(_node_rows(vectors.withColumnsRenamed(aside)), "vector-keys")
+    made = keyed.where(F.col("key").isNotNull()).groupBy("key").agg(F.first("vec").alias("vec"), F.count("*").alias("n"), F.min("vec_id").alias("vec_id"))
+    full = stash(made, "vector-nodes")
+    rows, nodes = stash(keyed.drop("vec"), "vector-rows"), stash(full.drop("vec"), "vector-counts")
+    drop_stash(keyed)
+    size, dim = full.groupBy(F.octet_length("vec").alias("size")).agg(F.count("*").alias("n")).agg(F.sum(F.col("size") * F.col("n")), F.max(F.struct("n", "size"))["size"]).first()
     size, dim = size or 0, dim or 8
-    axes = directions(nodes, dim // 8, leading, SPACE)
-    placed = stash(_placed(nodes.select("key", "vec", "n"), dim // 8, axes, epsilon, leading), "vector-places")
+    axes = directions(full, dim // 8, leading, SPACE)
+    placed = stash(_placed(full.select("key", "vec", "n"), dim // 8, axes, epsilon, leading), "vector-places")
+    drop_stash(full)
     order = ["dim", *[F.col("cells")[i] for i in range(leading)], "key"]
     tasks = -(-size // (8 * block_bytes)) or 1
     blocks = placed.repartitionByRange(tasks, *order).sortWithinPartitions(*order).select("key", "vec", "n", "dim", "at")
-    blocks = blocks.mapInArrow(_cut(block_bytes, leading), "keys binary, vecs binary, counts binary, at binary, low array<double>, high array<double>")
+    blocks = blocks.mapInArrow(_cut(block_bytes, leading), "dim int, keys binary, vecs binary, counts binary, low array<double>, high array<double>")
     blocks = stash(blocks.withColumn("place", F.monotonically_increasing_id()), "vector-blocks")
+    drop_stash(placed)
     part = F.shiftright("place", 33)
     counts = blocks.groupBy(part.alias("part")).agg(F.count("*").alias("m"))
     before = counts.select("part", (F.sum("m").over(Window.orderBy("part")) - F.col("m")).alias("before"))
     boxes = blocks.select("place", "low", "high").join(before, part == F.col("part")).select("place", (F.col("before") + F.col("place").bitwiseAND((1 << 33) - 1)).alias("id"), "low", "high")
     boxes = stash(boxes, "vector-boxes", free=False)
-    pairs = block_pairs(boxes.select("id", "low", "high"), epsilon, leading + 2, fan)
-    body = blocks.join(boxes.select("place", "id"), "place").select("id", "keys", "vecs", "counts", "at")
-    one, two = (body.select(*[F.col(c).alias(f"{c}_{s}") for c in body.columns]) for s in "ab")
-    # a block with itself needs its vectors once
-    both = pairs.join(one, F.col("a") == F.col("id_a")).drop("id_a")
-    apart = both.where("a < b").join(two, F.col("b") == F.col("id_b")).drop("id_b")
-    alone = both.where("a = b").withColumns({f"{c}_b": F.lit(None).cast("binary") for c in ("keys", "vecs", "counts", "at")})
-    met = stash(apart.unionByName(alone).mapInArrow(_link(least, leaf, leading), "key binary, links long, star binary"), "vector-links")
+    count = boxes.count()
+    panel = max(1, min(PANEL_BLOCKS, -(-count // spark.sparkContext.defaultParallelism)))
+    body = blocks.join(F.broadcast(boxes.select("place", "id")), "place").select("id", "dim", "keys", "vecs", "counts")
+    sent = dealt(body, boxes.select("id", "low", "high"), epsilon, leading + 2, panel, fan).select("host", "guest", "dim", "keys", "vecs", "counts")
+    met = stash(sent.mapInArrow(_link(least, leaf, dim // 8, axes, leading), "key binary, links long, star binary"), "vector-links")
     known = components(met.select(F.col("key").alias("a"), F.col("star").alias("b")))
     total = met.groupBy("key").agg(F.sum("links").alias("links"))
-    joined = stash(nodes.drop("vec").join(total, "key", "left").join(known.withColumnRenamed("node", "key"), "key", "left"), "vector-classes")
+    joined = stash(nodes.join(total, "key", "left").join(known.withColumnRenamed("node", "key"), "key", "left"), "vector-classes")
     named_by = joined.where("root is not null").groupBy("root").agg(F.min("vec_id").alias("least_id"))
     classes = stash(joined.join(named_by, "root", "left").select("key", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("links"), F.coalesce("least_id", "vec_id").alias("least_id")), "vector-names")
-    out = rows.drop("vec").join(classes, "key", "left")
+    out = rows.join(classes, "key", "left")
     least_id = F.when(F.col("links").isNull(), F.col("vec_id")).otherwise(F.col("least_id"))
     added = {"n_links": F.coalesce("links", F.lit(0).cast("long")), "component_id": least_id, "kept": F.coalesce(F.col("vec_id") == least_id, F.lit(False))}
     out = out.select(*[F.col(aside.get(c, c)).alias(c) for c in own], *[v.alias(called[c]) for c, v in added.items()])
-    for gone in (nodes, placed, blocks, boxes, met, joined, known):
+    for gone in (nodes, blocks, boxes, met, joined, known):
         drop_stash(gone)
     return out
 

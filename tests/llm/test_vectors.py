@@ -81,6 +81,41 @@ def test_distant_blocks_are_skipped(spark):
     assert pairs == {(i, j) for i, x in rows for j, y in rows if i <= j and x == y}
 
 
+@pytest.mark.parametrize("count, panel", [(1, 1), (24, 1), (24, 3), (25, 4), (24, 64)])
+def test_blocks_are_sent_to_panels(spark, count, panel):
+    """Each pair of near blocks meets in one task, and a block is sent to half of the panels, not to each block."""
+    from pyspark.sql import functions as F
+
+    boxes = spark.range(count).select("id", *[F.array(F.lit(0.0), F.lit(0.0)).alias(c) for c in ("low", "high")])
+    rows = vectors.dealt(boxes.select("id", "low"), boxes, 1.0, 2, panel, 2).withColumn("at", F.spark_partition_id()).collect()
+    assert len(rows) <= count * (-(-count // panel) / 2 + 1)
+    met, own, host = [], [], None
+    for r in rows:
+        if (r["at"], r["host"]) != host:
+            host, own = (r["at"], r["host"]), []
+        own += [] if r["guest"] else [r["id"]]
+        met += [tuple(sorted((i, r["id"]))) for i in own]
+    assert sorted(met) == [(i, j) for i in range(count) for j in range(i, count)]
+    assert len({r["at"] for r in rows}) == len({r["host"] for r in rows}) == -(-count // panel)
+
+
+def test_single_precision_leaves_no_link_out():
+    """Cosines about the bound, nearer than single precision tells: the same links as in double precision."""
+    rng = random.Random(5)
+    x = [[rng.gauss(0, 1) for _ in range(40)] for _ in range(30)]
+    rows = []
+    for v in x:
+        w = [rng.gauss(0, 1) for _ in v]
+        along = sum(a * b for a, b in zip(v, w, strict=True)) / sum(a * a for a in v)
+        w = [b - along * a for a, b in zip(v, w, strict=True)]
+        scale = math.sqrt(sum(a * a for a in v) / sum(b * b for b in w))
+        rows.append([a + (math.sqrt(1 / 0.81 - 1) + rng.uniform(-3e-7, 3e-7)) * scale * b for a, b in zip(v, w, strict=True)])
+    made = [vectors.Side(40, b"".join(bytes([k, i]) * 8 for i in range(30)), vectors.np.array(y).tobytes(), vectors.np.ones(30, "<i8").tobytes(), None, 8) for k, y in enumerate((x, rows))]
+    links, _ = vectors.linked(*made, 0.9)
+    expected = [[cosine(a, b) >= 0.9 for b in rows] for a in x]
+    assert links.tolist() == [*map(sum, expected), *map(sum, zip(*expected, strict=True))] and 5 < sum(links[:30]) < 25
+
+
 def test_columns_and_empty(spark, odd):
     from pyspark.sql import functions as F
 
